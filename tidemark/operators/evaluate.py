@@ -14,20 +14,30 @@ from tidemark.functions.ranking import exact_quantiles
 # Weight of each metric in the composite score.
 COMPOSITE_WEIGHTS = {"mape": 0.35, "rmse_pct": 0.25, "mae_pct": 0.20, "stability": 0.20}
 
-A, P = F.col("actual"), F.col("pred")
+
+def _actual() -> Column:
+    return F.col("actual")
+
+
+def _pred() -> Column:
+    return F.col("pred")
+
+
+def _error() -> Column:
+    return F.col("actual") - F.col("pred")
 
 
 def mape() -> Column:
-    return F.avg(F.when(A != 0, F.abs((A - P) / F.nullif(A, F.lit(0.0))))) * 100
+    return F.avg(F.abs(F.try_divide(_error(), _actual()))) * 100
 
 
 def smape() -> Column:
-    half = (F.abs(A) + F.abs(P)) / 2
-    return F.avg(F.try_divide(F.abs(A - P), half)) * 100
+    half = (F.abs(_actual()) + F.abs(_pred())) / 2
+    return F.avg(F.try_divide(F.abs(_error()), half)) * 100
 
 
 def bias() -> Column:
-    return F.avg(P - A)
+    return F.avg(-_error())
 
 
 def stability(residual: Column) -> Column:
@@ -35,7 +45,7 @@ def stability(residual: Column) -> Column:
 
 
 def r2() -> Column:
-    sse, sst = F.sum((A - P) * (A - P)), F.var_pop(A) * F.count(A)
+    sse, sst = F.sum(_error() * _error()), F.var_pop("actual") * F.count("actual")
     return F.when(sst == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(1 - F.try_divide(sse, sst))
 
 
@@ -51,21 +61,22 @@ def with_steps(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 def theil_u() -> Column:
     later = F.col("actual_1").isNotNull()
-    top = F.sqrt(F.avg(F.when(later, (A - P) * (A - P))))
-    bottom = F.sqrt(F.avg((A - F.col("actual_1")) * (A - F.col("actual_1"))))
+    top = F.sqrt(F.avg(F.when(later, _error() * _error())))
+    step = _actual() - F.col("actual_1")
+    bottom = F.sqrt(F.avg(step * step))
     return F.when(F.count("*") > 2, F.try_divide(top, bottom))
 
 
 def direction_accuracy() -> Column:
-    da, dp = A - F.col("actual_1"), P - F.col("pred_1")
+    da, dp = _actual() - F.col("actual_1"), _pred() - F.col("pred_1")
     return F.avg(F.when((da != 0) & (dp != 0), (F.signum(da) == F.signum(dp)).cast("double"))) * 100
 
 
 def full_metrics(df: DataFrame, keys: Sequence[str], order: str, n_features: int = 1) -> DataFrame:
     """All error metrics of each group in one row, from one window pass and one aggregation."""
-    level = F.avg(A)
+    level = F.avg("actual")
     safe = F.when(level == 0, 1.0).otherwise(level)
-    mae, mse = F.avg(F.abs(A - P)), F.avg((A - P) * (A - P))
+    mae, mse = F.avg(F.abs(_error())), F.avg(_error() * _error())
     wide = with_steps(df, keys, order).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.round(mae, 4).alias("mae"),
@@ -204,7 +215,7 @@ def mase_of(forecasts: DataFrame, training: DataFrame, series: str, order: str,
         .groupBy(series)
         .agg(F.avg("__d").alias("scale"))
     )
-    err = forecasts.groupBy(series, "model").agg(F.avg(F.abs(A - P)).alias("mae"))
+    err = forecasts.groupBy(series, "model").agg(F.avg(F.abs(_error())).alias("mae"))
     return err.join(scale, series, "left").withColumn("mase", F.try_divide(F.col("mae"), F.col("scale")))
 
 
@@ -220,6 +231,6 @@ def leaderboard_insights(board: DataFrame, within: Sequence[str]) -> DataFrame:
         pick(F.min_by, "stability", -1).alias("stable_model"),
         pick(F.min_by, "mape").alias("lowest_mape_model"),
         pick(F.min_by, "mape", -1).alias("worst_model"),
-        F.round(F.max("mape") - F.min("mape"), 3).alias("mape_range"),
-        F.round(F.avg("mape"), 3).alias("mape_mean"),
+        (F.max("mape") - F.min("mape")).alias("mape_range"),
+        F.avg("mape").alias("mape_mean"),
     )

@@ -270,7 +270,7 @@ def confidence_scores(forecasts: DataFrame, quality: DataFrame, keys: Sequence[s
 
 def confidence_summary(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(
-        F.round(F.avg("confidence_score"), 1).alias("confidence_mean"),
+        F.avg("confidence_score").alias("confidence_mean"),
         F.min("confidence_score").alias("confidence_min"),
         F.max("confidence_score").alias("confidence_max"),
     )

@@ -74,13 +74,13 @@ def yoy_growth(spark, d):
 
 @register(
     "rolling_mean",
-    f"""SELECT unique_id, q, round({rolling('avg(y)', 4)}, 3) AS y_mean_4,
-    round({rolling('avg(y)', 8)}, 3) AS y_mean_8 FROM dense""",
+    f"""SELECT unique_id, q, round({rolling('avg(y)', 4)}, 7) AS y_mean_4,
+    round({rolling('avg(y)', 8)}, 7) AS y_mean_8 FROM dense""",
     ("dense",),
 )
 def rolling_mean(spark, d):
     r = S.rolling_mean(I.dense(spark, d), "unique_id", "q", "y", (4, 8))
-    return r.select("unique_id", "q", F.round("y_mean_4", 3).alias("y_mean_4"), F.round("y_mean_8", 3).alias("y_mean_8"))
+    return r.select("unique_id", "q", F.round("y_mean_4", 7).alias("y_mean_4"), F.round("y_mean_8", 7).alias("y_mean_8"))
 
 
 @register(
