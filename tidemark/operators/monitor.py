@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,9 +154,6 @@ def ks_two_sample(values: DataFrame, keys: Sequence[str], x: str, is_live: str,
 
 def ks_exact_p(df: DataFrame, statistic: str = "ks_statistic", n1: str = "n_train", n2: str = "n_live") -> DataFrame:
     """Exact two-sided p-value by counting lattice paths; for samples a series can hold."""
-    import numpy as np
-    import pandas as pd
-
     def exact(d: float, m: int, n: int) -> float | None:
         if not (m and n) or d is None or np.isnan(d):
             return None
@@ -250,7 +249,7 @@ def confidence_scores(forecasts: DataFrame, quality: DataFrame, keys: Sequence[s
     narrow = F.when(F.col("pred") <= 0, 5.0).otherwise(clip(10 * F.exp(-2.5 * width), 0, 10))
     scored = (
         joined.withColumn("mape_score", F.round(error, 2))
-        .withColumn("stability_score", F.round(steady, 2))
+        .withColumn("stability_score", F.round(steady + 1e-9, 2))  # half up whatever the binary form
         .withColumn("horizon_score", F.round(near, 2))
         .withColumn("ci_score", F.round(narrow, 2))
         .withColumn("drift_penalty", F.when(F.col("drift_detected"), float(penalty)).otherwise(0.0))

@@ -82,11 +82,12 @@ def _board(spark, d):
 
 def _metric(name: str, *cols: str):
     # Squared levels are near 1e12: their fourth decimal is below double precision.
-    shown = ", ".join("round(mse, 0) AS mse" if c == "mse" else c for c in cols)
+    digits = {"mse": 0, "rmse": 1, "mae": 1}
+    shown = ", ".join(f"round({c}, {digits[c]}) AS {c}" if c in digits else c for c in cols)
 
     @register(name, f"SELECT unique_id, model, {shown} FROM metrics", ("metrics",))
     def run(spark, d):
-        return _full(spark, d).select(*KEY, *[F.round("mse", 0).alias("mse") if c == "mse" else c for c in cols])
+        return _full(spark, d).select(*KEY, *[F.round(c, digits[c]).alias(c) if c in digits else c for c in cols])
 
 
 _metric("mae_rmse_mse", "mae", "rmse", "mse", "mae_pct", "rmse_pct", "mse_pct")

@@ -83,6 +83,18 @@ def residuals(spark, d):
     return B.holdout_residuals(I.dense(spark, d), "unique_id")
 
 
+class Run:
+    """Panel, holdout forecasts and training residuals of one run, each written once.
+
+    Status queries read these tables many times, as they would read the stored results of a run.
+    """
+
+    def __init__(self, spark, d):
+        self.panel = settle(I.dense(spark, d))
+        self.hold = settle(B.holdout_forecasts(self.panel, "unique_id"))
+        self.residuals = settle(B.holdout_residuals(self.panel, "unique_id"))
+
+
 def steady(c: str):
     """Only the log model needs rounding: the others use the same four operations in both engines."""
     return F.when(F.col("model") == "ARDrift", F.round(c, 4)).otherwise(F.col(c)).alias(c)

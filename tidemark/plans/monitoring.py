@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate as E
 from tidemark.operators import features as S
+from tidemark.operators import forecast as B
 from tidemark.operators import monitor as N
 from tidemark.plans import inputs as I
 from tidemark.plans.catalog import register
-from tidemark.plans.evaluation import _board, _cv, full_sql
-from tidemark.plans.forecasts import KEY, hold, residuals
+from tidemark.plans.evaluation import full_sql
+from tidemark.plans.forecasts import KEY, Run, hold, residuals
 from tidemark.plans.inputs import CTES
+from tidemark.session import settle
 
 _ROLL = "OVER (PARTITION BY unique_id ORDER BY q ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 _ONE = "OVER (PARTITION BY unique_id)"
@@ -63,9 +65,9 @@ CTES |= {
         WHEN t >= 25 THEN 'Low' ELSE 'Very Low' END AS confidence_label FROM (
         SELECT *, round(least(100, greatest(0, m + s + h + c - p)), 6) AS t FROM (
           SELECT f.unique_id, f.model, f.h AS step, round(least(40, greatest(0, 40 * exp(-0.07 * greatest(b.mape, 0)))), 2) AS m,
-          round(b.stability * 0.30, 2) AS s, round(least(20, greatest(5, 20 * exp(-0.18 * (f.h - 1)))), 2) AS h,
+          round(b.stability * 0.30 + 1e-9, 2) AS s, round(least(20, greatest(5, 20 * exp(-0.18 * (f.h - 1)))), 2) AS h,
           round(CASE WHEN f.pred <= 0 THEN 5.0 ELSE least(10, greatest(0, 10 * exp(-2.5 * (f.upper - f.lower) / abs(f.pred)))) END, 2) AS c,
-          CASE WHEN d.alerts > 0 THEN 15.0 ELSE 0.0 END AS p
+          CAST(CASE WHEN d.alerts > 0 THEN 15 ELSE 0 END AS DOUBLE) AS p
           FROM hold f JOIN board b ON f.unique_id = b.unique_id AND f.model = b.model
           JOIN drift d ON f.unique_id = d.unique_id AND f.model = d.model))""", ("hold", "board", "drift")),
     # Ensemble weights come from the cross-validation folds inside the training part of each series.
@@ -130,47 +132,47 @@ def anomaly_consensus(spark, d):
     return _report(spark, d).filter("consensus").select("unique_id", "q")
 
 
-def _live(spark, d):
-    return hold(spark, d).select(*KEY, F.col("step").alias("i"), (F.col("actual") - F.col("pred")).alias("residual"))
+def _live(forecasts):
+    return forecasts.select(*KEY, F.col("step").alias("i"), (F.col("actual") - F.col("pred")).alias("residual"))
 
 
-def _reference(spark, d):
-    return N.reference_moments(residuals(spark, d), KEY)
+def _reference(table):
+    return N.reference_moments(table, KEY)
 
 
 @register("cusum", "SELECT unique_id, model, round(cusum_max, 5) AS cusum_max, cusum_max > 4 AS cusum_signal FROM cus", ("cus",))
 def cusum(spark, d):
-    c = N.cusum(_live(spark, d), _reference(spark, d), KEY, "i")
+    c = N.cusum(_live(hold(spark, d)), _reference(residuals(spark, d)), KEY, "i")
     return c.select(*KEY, F.round("cusum_max", 5).alias("cusum_max"), "cusum_signal")
 
 
 @register("residual_shift", "SELECT unique_id, model, round(residual_z, 5) AS residual_z, residual_z > 3 AS residual_drift FROM shift", ("shift",))
 def residual_shift(spark, d):
-    s = N.residual_shift(_live(spark, d), _reference(spark, d), KEY)
+    s = N.residual_shift(_live(hold(spark, d)), _reference(residuals(spark, d)), KEY)
     return s.select(*KEY, F.round("residual_z", 5).alias("residual_z"), "residual_drift")
 
 
-def _ks(spark, d):
-    split = S.chronological_split(I.dense(spark, d), "unique_id", "q")
+def _ks(panel):
+    split = S.chronological_split(panel, "unique_id", "q")
     growth = N.log_growth(split, "unique_id", "q", "y").withColumn("is_live", ~F.col("is_train"))
     return N.ks_two_sample(growth, ["unique_id"], "growth", "is_live")
 
 
 @register("ks_two_sample", "SELECT unique_id, round(d, 8) AS ks_statistic, n1 AS n_train, n2 AS n_live, round(p, 6) AS ks_p_value FROM ksp", ("ksp",))
 def ks_two_sample(spark, d):
-    k = _ks(spark, d)
+    k = _ks(I.dense(spark, d))
     return k.select("unique_id", F.round("ks_statistic", 8).alias("ks_statistic"), "n_train", "n_live", F.round("ks_p_value", 6).alias("ks_p_value"))
 
 
 @register("ks_exact_p")
 def ks_exact_p(spark, d):
-    k = N.ks_exact_p(_ks(spark, d))
+    k = N.ks_exact_p(_ks(I.dense(spark, d)))
     return k.select("unique_id", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("ks_p_exact", 6).alias("ks_p_exact"))
 
 
-def _drift(spark, d):
-    live, ref = _live(spark, d), _reference(spark, d)
-    per_model = _ks(spark, d).join(ref.select(*KEY), "unique_id")
+def _drift(run):
+    live, ref = _live(run.hold), _reference(run.residuals)
+    per_model = _ks(run.panel).join(ref.select(*KEY), "unique_id")
     return N.drift_report(per_model, N.cusum(live, ref, KEY, "i"), N.residual_shift(live, ref, KEY), KEY)
 
 
@@ -184,7 +186,7 @@ _SEVERITY = "CASE alerts WHEN 0 THEN 'None' WHEN 1 THEN 'Mild' WHEN 2 THEN 'Mode
     ("drift",),
 )
 def drift_report(spark, d):
-    r = _drift(spark, d)
+    r = _drift(Run(spark, d))
     return r.select(
         *KEY, F.round("ks_statistic", 8).alias("ks_statistic"), "ks_drift", F.round("cusum_max", 5).alias("cusum_max"), "cusum_signal",
         F.round("residual_z", 5).alias("residual_z"), "residual_drift", "overall_drift", "severity",
@@ -193,7 +195,7 @@ def drift_report(spark, d):
 
 @register("model_health_score", "SELECT unique_id, model, round(100.0 - 25.0 * alerts, 1)::DOUBLE AS model_health_score FROM drift", ("drift",))
 def model_health_score(spark, d):
-    return _drift(spark, d).select(*KEY, "model_health_score")
+    return _drift(Run(spark, d)).select(*KEY, "model_health_score")
 
 
 CTES["allseries"] = (
@@ -212,15 +214,19 @@ def drift_payload(spark, d):
     """Customers have no report: they get the safe default."""
     every = I.dense(spark, d).select("unique_id").union(I.gappy(spark, d).select(F.col("entity").cast("string"))).distinct()
     wanted = every.withColumn("model", F.explode(F.array(F.lit("Naive"), F.lit("Drift"))))
-    p = N.drift_payload(wanted, _drift(spark, d), KEY)
+    p = N.drift_payload(wanted, _drift(Run(spark, d)), KEY)
     return p.withColumn("test_statistic", F.round("test_statistic", 8))
 
 
-def _confidence(spark, d):
-    quality = _board(spark, d).select(*KEY, "mape", "stability").join(
-        _drift(spark, d).select(*KEY, F.col("overall_drift").alias("drift_detected")), KEY
+def _board(run):
+    return E.model_leaderboard(run.hold, run.residuals, "unique_id", "step")
+
+
+def _confidence(run):
+    quality = _board(run).select(*KEY, "mape", "stability").join(
+        _drift(run).select(*KEY, F.col("overall_drift").alias("drift_detected")), KEY
     )
-    return N.confidence_scores(hold(spark, d), quality, KEY)
+    return N.confidence_scores(run.hold, quality, KEY)
 
 
 _CONF = ("mape_score", "stability_score", "horizon_score", "ci_score", "drift_penalty", "confidence_score", "confidence_label")
@@ -228,7 +234,7 @@ _CONF = ("mape_score", "stability_score", "horizon_score", "ci_score", "drift_pe
 
 @register("confidence_score", f"SELECT unique_id, model, step, {', '.join(_CONF)} FROM conf", ("conf",))
 def confidence_score(spark, d):
-    return _confidence(spark, d)
+    return _confidence(Run(spark, d))
 
 
 @register(
@@ -238,7 +244,7 @@ def confidence_score(spark, d):
     ("conf",),
 )
 def confidence_summary(spark, d):
-    c = N.confidence_summary(_confidence(spark, d), KEY)
+    c = N.confidence_summary(_confidence(Run(spark, d)), KEY)
     return c.withColumn("confidence_mean", F.round("confidence_mean", 5))
 
 
@@ -248,7 +254,7 @@ def confidence_summary(spark, d):
     ("conf",),
 )
 def confidence_bucket(spark, d):
-    return _confidence(spark, d).select(*KEY, "step", N.dashboard_confidence(F.col("confidence_score")).alias("bucket"))
+    return _confidence(Run(spark, d)).select(*KEY, "step", N.dashboard_confidence(F.col("confidence_score")).alias("bucket"))
 
 
 @register(
@@ -258,19 +264,20 @@ def confidence_bucket(spark, d):
     ("conf", "drift"),
 )
 def risk_status(spark, d):
-    c = _confidence(spark, d)
+    c = _confidence(Run(spark, d))
     return c.select(*KEY, "step", N.risk_status(F.col("confidence_score"), F.col("drift_penalty") > 0).alias("risk"))
 
 
 # Ensembles --------------------------------------------------------------------------------------------
 
-def _quality(spark, d):
-    return _cv(spark, d).select(*KEY, F.col("cv_mape_mean").alias("mape"), F.col("cv_rmse_pct_mean").alias("rmse_pct"))
+def _quality(panel):
+    folds = E.full_metrics(B.cv_forecasts(panel, "unique_id"), ["unique_id", "fold", "model"], "step")
+    return E.cv_summary(folds, KEY).select(*KEY, F.col("cv_mape_mean").alias("mape"), F.col("cv_rmse_pct_mean").alias("rmse_pct"))
 
 
 @register("ensemble_topk", "SELECT unique_id, model, mape_rank FROM wbase WHERE mape_rank <= 3", ("wbase",))
 def ensemble_topk(spark, d):
-    return N.ensemble_weights(_quality(spark, d), "unique_id", top_k=3).select("unique_id", "model", "mape_rank")
+    return N.ensemble_weights(_quality(I.dense(spark, d)), "unique_id", top_k=3).select("unique_id", "model", "mape_rank")
 
 
 def _share(raw: str) -> str:
@@ -285,7 +292,7 @@ def _share(raw: str) -> str:
     ("weights", "wbase"),
 )
 def ensemble_weights(spark, d):
-    q = _quality(spark, d)
+    q = settle(_quality(I.dense(spark, d)))
     out = None
     for strategy, name in (("inverse_mape", "inverse_mape"), ("inverse_rmse", "inverse_rmse"), ("rank", "by_rank"), ("equal", "equal")):
         w = N.ensemble_weights(q, "unique_id", strategy, 3).select(*KEY, F.col("weight").alias(name))
@@ -293,8 +300,8 @@ def ensemble_weights(spark, d):
     return out
 
 
-def _ensemble(spark, d):
-    return N.ensemble_forecast(hold(spark, d), N.ensemble_weights(_quality(spark, d), "unique_id", top_k=3), "unique_id", "step")
+def _ensemble(panel, forecasts):
+    return N.ensemble_forecast(forecasts, N.ensemble_weights(_quality(panel), "unique_id", top_k=3), "unique_id", "step")
 
 
 @register(
@@ -302,7 +309,7 @@ def _ensemble(spark, d):
     "SELECT unique_id, step, actual, round(pred, 2) AS pred, round(lower, 2) AS lower, round(upper, 2) AS upper FROM ensm", ("ensm",),
 )
 def ensemble_forecast(spark, d):
-    return _ensemble(spark, d).select("unique_id", "step", "actual", *[F.round(c, 2).alias(c) for c in ("pred", "lower", "upper")])
+    return _ensemble(I.dense(spark, d), hold(spark, d)).select("unique_id", "step", "actual", *[F.round(c, 2).alias(c) for c in ("pred", "lower", "upper")])
 
 
 CTES["ensmetrics"] = (
@@ -314,7 +321,7 @@ CTES["ensmetrics"] = (
     "SELECT unique_id, mape, smape, mae_pct, rmse_pct, r2, direction_accuracy, bias_pct, theil_u FROM ensmetrics", ("ensmetrics",),
 )
 def ensemble_metrics(spark, d):
-    m = E.full_metrics(_ensemble(spark, d), ["unique_id"], "step")
+    m = E.full_metrics(_ensemble(I.dense(spark, d), hold(spark, d)), ["unique_id"], "step")
     return m.select("unique_id", "mape", "smape", "mae_pct", "rmse_pct", "r2", "direction_accuracy", "bias_pct", "theil_u")
 
 
@@ -328,7 +335,7 @@ def ensemble_metrics(spark, d):
 )
 def forecast_lookup_join(spark, d):
     """Forecast rows with the ensemble beside them; its band falls back to the model's own interval."""
-    ens = _ensemble(spark, d).filter(F.col("step") <= 4).select(
+    ens = _ensemble(I.dense(spark, d), hold(spark, d)).filter(F.col("step") <= 4).select(
         "unique_id", "step", F.col("pred").alias("ensemble"), F.col("lower").alias("e_lower"), F.col("upper").alias("e_upper")
     )
     base = hold(spark, d).filter(F.col("model") == "Naive")
@@ -351,9 +358,10 @@ def forecast_lookup_join(spark, d):
     ("dense", "ensm", "board", "conf", "drift"),
 )
 def kpi_snapshot(spark, d):
-    drift = _drift(spark, d).select(*KEY, F.col("overall_drift").alias("drift_detected"))
-    levels = I.dense(spark, d).withColumn("step", F.col("q"))
-    k = N.kpi_snapshot(levels, _ensemble(spark, d), _board(spark, d), _confidence(spark, d), drift, "unique_id", "step")
+    run = Run(spark, d)
+    drift = _drift(run).select(*KEY, F.col("overall_drift").alias("drift_detected"))
+    levels = run.panel.withColumn("step", F.col("q"))
+    k = N.kpi_snapshot(levels, _ensemble(run.panel, run.hold), _board(run), _confidence(run), drift, "unique_id", "step")
     return k.select(
         "unique_id", "current_level", "latest_ds", F.round("forecast_value", 2).alias("forecast_value"), "growth_pct",
         "best_model", "best_mape", "confidence_score", "risk",
