@@ -11,7 +11,7 @@ from tidemark.plans.inputs import with_ctes
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("panels", "series", "forecasts", "evaluation", "monitoring", "leads")
+MODULES = ("panels", "series", "forecasts", "evaluation", "monitoring", "leads", "texts", "files", "streams")
 
 PLANS: dict[str, Plan] = {}
 _BODIES: dict[str, tuple[str, tuple[str, ...]]] = {}
