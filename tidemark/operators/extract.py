@@ -70,7 +70,7 @@ def first_per_document(hits: DataFrame, doc: str, page: str) -> DataFrame:
 
 def page_lines(pages: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """One row per line with the next two lines beside it, taken inside the page (no shuffle)."""
-    lines = F.transform(F.split(F.replace(F.col(text), F.lit("’"), F.lit("'")), "\n"), F.trim)
+    lines = F.transform(F.split(F.replace(F.col(text), F.lit("’"), F.lit("'")), "\n"), lambda line: F.trim(line))
     split = pages.select(*keys, lines.alias("__l"))
     around = F.transform(
         "__l",

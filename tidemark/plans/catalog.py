@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.inputs import with_ctes
@@ -32,6 +32,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def near(c: str, digits: int) -> Column:
+    """Rounded level. The nudge settles exact halves the same way in every engine."""
+    return F.round(F.col(c) + 1e-7, digits).alias(c.split(".")[-1])
+
+
 def register(name: str, sql: str | None = None, needs: tuple[str, ...] = ()) -> Callable[[Plan], Plan]:
     def add(fn: Plan) -> Plan:
         if name in PLANS:

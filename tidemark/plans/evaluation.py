@@ -12,7 +12,7 @@ from tidemark.operators import profile as R
 from tidemark.operators import resample as Q
 from tidemark.operators import significance as T
 from tidemark.plans import inputs as I
-from tidemark.plans.catalog import register
+from tidemark.plans.catalog import near, register
 from tidemark.plans.forecasts import KEY, errors, hold, residuals
 from tidemark.plans.inputs import CTES, ORIGINS
 
@@ -103,9 +103,14 @@ _metric(
 )
 
 
-@register("bias", "SELECT unique_id, model, round(avg(pred - actual), 2) AS bias FROM hold GROUP BY 1, 2", ("hold",))
+@register("adjusted_r2", "SELECT unique_id, model, adjusted_r2 FROM metrics", ("metrics",))
+def adjusted_r2(spark, d):
+    return _full(spark, d).select(*KEY, "adjusted_r2")
+
+
+@register("bias", "SELECT unique_id, model, round(avg(pred - actual) + 1e-7, 2) AS bias FROM hold GROUP BY 1, 2", ("hold",))
 def bias(spark, d):
-    return hold(spark, d).groupBy(*KEY).agg(F.round(E.bias(), 2).alias("bias"))
+    return hold(spark, d).groupBy(*KEY).agg(F.round(E.bias() + 1e-7, 2).alias("bias"))
 
 
 @register("stability", "SELECT unique_id, model, stability FROM stab", ("stab",))
@@ -359,16 +364,17 @@ def ljung_box(spark, d):
 
 @register(
     "residual_stats",
-    """SELECT r.unique_id, r.model, count(*) AS n, round(avg(residual), 2) AS mean, round(stddev_pop(residual), 2) AS std, round(min(residual), 3) AS min,
-    round(max(residual), 3) AS max, round(max(m3) / pow(max(m2), 1.5), 5) AS skewness, round(max(m4) / pow(max(m2), 2) - 3, 5) AS kurtosis,
-    round(quantile_cont(residual, 0.25), 2) AS q25, round(quantile_cont(residual, 0.75), 2) AS q75
+    """SELECT r.unique_id, r.model, count(*) AS n, round(avg(residual) + 1e-7, 2) AS mean, round(stddev_pop(residual) + 1e-7, 2) AS std, round(min(residual) + 1e-7, 3) AS min,
+    round(max(residual) + 1e-7, 3) AS max, round(max(m3) / pow(max(m2), 1.5), 5) AS skewness, round(max(m4) / pow(max(m2), 2) - 3, 5) AS kurtosis,
+    round(quantile_cont(residual, 0.25) + 1e-7, 2) AS q25, round(quantile_cont(residual, 0.75) + 1e-7, 2) AS q75
     FROM resids r JOIN moments m ON r.unique_id = m.unique_id AND r.model = m.model GROUP BY 1, 2""",
     ("resids", "moments"),
 )
 def residual_stats(spark, d):
     t = T.residual_stats(residuals(spark, d), KEY, "residual")
-    digits = {"mean": 2, "std": 2, "min": 3, "max": 3, "skewness": 5, "kurtosis": 5, "q25": 2, "q75": 2}
-    return t.select(*KEY, "n", *[F.round(c, k).alias(c) for c, k in digits.items()])
+    digits = {"mean": 2, "std": 2, "min": 3, "max": 3, "q25": 2, "q75": 2}
+    shape = [F.round(c, 5).alias(c) for c in ("skewness", "kurtosis")]
+    return t.select(*KEY, "n", *[near(c, k) for c, k in digits.items()], *shape)
 
 
 def _residual_arrays(spark, d):

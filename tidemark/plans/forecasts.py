@@ -8,7 +8,7 @@ from tidemark.operators import diagnostics as D
 from tidemark.operators import forecast as B
 from tidemark.operators import models as M
 from tidemark.plans import inputs as I
-from tidemark.plans.catalog import register
+from tidemark.plans.catalog import near, register
 from tidemark.plans.inputs import CTES, ORIGINS, TUNING
 from tidemark.session import settle
 
@@ -121,10 +121,10 @@ def active_at_origin(spark, d):
     return s.select("unique_id", "origin", F.col("state.n").alias("n"))
 
 
-@register("mase_scale", "SELECT unique_id, CAST(origin AS VARCHAR) AS origin, round(scale, 3) AS scale FROM states", ("states",))
+@register("mase_scale", "SELECT unique_id, CAST(origin AS VARCHAR) AS origin, round(scale + 1e-7, 3) AS scale FROM states", ("states",))
 def mase_scale(spark, d):
     s = B.origin_states(I.dense(spark, d), "unique_id", ORIGINS)
-    return s.select("unique_id", "origin", F.round("state.scale", 3).alias("scale"))
+    return s.select("unique_id", "origin", near("state.scale", 3))
 
 
 def _forecast_query(name: str, model: str):
@@ -150,22 +150,22 @@ for _name, _model in (
 
 @register(
     "baseline_interval",
-    "SELECT unique_id, model, h AS step, round(lower, 2) AS lower, round(upper, 2) AS upper FROM hold", ("hold",),
+    "SELECT unique_id, model, h AS step, round(lower + 1e-7, 2) AS lower, round(upper + 1e-7, 2) AS upper FROM hold", ("hold",),
 )
 def baseline_interval(spark, d):
-    return hold(spark, d).select(*KEY, "step", F.round("lower", 2).alias("lower"), F.round("upper", 2).alias("upper"))
+    return hold(spark, d).select(*KEY, "step", near("lower", 2), near("upper", 2))
 
 
 @register(
     "backtest_score",
     """SELECT unique_id, CAST(origin AS VARCHAR) AS origin, CAST(ds AS VARCHAR) AS ds, h, model, actual,
     CASE WHEN model = 'ARDrift' THEN round(pred, 4) ELSE pred END AS pred,
-    CASE WHEN model = 'ARDrift' THEN round(ae, 4) ELSE ae END AS ae, round(scale, 3) AS scale FROM errs""",
+    CASE WHEN model = 'ARDrift' THEN round(ae, 4) ELSE ae END AS ae, round(scale + 1e-7, 3) AS scale FROM errs""",
     ("errs",),
 )
 def backtest_score(spark, d):
     e = errors(spark, d)
-    return e.select("unique_id", "origin", "ds", "h", "model", "actual", steady("pred"), steady("ae"), F.round("scale", 3).alias("scale"))
+    return e.select("unique_id", "origin", "ds", "h", "model", "actual", steady("pred"), steady("ae"), near("scale", 3))
 
 
 @register(
@@ -197,12 +197,12 @@ def validation_origins(spark, d):
 
 @register(
     "timeseries_cv",
-    """SELECT unique_id, fold, step, CAST(ds AS VARCHAR) AS ds, model, actual, round(pred, 4) AS pred, n_train FROM cvfc""",
+    """SELECT unique_id, fold, step, CAST(ds AS VARCHAR) AS ds, model, actual, round(pred + 1e-7, 4) AS pred, n_train FROM cvfc""",
     ("cvfc",),
 )
 def timeseries_cv(spark, d):
     c = B.cv_forecasts(I.dense(spark, d), "unique_id")
-    return c.select("unique_id", "fold", "step", "ds", "model", "actual", F.round("pred", 4).alias("pred"), "n_train")
+    return c.select("unique_id", "fold", "step", "ds", "model", "actual", near("pred", 4), "n_train")
 
 
 @register(
@@ -218,7 +218,7 @@ def align_common_index(spark, d):
 
 
 _TRANSFER_SQL = """SELECT coalesce(a.unique_id, b.unique_id) AS unique_id, coalesce(a.h, b.h) AS h,
-    round(b.pred, 4) AS pred, round(a.upper, 2) AS upper FROM (SELECT * FROM hold WHERE model = 'Drift' AND h <= 5) a
+    round(b.pred + 1e-7, 4) AS pred, round(a.upper + 1e-7, 2) AS upper FROM (SELECT * FROM hold WHERE model = 'Drift' AND h <= 5) a
     FULL OUTER JOIN (SELECT * FROM hold WHERE model = 'Naive' AND h >= 2) b ON a.unique_id = b.unique_id AND a.h = b.h"""
 
 
@@ -230,7 +230,7 @@ def transfer_merge(spark, d):
     old = h.filter((F.col("model") == "Drift") & (F.col("step") <= 5)).select("unique_id", F.col("step").alias("h"), "pred", "upper")
     new = h.filter((F.col("model") == "Naive") & (F.col("step") >= 2)).select("unique_id", F.col("step").alias("h"), "pred")
     m = merge_columns_by_key(old, new, ["unique_id", "h"])
-    return m.select("unique_id", "h", F.round("pred", 4).alias("pred"), F.round("upper", 2).alias("upper"))
+    return m.select("unique_id", "h", near("pred", 4), near("upper", 2))
 
 
 @register(
@@ -248,6 +248,29 @@ def merge_runs_guarded(spark, d):
     return m.select("unique_id", "origin", "h", "model", steady("ae"))
 
 
+@register(
+    "union_origins",
+    "SELECT unique_id, CAST(origin AS VARCHAR) AS origin, h, pred FROM fc WHERE model = 'Naive'", ("fc",),
+)
+def union_origins(spark, d):
+    """Origins backtested apart and stacked give what one plan over all origins gives."""
+    panel = settle(I.dense(spark, d))
+    parts = [
+        B.forecast_at_origins(B.origin_states(panel, "unique_id", origins), models=["Naive"])
+        for origins in (ORIGINS[:5], ORIGINS[5:])
+    ]
+    return parts[0].unionByName(parts[1]).select("unique_id", "origin", "h", "pred")
+
+
+@register(
+    "sorted_output",
+    "SELECT unique_id, CAST(ds AS VARCHAR) AS ds, y FROM dense ORDER BY unique_id, ds", ("dense",),
+)
+def sorted_output(spark, d):
+    """Order is stated at the sink only."""
+    return I.dense(spark, d).select("unique_id", "ds", "y").orderBy("unique_id", "ds")
+
+
 # Fitted models ----------------------------------------------------------------------------------
 
 def _training_arrays(spark, d):

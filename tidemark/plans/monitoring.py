@@ -9,7 +9,7 @@ from tidemark.operators import features as S
 from tidemark.operators import forecast as B
 from tidemark.operators import monitor as N
 from tidemark.plans import inputs as I
-from tidemark.plans.catalog import register
+from tidemark.plans.catalog import near, register
 from tidemark.plans.evaluation import full_sql
 from tidemark.plans.forecasts import KEY, Run, hold, residuals
 from tidemark.plans.inputs import CTES
@@ -306,10 +306,10 @@ def _ensemble(panel, forecasts):
 
 @register(
     "ensemble_forecast",
-    "SELECT unique_id, step, actual, round(pred, 2) AS pred, round(lower, 2) AS lower, round(upper, 2) AS upper FROM ensm", ("ensm",),
+    "SELECT unique_id, step, actual, round(pred + 1e-7, 2) AS pred, round(lower + 1e-7, 2) AS lower, round(upper + 1e-7, 2) AS upper FROM ensm", ("ensm",),
 )
 def ensemble_forecast(spark, d):
-    return _ensemble(I.dense(spark, d), hold(spark, d)).select("unique_id", "step", "actual", *[F.round(c, 2).alias(c) for c in ("pred", "lower", "upper")])
+    return _ensemble(I.dense(spark, d), hold(spark, d)).select("unique_id", "step", "actual", *[near(c, 2) for c in ("pred", "lower", "upper")])
 
 
 CTES["ensmetrics"] = (

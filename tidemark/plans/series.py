@@ -11,7 +11,7 @@ from tidemark.operators import guards as G
 from tidemark.operators import profile as R
 from tidemark.operators import significance as T
 from tidemark.plans import inputs as I
-from tidemark.plans.catalog import register
+from tidemark.plans.catalog import near, register
 from tidemark.plans.inputs import CTES
 
 W = "OVER (PARTITION BY unique_id ORDER BY q)"
@@ -202,15 +202,15 @@ CTES |= {
 
 @register(
     "seasonal_decompose",
-    """SELECT t.unique_id, t.q, round(t.trend, 2) AS trend, round(p.raw - c.centre, 2) AS seasonal,
-    round(t.y - t.trend - (p.raw - c.centre), 2) AS resid FROM trend t
+    """SELECT t.unique_id, t.q, round(t.trend + 1e-7, 2) AS trend, round(p.raw - c.centre + 1e-7, 2) AS seasonal,
+    round(t.y - t.trend - (p.raw - c.centre) + 1e-7, 2) AS resid FROM trend t
     JOIN phases p ON t.unique_id = p.unique_id AND quarter(t.ds) = p.ph
     JOIN (SELECT unique_id, avg(raw) AS centre FROM phases GROUP BY 1) c ON t.unique_id = c.unique_id""",
     ("trend", "phases"),
 )
 def seasonal_decompose(spark, d):
     s = S.seasonal_decompose(I.dense(spark, d), "unique_id", "q", "y", F.quarter("ds"))
-    return s.select("unique_id", "q", *[F.round(c, 2).alias(c) for c in ("trend", "seasonal", "resid")])
+    return s.select("unique_id", "q", *[near(c, 2) for c in ("trend", "seasonal", "resid")])
 
 
 @register(
@@ -279,14 +279,14 @@ def series_kpis(spark, d):
 
 @register(
     "describe_series",
-    """SELECT unique_id, count(y) AS n, round(avg(y), 3) AS mean, round(stddev_samp(y), 2) AS std, min(y) AS min,
+    """SELECT unique_id, count(y) AS n, round(avg(y) + 1e-7, 3) AS mean, round(stddev_samp(y) + 1e-7, 2) AS std, min(y) AS min,
     round(quantile_cont(y, 0.25), 6) AS q25, round(quantile_cont(y, 0.5), 6) AS median, round(quantile_cont(y, 0.75), 6) AS q75, max(y) AS max FROM dense GROUP BY 1""",
     ("dense",),
 )
 def describe_series(spark, d):
     s = R.describe_series(I.dense(spark, d), "unique_id")
     q = [F.round(c, 6).alias(c) for c in ("q25", "median", "q75")]
-    return s.select("unique_id", "n", F.round("mean", 3).alias("mean"), F.round("std", 2).alias("std"), "min", "max", *q)
+    return s.select("unique_id", "n", near("mean", 3), near("std", 2), "min", "max", *q)
 
 
 _MISSING = ("part_a", "part_n", "part_r", "whole")

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import finite
 
 
+def by_folder(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of one folder together before a partitioned write, so a folder gets few files.
+
+    A rebalance rather than a repartition: the runtime splits a folder that holds a large share.
+    """
+    return df.hint("rebalance", *columns) if columns else df
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
+    df = by_folder(df, partition_by)
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return path
 
@@ -30,7 +39,7 @@ def land_by_period(df: DataFrame, path: str, period: str, force: bool = False) -
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
                 raise
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
+    by_folder(df, [period]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(period).parquet(path)
     return spark.read.parquet(path)
 
 
