@@ -1,12 +1,13 @@
 """Operator inputs derived from the star-schema tables, each as a Spark plan and as the equivalent SQL.
 
 Every input is reduced to one row per (entity, period) by a combinable aggregate before anything else
-touches it. Money is summed as DECIMAL so that both engines start from the same doubles.
+touches it. Money is summed in whole units of its last decimal, as BIGINT: exact in any order, and on the
+primitive path of the aggregation where a wide DECIMAL would not be. An overflow fails the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import day_index, quarter_end_of_index, quarter_index
@@ -17,17 +18,28 @@ ORIGINS = tuple(f"{y}-{md}" for y in (1998, 1999, 2000) for md in ("03-31", "06-
 TUNING = ("1997-12-31", "1998-06-30")
 
 
+def units(amount: Column, decimals: int) -> Column:
+    return F.rint(amount * 10.0**decimals).cast("long")
+
+
+def money_sum(amount: Column, decimals: int) -> Column:
+    return F.sum(units(amount, decimals)) / F.lit(10.0**decimals)
+
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
     """Supplier x quarter revenue: long series without gaps."""
-    revenue = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
     return (
         table(spark, d, "lineitem")
         .groupBy(F.col("l_suppkey").cast("string").alias("unique_id"), quarter_index(F.col("l_shipdate")).alias("q"))
-        .agg(F.sum(revenue).cast("double").alias("y"))
+        .agg(money_sum(revenue(), 4).alias("y"))
         .select("unique_id", quarter_end_of_index(F.col("q")).alias("ds"), "q", "y")
     )
 
@@ -37,22 +49,20 @@ def gappy(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "orders")
         .groupBy(F.col("o_custkey").alias("entity"), quarter_index(F.col("o_orderdate")).alias("q"))
-        .agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("y"))
+        .agg(money_sum(F.col("o_totalprice"), 2).alias("y"))
         .select("entity", quarter_end_of_index(F.col("q")).alias("ds"), "q", "y")
     )
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
     """Part x quarter revenue by return flag, with the total rounded to whole units; parts are often missing."""
-    revenue = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
-
     def part(flag: str):
-        return F.sum(F.when(F.col("l_returnflag") == flag, revenue)).cast("double").alias(f"part_{flag.lower()}")
+        return money_sum(F.when(F.col("l_returnflag") == flag, revenue()), 4).alias(f"part_{flag.lower()}")
 
     return (
         table(spark, d, "lineitem")
         .groupBy(F.col("l_partkey").alias("entity"), quarter_index(F.col("l_shipdate")).alias("q"))
-        .agg(part("A"), part("N"), part("R"), F.sum(revenue).cast("decimal(28,0)").cast("double").alias("whole"))
+        .agg(part("A"), part("N"), part("R"), F.round(money_sum(revenue(), 4), 0).alias("whole"))
         .select("entity", quarter_end_of_index(F.col("q")).alias("ds"), "q", "part_a", "part_n", "part_r", "whole")
     )
 
@@ -95,7 +105,7 @@ def event_days(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "events")
         .groupBy("event_type", F.col("ts").cast("date").alias("ds"))
-        .agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("y"), F.count("*").alias("n"))
+        .agg(money_sum(F.col("value"), 4).alias("y"), F.count("*").alias("n"))
         .withColumn("day", day_index(F.col("ds")))
     )
 
@@ -107,7 +117,7 @@ def macro(spark: SparkSession, d: str) -> DataFrame:
         .groupBy(quarter_index(F.col("o_orderdate")).alias("q"))
         .agg(
             F.count("*").cast("double").alias("orders_n"),
-            F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("orders_value"),
+            money_sum(F.col("o_totalprice"), 2).alias("orders_value"),
         )
         .withColumn("rate", F.when(F.col("q") % 4 != 0, F.round(F.col("orders_value") / F.col("orders_n") / 1000, 6)))
     )
