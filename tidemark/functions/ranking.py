@@ -2,7 +2,8 @@
 
 A window without partition keys, or partitioned by a handful of model names, runs in as many
 tasks as it has keys. Here rows are range-partitioned on (group, order) instead, each sorted
-partition is summed on its own, and the few per-partition totals are added up and joined back.
+partition is summed on its own, and the few per-partition totals (one row per range partition and
+group, whatever the number of rows) are added up and joined back.
 A hot group is spread over as many partitions as its rows need.
 """
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clip, ratio
 from tidemark.functions.ranking import exact_quantiles
+from tidemark.session import settle
 
 # Weight of each metric in the composite score.
 COMPOSITE_WEIGHTS = {"mape": 0.35, "rmse_pct": 0.25, "mae_pct": 0.20, "stability": 0.20}
@@ -156,7 +157,8 @@ def panel_leaderboard(errors: DataFrame, series: str, baseline: str = "SeasonalN
     """
     per = series_origin_mase(errors, series)
     base = F.max(F.when(F.col("model") == baseline, F.col("mase"))).over(W.partitionBy(series, "origin"))
-    per = per.withColumn("base", base)
+    # Both halves below read this table, and the sort samples it first: compute it once.
+    per = settle(per.select("model", "mase", base.alias("base")))
     means = per.groupBy("model").agg(
         F.avg("mase").alias("mase_mean"),
         F.avg(F.coalesce(F.col("mase") < F.col("base"), F.lit(False)).cast("double")).alias("share_beats_baseline"),

@@ -121,14 +121,14 @@ def scale_complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     complete = F.lit(True)
     for c in cols:
         complete = complete & F.col(c).isNotNull()
-    stats = df.filter(complete).agg(
-        *[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols]
-    )
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(stats.withColumn("__one", F.lit(1))), "__one")
+    # One row of moments, read as a scalar subquery: nothing is joined.
+    moments = F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    stats = df.filter(complete).select(moments.alias("__s")).scalar()
+    joined = df.withColumn("__s", stats)
 
     def scaled(c: str) -> Column:
-        sd = F.when(F.col(f"__s_{c}") == 0, 1.0).otherwise(F.col(f"__s_{c}"))
-        return F.when(complete, (F.col(c) - F.col(f"__m_{c}")) / sd).otherwise(F.col(c)).alias(c)
+        sd = F.when(F.col(f"__s.{c}.s") == 0, 1.0).otherwise(F.col(f"__s.{c}.s"))
+        return F.when(complete, (F.col(c) - F.col(f"__s.{c}.m")) / sd).otherwise(F.col(c)).alias(c)
 
     return joined.select(*[c for c in df.columns if c not in cols], *[scaled(c) for c in cols])
 

@@ -9,6 +9,7 @@ copied per origin.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,17 +94,11 @@ def origin_states(
     return (
         running_state(panel, series, "q", season=season)
         .withColumn("future", F.array(*ahead))
-        .filter(F.col("ds").isin(*[_date(o) for o in origins]) & (F.col("state.n") >= min_history))
+        .filter(F.col("ds").isin(*[date.fromisoformat(o) for o in origins]) & (F.col("state.n") >= min_history))
         .select(series, F.col("ds").alias("origin"), F.col("q").alias("origin_q"), "state", "future")
     )
 
 
-def _date(text: str):
-    import datetime
-
-    return datetime.date.fromisoformat(text)
-
-
 def fan_out(panel: DataFrame, series: str, origins: Sequence[str], min_history: int = 16, horizon: int = 4) -> DataFrame:
     """Training and test rows per origin, for fitters that need the whole window.
 
@@ -111,7 +106,8 @@ def fan_out(panel: DataFrame, series: str, origins: Sequence[str], min_history:
     """
     at = F.array(*[F.lit(o).cast("date") for o in origins])
     w = W.partitionBy(series, "origin")
-    rows = panel.withColumn("origin", F.explode(at)).withColumn("origin_q", quarter_index(F.col("origin")))
+    # Shuffle each row once and copy it per origin afterwards: the windows keep the partitioning.
+    rows = panel.repartition(series).withColumn("origin", F.explode(at)).withColumn("origin_q", quarter_index(F.col("origin")))
     train = F.col("q") <= F.col("origin_q")
     return (
         rows.filter(F.col("q") <= F.col("origin_q") + horizon)

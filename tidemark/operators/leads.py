@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import side_by_side
 from tidemark.functions.numeric import any_of, half_even_count, ratio, total_of
 from tidemark.functions.ranking import running_sums
 
@@ -168,13 +169,8 @@ def brier(df: DataFrame, probability: str, label: str) -> DataFrame:
 
 def score_metrics(ranked: DataFrame, score: str, label: str) -> DataFrame:
     """Lifts, ROC area and average precision in one row from one ranking."""
-    one = F.lit(1)
     t = by_threshold(ranked, score, label)
-    parts = [lift_at(ranked, label, (0.1, 0.05, 0.01)), roc_auc(t), average_precision(t)]
-    out = parts[0].withColumn("__o", one)
-    for p in parts[1:]:
-        out = out.join(p.withColumn("__o", one), "__o")
-    return out.drop("__o")
+    return side_by_side(lift_at(ranked, label, (0.1, 0.05, 0.01)), roc_auc(t), average_precision(t))
 
 
 def decile_of(rank: Column, total: Column, groups: int = 10) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import quarter_index
+from tidemark.functions.frames import side_by_side
 from tidemark.functions.numeric import ratio, share, sum_or_zero, total_of
 from tidemark.operators.asof import asof_backward
 
@@ -266,5 +267,4 @@ def panel_summary(raw: DataFrame, history: DataFrame, entity: str, min_periods:
         F.min("first_ds").alias("first_ds"),
         F.max("last_ds").alias("last_ds"),
     )
-    # One row each side: a join on a constant key.
-    return incoming.withColumn("__one", F.lit(1)).join(outgoing.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return side_by_side(incoming, outgoing)

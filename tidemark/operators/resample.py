@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import side_by_side
 from tidemark.functions.ranking import global_rank
 
 
@@ -109,5 +110,4 @@ def paired_bootstrap(
         F.percentile("m", alpha / 2).alias("ci_lo"), F.percentile("m", 1 - alpha / 2).alias("ci_hi")
     )
     point = per.agg(F.avg("d").alias("mean_diff"), F.count("*").alias("entities"))
-    one = F.lit(1)
-    return point.withColumn("__o", one).join(interval.withColumn("__o", one), "__o").drop("__o")
+    return side_by_side(point, interval)

@@ -26,9 +26,8 @@ def merge_runs_guarded(first: DataFrame, second: DataFrame, keys: Sequence[str],
 
     A stale or partial run would silently shrink a comparison through an inner join.
     """
-    same = key_set_difference(first, second, keys).select("same")
-    extra = second.withColumn("__one", F.lit(1)).join(F.broadcast(same.filter("same").withColumn("__one", F.lit(1))), "__one")
-    return first.select(*scored).unionByName(extra.select(*scored))
+    same = key_set_difference(first, second, keys).select("same").scalar()
+    return first.select(*scored).unionByName(second.filter(same).select(*scored))
 
 
 def merge_columns_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
