@@ -93,7 +93,7 @@ def paired_bootstrap(
         .withColumn("block", F.pmod(F.xxhash64(series), F.lit(blocks)).cast("int"))
     )
 
-    def weigh(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values(series, kind="stable")["d"].to_numpy()
         rng = np.random.default_rng([seed, int(key[0])])
         wd, w = np.zeros(reps), np.zeros(reps)
