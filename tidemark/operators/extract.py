@@ -36,7 +36,8 @@ def select_filings(df: DataFrame, include: Mapping[str, str], exclude: Mapping[s
 
 
 def first_group(text: Column, p: Pattern) -> Column:
-    return F.when(text.rlike(p.regex), F.regexp_extract(text, p.regex, p.group))
+    # No match and an empty group both give NULL, with one pass of the pattern.
+    return F.nullif(F.regexp_extract(text, p.regex, p.group), F.lit(""))
 
 
 def extract_fields(pages: DataFrame, doc: str, page: str, text: str, patterns: Sequence[Pattern]) -> DataFrame:

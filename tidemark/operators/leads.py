@@ -49,6 +49,17 @@ def next_period_adds(df: DataFrame, customer: str, period: str, products: Sequen
     )
 
 
+def one_row_per_period(df: DataFrame, customer: str, period: str) -> DataFrame:
+    """Fail the job when a customer has two rows in one period: lags would mix them up.
+
+    Same window as the lags, so it adds no shuffle.
+    """
+    same = F.count(F.lit(1)).over(W.partitionBy(customer).orderBy(period).rangeBetween(0, 0))
+    message = F.lit(f"duplicate key on {customer}, {period}")
+    ok = F.when(F.col("__same") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return df.withColumn("__same", same).filter(ok).drop("__same")
+
+
 def holdings(df: DataFrame, products: Sequence[str]) -> DataFrame:
     """Products held, change since the previous period, products gained then, first period seen."""
     now = [F.col(c).cast("int") for c in products]
@@ -71,7 +82,7 @@ def build_features(
 
     Rows before ``first_period`` only serve as lags.
     """
-    filled = flag_fill(df, products)
+    filled = one_row_per_period(flag_fill(df, products), customer, period)
     lags = {c: [1, *(deep_lags if c in targets else ())] for c in products}
     labelled = holdings(next_period_adds(calendar_lags(filled, customer, period, lags), customer, period, targets, out), products)
     return labelled if first_period is None else labelled.filter(F.col(period) >= first_period)

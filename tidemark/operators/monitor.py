@@ -327,12 +327,14 @@ def risk_status(score: Column, drift: Column) -> Column:
     )
 
 
-def model_badges(rank: Column, stability: Column, mape: Column) -> Column:
+def model_badges(rank: Column, stability: Column, mape: Column, fit_seconds: Column | None = None) -> Column:
+    fast = F.lit(False) if fit_seconds is None else fit_seconds <= 0.5
     badges = F.array_compact(
         F.array(
             F.when(rank == 1, "Production Candidate"),
             F.when(rank == 1, "Best Accuracy"),
             F.when(stability >= 75, "Most Stable"),
+            F.when(fast, "Fastest"),
             F.when(mape >= 5, "Risky"),
         )
     )

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import side_by_side
@@ -35,43 +34,47 @@ def poisson_lift_interval(
 
     The sum of n Poisson(1) weights is Poisson(n), so a bin needs two draws per replicate whatever its
     size. Only the bin straddling the cut is interpolated, and it is taken whole when it is one row.
+    The bins (at most ``bins`` of them) travel as one row of arrays and the replicates are spread over
+    tasks, so nothing of size bins x replicates is shuffled.
     """
-    binned = ranked_bins(scored, score, label, tie, bins)
+    folded = F.array_sort(F.collect_list(F.struct("bin", "n", "n_pos")))
+    packed = ranked_bins(scored, score, label, tie, bins).agg(folded.alias("b")).select(
+        F.transform("b", lambda s: s["n"]).alias("n"), F.transform("b", lambda s: s["n_pos"]).alias("n_pos")
+    )
+    tasks = min(32, reps)
+    blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "block")
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, int(row.bin)])
-                pos = rng.poisson(row.n_pos, reps)
-                neg = rng.poisson(row.n - row.n_pos, reps)
-                yield pd.DataFrame(
-                    {"rep": np.arange(reps), "bin": row.bin, "single": bool(row.n == 1),
-                     "w": (pos + neg).astype(float), "w_pos": pos.astype(float)}
-                )
-
-    drawn = binned.mapInPandas(draw, "rep long, bin int, single boolean, w double, w_pos double")
-    rep = W.partitionBy("rep")
-    before = rep.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    d = drawn.withColumn("cut", F.lit(k) * F.sum("w").over(rep)).withColumn(
-        "before", F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    )
-    part = F.when(F.col("before") >= F.col("cut"), 0.0).when(
-        (F.col("before") + F.col("w") <= F.col("cut")) | F.col("single"), 1.0
-    ).otherwise(F.try_divide(F.col("cut") - F.col("before"), F.col("w")))
-    lifts = d.withColumn("part", part).groupBy("rep").agg(
-        F.sum(F.col("part") * F.col("w_pos")).alias("top_pos"),
-        F.sum(F.col("part") * F.col("w")).alias("top_w"),
-        F.sum("w_pos").alias("pos"),
-        F.sum("w").alias("w"),
-    )
-    lift = F.try_divide(F.try_divide(F.col("top_pos"), F.col("top_w")), F.try_divide(F.col("pos"), F.col("w")))
-    return lifts.select(lift.alias("lift")).agg(
+            for block, n, n_pos in zip(pdf["block"], pdf["n"], pdf["n_pos"]):
+                n, n_pos = np.asarray(n), np.asarray(n_pos)
+                lifts = [_weighted_lift(n, n_pos, k, np.random.default_rng([seed, rep])) for rep in range(block, reps, tasks)]
+                yield pd.DataFrame({"lift": np.array(lifts, dtype=float)})
+
+    lifts = blocks.mapInPandas(replicate, "lift double").filter(~F.isnan("lift"))
+    return lifts.agg(
         F.percentile("lift", alpha / 2).alias("lift_lo"),
         F.percentile("lift", 1 - alpha / 2).alias("lift_hi"),
         F.count("lift").alias("reps"),
     )
 
 
+def _weighted_lift(n: np.ndarray, n_pos: np.ndarray, k: float, rng: np.random.Generator) -> float:
+    """Lift of one replicate over bins ordered from the best score down."""
+    pos = rng.poisson(n_pos)
+    weight = pos + rng.poisson(n - n_pos)
+    upto = np.cumsum(weight)
+    cut = k * upto[-1]
+    at = int(np.searchsorted(upto, cut))
+    before = upto[at] - weight[at]
+    part = 1.0 if n[at] == 1 else (cut - before) / weight[at]
+    top_weight = before + part * weight[at]
+    top_pos = pos[:at].sum() + part * pos[at]
+    if not pos.sum() or not top_weight:
+        return float("nan")
+    return float(top_pos / top_weight / (pos.sum() / upto[-1]))
+
+
 def paired_bootstrap(
     mase: DataFrame, series: str, a: str, b: str, reps: int = 2000, seed: int = 42,
     alpha: float = 0.05, blocks: int = 256,

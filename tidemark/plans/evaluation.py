@@ -62,9 +62,12 @@ CTES |= {
         """SELECT unique_id, model, round(avg(mape), 3) AS cv_mape_mean, round(stddev_samp(mape), 3) AS cv_mape_std,
         round(avg(rmse_pct), 3) AS cv_rmse_pct_mean, round(avg(r2), 4) AS cv_r2_mean,
         round(avg(direction_accuracy), 2) AS cv_direction_mean, count(*) AS cv_folds FROM cvm GROUP BY 1, 2""", ("cvm",)),
+    # Student's t tail for n - 1 degrees of freedom as a finite sum, odd and even case.
     "dm": (
-        """SELECT unique_id, model, n, dm_stat, theta, 1 - 2 / pi() * (theta + sin(theta) * (cos(theta) + 2.0/3 * pow(cos(theta), 3))) AS p_value FROM (
-        SELECT *, atan(abs(dm_stat) / sqrt(n - 1.0)) AS theta FROM (
+        """SELECT unique_id, model, n, dm_stat, 1 - CASE WHEN (n - 1) % 2 = 1 THEN 2 / pi() * (th + sin(th) * cos(th) * coalesce(list_sum(list_transform(
+        range(0, (n - 2) // 2), lambda k: sqrt(pi()) / 2 * gamma(k + 1) / gamma(k + 1.5) * pow(cos(th), 2 * k))), 0))
+        ELSE sin(th) * list_sum(list_transform(range(0, (n - 1) // 2), lambda k: gamma(k + 0.5) / gamma(k + 1) / sqrt(pi()) * pow(cos(th), 2 * k))) END AS p_value FROM (
+        SELECT *, atan(abs(dm_stat) / sqrt(n - 1.0)) AS th FROM (
           SELECT a.unique_id, a.model, count(*) AS n, avg(pow(a.actual - a.pred, 2) - pow(b.actual - b.pred, 2)) /
           sqrt(var_pop(pow(a.actual - a.pred, 2) - pow(b.actual - b.pred, 2)) / count(*)) * sqrt((count(*) - 1.0) / count(*)) AS dm_stat
           FROM hold a JOIN hold b ON a.unique_id = b.unique_id AND a.h = b.h AND b.model = 'SeasonalNaive'
@@ -316,12 +319,11 @@ def diebold_mariano(spark, d):
 
 @register(
     "dm_table",
-    "SELECT unique_id, model, round(dm_stat, 3) AS dm_stat, round(p_value, 4) AS p_value, p_value < 0.05 AS significant_5pct, n FROM dm WHERE n = 6",
+    "SELECT unique_id, model, round(dm_stat, 3) AS dm_stat, round(p_value, 4) AS p_value, p_value < 0.05 AS significant_5pct, n FROM dm",
     ("dm",),
 )
 def dm_table(spark, d):
-    # The SQL side writes the t tail out for five degrees of freedom: series with six test quarters.
-    t = T.dm_table(hold(spark, d), "unique_id", "step").filter(F.col("n") == 6)
+    t = T.dm_table(hold(spark, d), "unique_id", "step")
     return t.select(*KEY, F.round("dm_stat", 3).alias("dm_stat"), F.round("p_value", 4).alias("p_value"), "significant_5pct", "n")
 
 
