@@ -50,6 +50,15 @@ def horizon_quarters(ds: Column, origin: Column) -> Column:
     return quarter_index(ds) - quarter_index(origin)
 
 
+def utc_instant(local: Column) -> Column:
+    """A zone-less timestamp read as UTC, whatever the session's zone (event time must be an instant)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), local))
+
+
+def utc_date(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def quarter_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every quarter end between two dates, both included."""
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import utc_date, utc_instant
 from tidemark.plans import inputs as I
 from tidemark.plans.catalog import register
 from tidemark.plans.inputs import CTES
@@ -25,13 +26,13 @@ CTES |= {
 
 def events(spark, d):
     schema = I.table(spark, d, "events").schema
-    return J.read_files(spark, d, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.read_files(spark, d, schema, "events.parquet").withColumn("ts", utc_instant(F.col("ts")))
 
 
 @register("stream_incremental_land", "SELECT event_id, user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def stream_incremental_land(spark, d):
     stream = J.landed(events(spark, d), ["event_id"], "ts", LATENESS).select(
-        "event_id", "user_id", "event_type", F.col("ts").cast("date").alias("day")
+        "event_id", "user_id", "event_type", utc_date(F.col("ts")).alias("day")
     )
     return J.run_to_table(stream, partition_by=["day"]).select("event_id", "user_id", "event_type", "day")
 
@@ -42,7 +43,7 @@ def stream_incremental_land(spark, d):
 )
 def stream_period_totals(spark, d):
     totals = J.run_to_table(J.period_totals(events(spark, d), "ts", "value", ["event_type"], "1 day", LATENESS))
-    return totals.select("event_type", F.col("period_start").cast("date").alias("day"), F.round("total", 4).alias("total"), "n")
+    return totals.select("event_type", utc_date(F.col("period_start")).alias("day"), F.round("total", 4).alias("total"), "n")
 
 
 @register(
@@ -61,6 +62,6 @@ def stream_cusum_monitor(spark, d):
     totals = J.period_totals(events(spark, d), "ts", "value", ["event_type"], "1 day", LATENESS)
     out = J.run_to_table(J.cusum_monitor(totals, "event_type", reference))
     return out.select(
-        "key", F.col("period_start").cast("date").alias("day"), "n", F.round("cusum_pos", 6).alias("cusum_pos"),
+        "key", utc_date(F.col("period_start")).alias("day"), "n", F.round("cusum_pos", 6).alias("cusum_pos"),
         F.round("cusum_neg", 6).alias("cusum_neg"),
     )
