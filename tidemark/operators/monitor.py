@@ -15,6 +15,16 @@ from tidemark.functions.numeric import clip, ratio
 
 DETECTORS = ("iqr", "zscore", "rolling")
 
+# Parts of the confidence score and the labels of score bands.
+ERROR_POINTS, ERROR_DECAY, ERROR_UNKNOWN = 40.0, 0.07, 50.0
+STABILITY_SHARE, STABILITY_UNKNOWN = 0.30, 50.0
+HORIZON_POINTS, HORIZON_DECAY, HORIZON_FLOOR = 20.0, 0.18, 5.0
+WIDTH_POINTS, WIDTH_DECAY, WIDTH_UNKNOWN = 10.0, 2.5, 5.0
+DRIFT_PENALTY = 15.0
+CONFIDENCE_BANDS = ((80, "Very High"), (65, "High"), (45, "Medium"), (25, "Low"), (None, "Very Low"))
+EXPORT_BANDS = ((75, "High"), (45, "Medium"), (None, "Low"))
+SEVERITIES = ("None", "Mild", "Moderate", "Severe")
+
 
 def detector_flag(method: str, series: str, order: str, y: str, fence: float = 1.5, z_limit: float = 2.5,
                   window: int = 6, rolling_limit: float = 2.0) -> Column:
@@ -186,9 +196,15 @@ def log_growth(split: DataFrame, series: str, order: str, y: str) -> DataFrame:
 
 
 def severity(alerts: Column) -> Column:
-    return (
-        F.when(alerts == 0, "None").when(alerts == 1, "Mild").when(alerts == 2, "Moderate").otherwise("Severe")
-    )
+    return F.element_at(F.array(*[F.lit(x) for x in SEVERITIES]), (alerts + 1).cast("int"))
+
+
+def banded(score: Column, bands: Sequence[tuple[float | None, str]]) -> Column:
+    """Label of the highest band the score reaches; the last band takes the rest, NULL stays NULL."""
+    label = F.lit(bands[-1][1])
+    for floor, name in reversed(bands[:-1]):
+        label = F.when(score >= floor, name).otherwise(label)
+    return F.when(score.isNotNull(), label)
 
 
 def drift_report(
@@ -225,16 +241,10 @@ def drift_payload(series_list: DataFrame, report: DataFrame, keys: Sequence[str]
 
 
 def confidence_label(score: Column) -> Column:
-    return (
-        F.when(score >= 80, "Very High")
-        .when(score >= 65, "High")
-        .when(score >= 45, "Medium")
-        .when(score >= 25, "Low")
-        .otherwise("Very Low")
-    )
+    return banded(score, CONFIDENCE_BANDS)
 
 
-def confidence_scores(forecasts: DataFrame, quality: DataFrame, keys: Sequence[str], penalty: float = 15.0) -> DataFrame:
+def confidence_scores(forecasts: DataFrame, quality: DataFrame, keys: Sequence[str], penalty: float = DRIFT_PENALTY) -> DataFrame:
     """Score each forecast step 0-100 from model error, stability, horizon and interval width.
 
     ``forecasts`` has step, pred, lower, upper; ``quality`` has mape, stability and drift_detected.
@@ -242,11 +252,14 @@ def confidence_scores(forecasts: DataFrame, quality: DataFrame, keys: Sequence[s
     joined = forecasts.join(quality, list(keys))
     lo = F.coalesce(F.col("lower"), F.col("pred") * 0.9)
     hi = F.coalesce(F.col("upper"), F.col("pred") * 1.1)
-    error = clip(40 * F.exp(-0.07 * F.greatest(F.coalesce("mape", F.lit(50.0)), F.lit(0.0))), 0, 40)
-    steady = F.coalesce(F.col("stability"), F.lit(50.0)) * 0.30
-    near = clip(20 * F.exp(-0.18 * (F.col("step") - 1)), 5, 20)
+    mape = F.greatest(F.coalesce("mape", F.lit(ERROR_UNKNOWN)), F.lit(0.0))
+    error = clip(ERROR_POINTS * F.exp(-ERROR_DECAY * mape), 0, ERROR_POINTS)
+    steady = F.coalesce("stability", F.lit(STABILITY_UNKNOWN)) * STABILITY_SHARE
+    near = clip(HORIZON_POINTS * F.exp(-HORIZON_DECAY * (F.col("step") - 1)), HORIZON_FLOOR, HORIZON_POINTS)
     width = F.try_divide(hi - lo, F.abs("pred"))
-    narrow = F.when(F.col("pred") <= 0, 5.0).otherwise(clip(10 * F.exp(-2.5 * width), 0, 10))
+    narrow = F.when(F.col("pred") <= 0, WIDTH_UNKNOWN).otherwise(
+        clip(WIDTH_POINTS * F.exp(-WIDTH_DECAY * width), 0, WIDTH_POINTS)
+    )
     scored = (
         joined.withColumn("mape_score", F.round(error, 2))
         .withColumn("stability_score", F.round(steady + 1e-9, 2))  # half up whatever the binary form
@@ -314,7 +327,7 @@ def ensemble_forecast(forecasts: DataFrame, weights: DataFrame, series: str, ord
 
 def dashboard_confidence(score: Column) -> Column:
     """The coarser three-way label used on exported pages."""
-    return F.when(score >= 75, "High").when(score >= 45, "Medium").when(score.isNotNull(), "Low")
+    return banded(score, EXPORT_BANDS)
 
 
 def risk_status(score: Column, drift: Column) -> Column:

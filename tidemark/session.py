@@ -21,6 +21,24 @@ def local_session(name: str = "tidemark", cores: int | str = "*", partitions: in
     )
 
 
+def cluster_conf(cores: int) -> dict[str, str]:
+    """Settings to start a large session with; the operators only assume adaptive execution.
+
+    The first shuffle is cut fine and adaptively coalesced, so partitions follow the data instead of a
+    fixed count; hot partitions of joins are split; sides are broadcast by measured size only.
+    """
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(cores * 8),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "32m",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
@@ -38,7 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so later plans reread it instead of recomputing it."""
+    """Write ``df`` to the shared folder once, so later plans reread it instead of recomputing it.
+
+    A reliable checkpoint keeps the partitioning of the rows, so windows and joins on the same key that
+    follow do not shuffle again; it survives the loss of executors.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
