@@ -279,18 +279,55 @@ def _training_arrays(spark, d):
     return D.series_arrays(rows, ["unique_id", "origin"], "q", "y")
 
 
-def _fitted(name: str, model: str):
-    @register(name)
+# The grids of the fitters, and all their recursions as one: simple and trended smoothing start at the
+# first value, seasonal smoothing after the first season; errors count after the first season.
+CTES |= {
+    "tarrays": (
+        """SELECT t.unique_id, t.origin, list(t.y ORDER BY t.q) AS ys, count(*) AS n, regr_slope(t.y, t.q) AS slope FROM trainw t
+        JOIN states s ON t.unique_id = s.unique_id AND t.origin = s.origin GROUP BY 1, 2""", ("trainw", "states")),
+    "grid": (
+        """SELECT 'ses' AS kind, i * 0.05::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS g, 2 AS params FROM (SELECT unnest(range(1, 20)) AS i)
+        UNION ALL SELECT 'holt', i * 0.1::DOUBLE, b, 0, 4 FROM (SELECT unnest(range(1, 10)) AS i), (SELECT unnest([0.05, 0.1, 0.2, 0.4]::DOUBLE[]) AS b)
+        UNION ALL SELECT 'hw', a, b, g, 8 FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.02, 0.1, 0.3]::DOUBLE[]) AS b),
+        (SELECT unnest([0.05, 0.2, 0.5]::DOUBLE[]) AS g)""", ()),
+    "smooth": (
+        """SELECT unique_id, origin, ys, n, slope, kind, a, b, g, params, CASE kind WHEN 'hw' THEN 4 ELSE 1 END AS t,
+        CASE kind WHEN 'hw' THEN head ELSE ys[1] END AS level,
+        CASE kind WHEN 'hw' THEN (list_sum(ys[5:8]) / 4 - head) / 4 WHEN 'holt' THEN ys[2] - ys[1] ELSE 0 END AS trend,
+        CASE kind WHEN 'hw' THEN list_transform(ys[1:4], lambda v: v - head) ELSE [0, 0, 0, 0]::DOUBLE[] END AS season, 0::DOUBLE AS sse
+        FROM (SELECT *, list_sum(ys[1:4]) / 4 AS head FROM tarrays), grid
+        UNION ALL SELECT unique_id, origin, ys, n, slope, kind, a, b, g, params, t + 1, fresh,
+        CASE WHEN kind = 'ses' THEN 0 ELSE b * (fresh - level) + (1 - b) * trend END,
+        CASE WHEN kind = 'hw' THEN list_transform(season, lambda v, i: CASE WHEN i = t % 4 + 1 THEN g * (obs - fresh) + (1 - g) * v ELSE v END) ELSE season END,
+        sse + CASE WHEN t >= 4 THEN pow(obs - level - trend - s, 2) ELSE 0 END FROM (
+          SELECT *, a * (obs - s) + (1 - a) * (level + trend) AS fresh FROM (SELECT *, ys[t + 1] AS obs, season[t % 4 + 1] AS s FROM smooth WHERE t < n))""",
+        ("tarrays", "grid")),
+    "smbest": (
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, origin, kind ORDER BY sse, a, b, g) AS r,
+        (n - 4) * ln(greatest(sse, 1e-12) / (n - 4)) + 2 * params + 2.0 * params * (params + 1) / greatest(n - 4 - params - 1, 1) AS aicc
+        FROM smooth WHERE t = n) WHERE r = 1""", ("smooth",)),
+    "smpick": (
+        """SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, origin ORDER BY aicc, params) AS pick FROM smbest) WHERE pick = 1""", ("smbest",)),
+}
+_SMOOTH = "level + trend * h + season[(n + h - 1) % 4 + 1]"
+_THETA = "level + slope / 2 * (h - 1 + (1 - pow(1 - a, n)) / a)"
+
+
+def _fitted_sql(src: str, model: str, pred: str) -> str:
+    return f"""SELECT unique_id, CAST(origin AS VARCHAR) AS origin, '{model}' AS model, h, round(pred, 2) AS pred, round(pred - 1.96 * sqrt(sse / (n - 4)), 2) AS lower,
+    round(pred + 1.96 * sqrt(sse / (n - 4)), 2) AS upper, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, {pred} AS pred FROM {src}, (SELECT unnest([1,2,3,4]) AS h))"""
+
+
+def _fitted(name: str, model: str, sql: str, need: str):
+    @register(name, sql, (need,))
     def run(spark, d):
         f = M.fit_arrays(_training_arrays(spark, d), ["unique_id", "origin"], model)
         return f.select("unique_id", "origin", "model", "h", *[F.round(c, 2).alias(c) for c in ("pred", "lower", "upper")], "error")
 
 
-for _name, _model in (
-    ("forecast_holt_winters", "HoltWinters"), ("forecast_theta", "Theta"),
-    ("forecast_exp_smoothing_select", "SmoothingChoice"),
-):
-    _fitted(_name, _model)
+_fitted("forecast_holt_winters", "HoltWinters", _fitted_sql("(SELECT * FROM smbest WHERE kind = 'hw')", "HoltWinters", _SMOOTH), "smbest")
+_fitted("forecast_theta", "Theta", _fitted_sql("(SELECT * FROM smbest WHERE kind = 'ses')", "Theta", _THETA), "smbest")
+_fitted("forecast_exp_smoothing_select", "SmoothingChoice", _fitted_sql("smpick", "SmoothingChoice", _SMOOTH), "smpick")
 
 
 def _global(spark, d, origin="1999-12-31"):

@@ -183,4 +183,5 @@ def with_ctes(body: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n][0]})" for n in order) + " " + body if order else body
+    # RECURSIVE only permits self-reference; plain expressions are unaffected.
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n][0]})" for n in order) + " " + body if order else body

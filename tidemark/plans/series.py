@@ -228,7 +228,22 @@ def acf(spark, d):
     return a.select("unique_id", "lag", F.round("acf", 6).alias("acf"), F.round("band", 8).alias("band"))
 
 
-@register("pacf")
+CTES |= {
+    "acfs": (
+        """SELECT unique_id, list(r ORDER BY lag) AS r FROM (SELECT c.unique_id, k.lag, sum(c.e * l.e) / max(c.ss) AS r
+        FROM (SELECT unique_id, pos, n, y - avg(y) OVER (PARTITION BY unique_id) AS e, var_pop(y) OVER (PARTITION BY unique_id) * n AS ss FROM num) c
+        JOIN (SELECT unnest(generate_series(1, 15)) AS lag) k ON k.lag <= c.n // 2 - 1
+        JOIN (SELECT unique_id, pos, y - avg(y) OVER (PARTITION BY unique_id) AS e FROM num) l ON l.unique_id = c.unique_id AND l.pos = c.pos - k.lag
+        GROUP BY 1, 2) GROUP BY 1""", ("num",)),
+    "levinson": (
+        """SELECT unique_id, r, 1 AS k, [r[1]] AS phi, r[1] AS pacf FROM acfs
+        UNION ALL SELECT unique_id, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - fresh * phi[k + 1 - j]), fresh), fresh FROM (
+          SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])))
+          / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS fresh FROM levinson WHERE k < len(r))""", ("acfs",)),
+}
+
+
+@register("pacf", "SELECT unique_id, k AS lag, round(pacf, 6) AS pacf FROM levinson", ("levinson",))
 def pacf(spark, d):
     arrays = D.series_arrays(I.dense(spark, d), ["unique_id"], "q", "y")
     return D.partial_autocorrelations(arrays, ["unique_id"]).select("unique_id", "lag", F.round("pacf", 6).alias("pacf"))
