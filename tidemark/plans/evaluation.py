@@ -383,7 +383,54 @@ def _residual_arrays(spark, d):
     return D.series_arrays(residuals(spark, d), KEY, "q", "residual")
 
 
-@register("arch_lm")
+def _sweep(cols: tuple[str, ...], by: str, keys: str) -> str:
+    """Take the projection on column ``by`` out of the other columns, per group (one Gram-Schmidt step)."""
+    over = f"OVER (PARTITION BY {keys})"
+    return ", ".join(f"{c} - {by} * coalesce(sum({c} * {by}) {over} / nullif(sum({by} * {by}) {over}, 0), 0) AS {c}" for c in cols)
+
+
+CTES |= {
+    "arch0": (
+        """SELECT * FROM (SELECT unique_id, model, count(*) OVER (PARTITION BY unique_id, model) AS m, s AS y, lag(s, 1) OVER w AS l1, lag(s, 2) OVER w AS l2,
+        lag(s, 3) OVER w AS l3, lag(s, 4) OVER w AS l4 FROM (SELECT *, residual * residual AS s FROM resids)
+        WINDOW w AS (PARTITION BY unique_id, model ORDER BY q)) WHERE l4 IS NOT NULL AND m > 8""", ("resids",)),
+    "arch1": (
+        "SELECT unique_id, model, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY unique_id, model) AS {c}" for c in ("y", "l1", "l2", "l3", "l4")) + " FROM arch0",
+        ("arch0",)),
+    "arch2": (f"SELECT unique_id, model, y, l1, {_sweep(('l2', 'l3', 'l4'), 'l1', 'unique_id, model')} FROM arch1", ("arch1",)),
+    "arch3": (f"SELECT unique_id, model, y, l1, l2, {_sweep(('l3', 'l4'), 'l2', 'unique_id, model')} FROM arch2", ("arch2",)),
+    "arch4": (f"SELECT unique_id, model, y, l1, l2, l3, {_sweep(('l4',), 'l3', 'unique_id, model')} FROM arch3", ("arch3",)),
+    "arch": (
+        "SELECT unique_id, model, count(*) * (" + " + ".join(f"coalesce(pow(sum(y * {c}), 2) / nullif(sum({c} * {c}), 0), 0)" for c in ("l1", "l2", "l3", "l4"))
+        + ") / nullif(sum(y * y), 0) AS lm FROM arch4 GROUP BY 1, 2", ("arch4",)),
+    # Levels (d = -1) and the log series differenced 0, 1 and 2 times, each as its own series.
+    "adfin": (
+        """SELECT *, row_number() OVER (PARTITION BY unique_id, d ORDER BY q) AS pos, count(*) OVER (PARTITION BY unique_id, d) AS n FROM (
+        SELECT unique_id, q, -1 AS d, y AS v FROM dense UNION ALL SELECT unique_id, q, 0, ln(y) FROM dense
+        UNION ALL SELECT unique_id, q, 1, dlog FROM dl UNION ALL SELECT unique_id, q, 2, dlog - lag(dlog) OVER (PARTITION BY unique_id ORDER BY q) FROM dl) WHERE v IS NOT NULL""",
+        ("dense", "dl")),
+    "adf0": (
+        """SELECT unique_id, d, lags, y, x, CASE WHEN lags >= 1 THEN l1 ELSE 0 END AS l1, CASE WHEN lags >= 2 THEN l2 ELSE 0 END AS l2, CASE WHEN lags >= 3 THEN l3 ELSE 0 END AS l3
+        FROM (SELECT *, lag(y, 1) OVER w AS l1, lag(y, 2) OVER w AS l2, lag(y, 3) OVER w AS l3 FROM (
+          SELECT unique_id, d, pos, n, v - lag(v) OVER p AS y, lag(v) OVER p AS x, CAST(floor(pow(n - 1, 1.0 / 3) + 1e-12) AS BIGINT) AS lags FROM adfin
+          WINDOW p AS (PARTITION BY unique_id, d ORDER BY pos)) WINDOW w AS (PARTITION BY unique_id, d ORDER BY pos)) WHERE pos > lags + 1 AND n >= 8""", ("adfin",)),
+    "adf1": (
+        "SELECT unique_id, d, lags, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY unique_id, d) AS {c}" for c in ("y", "x", "l1", "l2", "l3")) + " FROM adf0", ("adf0",)),
+    "adf2": (f"SELECT unique_id, d, lags, l1, {_sweep(('y', 'x', 'l2', 'l3'), 'l1', 'unique_id, d')} FROM adf1", ("adf1",)),
+    "adf3": (f"SELECT unique_id, d, lags, l2, {_sweep(('y', 'x', 'l3'), 'l2', 'unique_id, d')} FROM adf2", ("adf2",)),
+    "adf4": (f"SELECT unique_id, d, lags, l3, {_sweep(('y', 'x'), 'l3', 'unique_id, d')} FROM adf3", ("adf3",)),
+    "adf": (
+        """SELECT *, -3.43035 - 6.5393 / m - 16.786 / pow(m, 2) - 79.433 / pow(m, 3) AS c1, -2.86154 - 2.8903 / m - 4.234 / pow(m, 2) - 40.040 / pow(m, 3) AS c5,
+        beta / sqrt((syy - beta * beta * sxx) / (m - 2 - lags) / sxx) AS stat FROM (
+        SELECT unique_id, d, max(lags) AS lags, count(*) AS m, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS sxx, sum(y * y) AS syy FROM adf4 GROUP BY 1, 2)""", ("adf4",)),
+}
+
+
+@register(
+    "arch_lm",
+    """SELECT unique_id, model, round(lm, 4) AS arch_stat, round(exp(-lm / 2) * (1 + lm / 2), 4) AS arch_p, exp(-lm / 2) * (1 + lm / 2) > 0.05 AS no_arch FROM arch""",
+    ("arch",),
+)
 def arch_lm(spark, d):
     t = D.arch_lm(_residual_arrays(spark, d))
     return t.select(*KEY, F.round("arch_stat", 4).alias("arch_stat"), F.round("arch_p", 4).alias("arch_p"), "no_arch")
@@ -395,13 +442,21 @@ def shapiro_wilk(spark, d):
     return t.select(*KEY, F.round("shapiro_w", 4).alias("shapiro_w"), F.round("shapiro_p", 4).alias("shapiro_p"), "shapiro_normal")
 
 
-@register("adf_screen")
+@register(
+    "adf_screen",
+    """SELECT unique_id, round(stat, 4) AS adf_stat, round(c1, 4) AS critical_1, round(c5, 4) AS critical_5, lags AS lags_used, stat <= c5 AS stationary
+    FROM adf WHERE d = -1""",
+    ("adf",),
+)
 def adf_screen(spark, d):
     t = D.adf_screen(D.series_arrays(I.dense(spark, d), ["unique_id"], "q", "y"))
     return t.select("unique_id", *[F.round(c, 4).alias(c) for c in ("adf_stat", "critical_1", "critical_5")], "lags_used", "stationary")
 
 
-@register("select_differencing")
+@register(
+    "select_differencing",
+    """SELECT unique_id, coalesce(min(CASE WHEN stat <= c5 THEN d END), 2) AS d FROM adf WHERE d >= 0 GROUP BY 1""", ("adf",),
+)
 def select_differencing(spark, d):
     return D.select_differencing(D.series_arrays(I.dense(spark, d), ["unique_id"], "q", "y")).select("unique_id", "d")
 
