@@ -141,9 +141,17 @@ def merger_cuts(obs: DataFrame, history: DataFrame, entity: str, min_share: floa
 
 
 def attach_cuts(obs: DataFrame, cuts: DataFrame, entity: str) -> DataFrame:
-    return obs.join(cuts.withColumn("merger_cut", F.lit(True)), [entity, "q"], "left").withColumn(
-        "merger_cut", F.coalesce("merger_cut", F.lit(False))
+    """Mark observations that fall on a cut.
+
+    Cuts are stacked onto the observations and read by a window on the entity, the key everything after
+    this is partitioned by: a join on (entity, q) would shuffle the observations once more.
+    """
+    stacked = obs.withColumn("__cut", F.lit(0)).unionByName(
+        cuts.select(entity, "q", F.lit(1).alias("__cut")), allowMissingColumns=True
     )
+    here = W.partitionBy(entity).orderBy("q").rangeBetween(0, 0)
+    marked = stacked.withColumn("merger_cut", F.max("__cut").over(here) == 1)
+    return marked.filter(F.col("__cut") == 0).drop("__cut")
 
 
 def long_enough(df: DataFrame, entity: str, min_periods: int) -> DataFrame:
@@ -215,7 +223,7 @@ def segmented(
     # Cuts look at every entity, also those dropped for being short: their sizes are needed.
     cuts = merger_cuts(obs, history, entity, min_share)
     flagged = cut_flags(
-        step_features(attach_cuts(long_enough(obs, entity, min_periods), cuts, entity), entity), max_abs_dlog
+        step_features(long_enough(attach_cuts(obs, cuts, entity), entity, min_periods), entity), max_abs_dlog
     )
     return mark_best_segment(segmentize(flagged, entity), entity, min_periods)
 

@@ -164,7 +164,19 @@ def ks_two_sample(spark, d):
     return k.select("unique_id", F.round("ks_statistic", 8).alias("ks_statistic"), "n_train", "n_live", F.round("ks_p_value", 6).alias("ks_p_value"))
 
 
-@register("ks_exact_p")
+CTES["kspaths"] = (
+    """SELECT unique_id, d, n1, n2, 0 AS cell, list_transform(range(0, n2 + 1), lambda j: 0::DOUBLE) AS col FROM ks
+    UNION ALL SELECT unique_id, d, n1, n2, cell + 1, list_transform(col, lambda v, k: CASE WHEN k <> j + 1 THEN v WHEN cell = 0 THEN 1
+      WHEN abs(i / n1 - j / n2) >= d - 1e-12 THEN 0 ELSE (CASE WHEN i > 0 THEN col[j + 1] * i / (i + j) ELSE 0 END) + (CASE WHEN j > 0 THEN col[j] * j / (i + j) ELSE 0 END) END)
+    FROM (SELECT *, cell // (n2 + 1) AS i, cell % (n2 + 1) AS j FROM kspaths WHERE cell < (n1 + 1) * (n2 + 1))""", ("ks",))
+
+
+@register(
+    "ks_exact_p",
+    """SELECT unique_id, round(d, 6) AS ks_statistic, round(least(1, greatest(0, 1 - col[n2 + 1])), 6) AS ks_p_exact FROM kspaths
+    WHERE cell = (n1 + 1) * (n2 + 1)""",
+    ("kspaths",),
+)
 def ks_exact_p(spark, d):
     k = N.ks_exact_p(_ks(I.dense(spark, d)))
     return k.select("unique_id", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("ks_p_exact", 6).alias("ks_p_exact"))
