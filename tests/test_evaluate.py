@@ -232,3 +232,14 @@ def test_features_known_guard(spark):
     with pytest.raises(G.LeakageError):
         G.assert_features_known(df, "stamp", F.lit(4))
     assert G.features_known_table(df, ["k"], "stamp", F.lit(4)).first().late_rows == 1
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    v, df = noise(spark, 12)
+    got = D.normal_quantiles(D.series_arrays(df, ["k"], "i", "x"), ["k"]).orderBy("pos").collect()
+    t = [NormalDist().inv_cdf((i + 0.5) / 12) for i in range(12)]
+    assert [r.theoretical for r in got] == pytest.approx(t) and [r.ordered for r in got] == pytest.approx(sorted(v))
+    slope, intercept = np.polyfit(t, np.sort(v), 1)
+    assert got[0].line_slope == pytest.approx(slope) and got[0].line_intercept == pytest.approx(intercept)
