@@ -115,3 +115,31 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
     return mix(read(spark, sf_dir, "documents"))
+
+
+@register(
+    "op1_capture_index",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
+      FROM pages
+    )
+    SELECT page_id, payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST((CAST('0x' || substr(h, 10 * (i // 8) + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+      CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM p
+    """,
+)
+def op1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.captures import capture_histories
+
+    return capture_histories(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op3_minimum_bin_slack")
+def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
