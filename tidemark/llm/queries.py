@@ -143,3 +143,35 @@ def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
     return pack(read(spark, sf_dir, "documents"))
+
+
+def cascade_sql() -> str:
+    from tidemark.llm.cascade import RULE_SQL
+
+    failed = " OR ".join(f"({x})" for x in RULE_SQL.values())
+    return rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+    ), w AS (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)
+    ), r AS (
+      SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM w WHERE n > 1) GROUP BY doc_id
+    ), b AS (
+      SELECT d.doc_id, text, words, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d LEFT JOIN r USING (doc_id)
+    ), f AS (
+      SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({failed}) AS kept FROM f
+    """
+
+
+@register("op2_rule_cascade", cascade_sql())
+def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.cascade import judge
+
+    return judge(read(spark, sf_dir, "documents"))
