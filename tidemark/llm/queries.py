@@ -175,3 +175,10 @@ def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.cascade import judge
 
     return judge(read(spark, sf_dir, "documents"))
+
+
+@register("op8_quadratic_discriminant")
+def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
