@@ -10,8 +10,12 @@ and the rank picks the sequence and the place from the plan.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,12 @@ from tidemark.llm.common import stored, words_of
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+WORD_END = "</w>"
+#: Words without any character that normalisation could compose, split or lower in an unusual way.
+SIMPLE = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The vocabulary's own rule for splitting a word, for the characters above in lower case.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 _memory: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
@@ -36,20 +45,47 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary as bytes with their ids, which are the merge order; the word end is the byte 0.
+
+    Pieces are spelt with a printable character for each byte: itself where Latin-1 prints it, else the next
+    one from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    vocabulary = json.loads(Path(path).read_text())["model"]["vocab"]
+
+    def spelt(piece: str) -> bytes:
+        body = piece.removesuffix(WORD_END)
+        return bytes(byte_of[c] for c in body) + b"\0" * (body != piece)
+
+    return {spelt(piece): i for piece, i in vocabulary.items()}
+
+
 def encoder(path: str | None):
     """A function from text to its ids as unsigned 32-bit little-endian bytes.
 
     The vocabulary's pieces never hold white space, so a text's ids are those of its words one after the
-    other, and words met before are looked up.
+    other, and words met before are looked up. Of new words those in ASCII or Latin-1 letters are split here
+    and merged by tiktoken, whose result is the same since every piece of the vocabulary is what its own bytes
+    merge to; all other words go to the tokenizer itself.
     """
+    import tiktoken
     from tokenizers import Tokenizer
 
     path = path or vocabulary_path()
     if path not in _tokenizers:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _tokenizers[path], _memory[path] = tokenizer, {}
-    tokenizer, known = _tokenizers[path], _memory[path]
+        merger = tiktoken.Encoding(Path(path).stem, pat_str="[^\0]+\0", mergeable_ranks=merge_ranks(path), special_tokens={})
+        _tokenizers[path], _memory[path] = (tokenizer, merger.encode_ordinary), {}
+    (tokenizer, merged), known = _tokenizers[path], _memory[path]
+
+    def ids_of(word: str) -> bytes:
+        if not SIMPLE.fullmatch(word):
+            return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return array("I", merged("\0".join([*PARTS.findall(word.lower()), ""]))).tobytes()
 
     def encode(text: str | None) -> bytes:
         words = words_of(text)
@@ -57,11 +93,13 @@ def encoder(path: str | None):
         if None in ids:
             if len(known) > REMEMBERED:
                 known.clear()
-                ids = [None]
-            new = list({w for w, i in zip(words, ids) if i is None} if len(ids) == len(words) else set(words))
-            made = tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, made))
-            ids = [known[w] for w in words]
+            for at, found in enumerate(ids):
+                if found is None:
+                    word = words[at]
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = ids_of(word)
+                    ids[at] = found
         return b"".join(ids)
 
     return encode
