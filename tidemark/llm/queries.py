@@ -182,3 +182,11 @@ def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import classify
 
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op5_marginal_unigrams")
+def op5_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
