@@ -12,8 +12,10 @@ import base64
 import datetime
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -73,9 +75,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return head + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def records(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records(archive: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset in the unpacked archive, headers, payload) of each record."""
-    data, at = gzip.decompress(archive) if archive else b"", 0
+    data, at = gzip.GzipFile(fileobj=archive).read(), 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
         lines = data[at:stop].decode().split("\r\n")
@@ -116,7 +118,7 @@ def archive_pages(pages: DataFrame, least: int = 0, page_id: str = "page_id", ur
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                packed = gzip.compress(record(None if pd.isna(page) else int(page), link, text.encode(), None if pd.isna(refers) else int(refers)), 4, mtime=0)
+                packed = gzip.compress(record(None if pd.isna(page) else int(page), link, text.encode(), None if pd.isna(refers) else int(refers)), 1, mtime=0)
                 out.write(packed)
                 size, n = size + len(packed), n + 1
                 if size >= ARCHIVE_BYTES:
@@ -148,7 +150,7 @@ def capture_runs(archives: DataFrame) -> DataFrame:
             for file in batch["file"]:
                 store, path = fs.FileSystem.from_uri(file if "://" in file else f"file://{file}")
                 with store.open_input_stream(path, compression=None) as stream:
-                    archive = stream.read()
+                    archive = io.BytesIO(stream.read())
                 rows = []
                 for at, head, payload in records(archive):
                     kind = head["WARC-Type"]
