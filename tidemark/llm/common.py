@@ -65,3 +65,12 @@ def uniform(key: Column, *salt: object) -> Column:
 def fold(key: Column) -> Column:
     """crc32 of the key as text, modulo 4; rows of remainder 2 are held out from training."""
     return F.crc32(key.cast("string").cast("binary")) % 4
+
+
+#: Rows up to which a table of ids is broadcast, some tens of MB; larger ones are joined by shuffle.
+SMALL = 500_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """Hint a broadcast of a stored table of ids if its counted rows allow it."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids

@@ -190,3 +190,10 @@ def op5_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     return identify(docs, train(docs))
+
+
+@register("op9_shingle_join")
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
