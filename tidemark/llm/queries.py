@@ -197,3 +197,10 @@ def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.jaccard import jaccard_components
 
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@register("op7_block_labeller")
+def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.extraction import extract
+
+    return extract(read(spark, sf_dir, "pages"))
