@@ -11,28 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import read, stored
 from tidemark.llm.digests import dedupe
+from tidemark.llm.jaccard import keep_first
 from tidemark.llm.mixing import mixed_rows
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import keep_good
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.7 go."""
+    return keep_good(docs, read(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return dedupe(docs).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates stays."""
+    return keep_first(docs).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, one row per time."""
     return mixed_rows(docs).select(*COLUMNS)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place; a document taken twice is packed twice."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_filter", quality_filter),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-#: Scores, random shingle hashes and tokenizers are beyond SQL; tests compare with brute force.
+#: The first and the last stage, a fitted classifier and a tokenizer, are beyond SQL; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
