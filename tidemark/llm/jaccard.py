@@ -6,7 +6,7 @@
 * Index level: of each set the rarest shingles that its threshold asks for are indexed (prefix). A shingle's
   list is ordered by set size and cut into blocks; whole blocks are skipped by the size and by what can still
   overlap after the shingle's position.
-* Candidates are verified on whole sets. Frequent shingles only come last in the order of a set, which is any
+* Candidates that a bitmap of parities proves too different go; the others are verified on whole sets. Frequent shingles only come last in the order of a set, which is any
   fixed order; nothing is left out for being frequent.
 
 Shingles are compared by 64-bit hashes.
@@ -79,6 +79,24 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= 80 * (len(x) + len(y) - shared)
 
 
+def parities(members: np.ndarray) -> bytes:
+    """For each of two to four slots per element, whether an odd number of elements falls there, as bits.
+
+    Slots in which two sets differ are at most as many as elements in which they differ.
+    """
+    bits = max(64, 1 << (2 * len(members) - 1).bit_length())
+    return np.packbits((np.bincount((mixed(members, 202) & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def can_link(n_x: int, x: bytes, n_y: int, y: bytes) -> bool:
+    """False only where the parities prove that the sets differ in more than a ninth of both sizes together."""
+    u, v = np.frombuffer(x, "uint8"), np.frombuffer(y, "uint8")
+    while len(u) != len(v):
+        u, v = (u, v) if len(u) > len(v) else (v, u)
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return 9 * int(np.bitwise_count(u ^ v).sum()) <= n_x + n_y
+
+
 class Order:
     """The order of shingles in every set: by hash, and the listed frequent ones last, rarest first."""
 
@@ -118,23 +136,24 @@ def frequent_shingles(docs: DataFrame) -> Order:
 def described(docs: DataFrame, order: Order) -> DataFrame:
     """Per row: doc_id, n, fingerprint of the set, minhashes, and the indexed prefix as packed 64-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fingerprint", pa.binary()), ("minhashes", pa.list_(pa.int64())), ("prefix", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fingerprint", pa.binary()), ("minhashes", pa.list_(pa.int64())), ("prefix", pa.binary()), ("parity", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sizes, prints, mins, prefixes = [], [], [], []
+                sizes, prints, mins, prefixes, odd = [], [], [], [], []
                 for text in batch.column(1):
                     s = shingle_set(text.as_py())
                     sizes.append(len(s))
                     prints.append(np.array([mixed(s, 101).sum(), mixed(s, 102).sum()], "uint64").tobytes())
                     mins.append([int(mixed(s, k).min().view("int64")) for k in range(BANDS)] if len(s) else [])
                     prefixes.append(shared.value.first(s, prefix_length(len(s))).tobytes() if len(s) else b"")
-                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(mins, schema.field(3).type), pa.array(prefixes, pa.binary())]
+                    odd.append(parities(s) if len(s) else b"")
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(mins, schema.field(3).type), pa.array(prefixes, pa.binary()), pa.array(odd, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, fingerprint binary, minhashes array<long>, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long, fingerprint binary, minhashes array<long>, prefix binary, parity binary")
 
 
 def lead_pairs(classes: DataFrame) -> DataFrame:
@@ -244,6 +263,21 @@ def pairs_by_blocks(ids: np.ndarray, cluster: np.ndarray, n: np.ndarray, place:
     return np.concatenate(found) if found else np.zeros((0, 2), "int64")
 
 
+def plausible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) less those that the parities of both sets exclude; some hundred bytes a set tell."""
+    one = classes.select(F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("parity").alias("p_x"))
+    two = classes.select(F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("parity").alias("p_y"))
+    both = pairs.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y")).select("a", "b", "n_x", "p_x", "n_y", "p_y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_x, n_y = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            keep = [can_link(i, x.as_buffer(), j, y.as_buffer()) for i, x, j, y in zip(n_x, batch.column(3), n_y, batch.column(5))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b), a stored table, whose whole sets link.
 
@@ -300,9 +334,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = stored(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     others = stored(members.filter("doc_id != rep or doc_id is null or n = 0").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct(), "copies")
     alone = rows.filter("n > 0 and doc_id is not null").join(sized(others), F.col("doc_id") == F.col("__id"), "left_anti")
-    by_lead = stored(verified(docs, stored(lead_pairs(alone), "lead-pairs")), "lead-links")
+    by_lead = stored(verified(docs, stored(plausible(alone, lead_pairs(alone)), "lead-pairs")), "lead-links")
     clusters = stored(components(by_lead), "clusters")
-    links = verified(docs, stored(candidate_pairs(alone, clusters), "pairs"))
+    links = verified(docs, stored(plausible(alone, candidate_pairs(alone, clusters)), "pairs"))
     # Leads' links already stand as stars; candidates only add links between clusters.
     stars = clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))
     whole = components(stars.unionByName(links))
@@ -310,11 +344,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component does: that of the smallest doc_id.
 
     Rows without id stay. All columns are kept as they were.
     """
-    found = jaccard_components(docs)
-    gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    found = jaccard_components(docs, doc_id, text)
+    gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    tagged = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("id"))
+    return tagged.join(sized(gone), F.col("id") == F.col("gone"), "left_anti").select("doc.*")
