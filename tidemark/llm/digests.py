@@ -109,6 +109,6 @@ def dedupe(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc
     index = index or DigestIndex.create(docs.sparkSession)
     batch = index.add(digest_rows(docs, doc_id, text))
     stay = index.lookup().filter(F.col("batch") == batch).select(F.col("digest").alias("__digest_k"), F.col("keep_id").alias("__keep_id"))
-    tagged = docs.withColumn("__digest", text_digest(F.col(text)))
-    match = (F.col("__digest") == F.col("__digest_k")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__keep_id"))
-    return tagged.join(stay, match, "left_semi").dropDuplicates(["__digest", doc_id]).drop("__digest")
+    tagged = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"))
+    match = (F.col("digest") == F.col("__digest_k")) & F.col("id").eqNullSafe(F.col("__keep_id"))
+    return tagged.join(stay, match, "left_semi").dropDuplicates(["digest", "id"]).select("doc.*")

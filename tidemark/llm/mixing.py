@@ -86,11 +86,14 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * copies).alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, **kw: object) -> DataFrame:
-    """The mix as rows: each document as often as it is taken. Rows that agree in id, source and size share a decision."""
-    plan = mix(docs, **kw).filter("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__times")
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **kw: object) -> DataFrame:
+    """The mix as rows, all columns as they were: each document as often as it is taken.
+
+    Rows that agree in id, source and size share a decision.
+    """
+    plan = mix(docs, doc_id=doc_id, text=text, source=source, **kw).filter("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("times")
     ).dropDuplicates(["__id", "__source", "__size"])
-    tagged = docs.withColumn("__n", word_count(F.col("text")))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    return tagged.join(plan, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    tagged = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("n"))
+    match = F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("n") == F.col("__size"))
+    return tagged.join(plan, match).select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
