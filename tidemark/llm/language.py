@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, words_of
+from tidemark.llm.common import fold, sized, stored, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
@@ -153,7 +153,7 @@ def training_words(docs: DataFrame, rows_per_language: int = 400, words: int = 3
     sizes = usable.groupBy("lang").count().select(F.col("lang").alias("__lang"), "count")
     chance = F.lit(float(rows_per_language)) / F.col("count")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < chance
-    some = usable.join(sizes, F.col("lang") == F.col("__lang")).filter(drawn)
+    some = usable.join(sized(stored(sizes, "languages")), F.col("lang") == F.col("__lang")).filter(drawn)
     counted = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
     out: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(words).collect():
