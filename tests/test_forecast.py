@@ -200,3 +200,14 @@ def test_merge_runs_guard(spark):
     assert U.merge_runs_guarded(a, b, ["id", "o"], cols).count() == 4
     stale = U.merge_runs_guarded(a, b.filter("id = 'x'"), ["id", "o"], cols).collect()
     assert {r.model for r in stale} == {"m1"} and len(stale) == 2
+
+
+def test_one_failing_series_does_not_void_its_batch(spark):
+    def picky(matrix, horizon):
+        if (matrix == 13).any():
+            raise ValueError("thirteen")
+        return np.repeat(matrix[:, -1:], horizon, axis=1), np.zeros(len(matrix))
+
+    arrays = spark.createDataFrame([("a", [1.0] * 8), ("b", [13.0] * 8), ("c", [2.0] * 8), ("d", [1.0])], "unique_id string, values array<double>").coalesce(1)
+    got = {(r.unique_id, r.h): (r.pred, r.error) for r in M.fit_arrays(arrays, ["unique_id"], "Picky", 2, fitter=picky).collect()}
+    assert got[("a", 2)] == (1.0, None) and got[("c", 1)] == (2.0, None) and got[("b", 0)] == (None, "thirteen") and ("d", 0) in got

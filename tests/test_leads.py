@@ -196,3 +196,15 @@ def test_models_find_the_signal(spark):
     ):
         r = L.rank_scores(scores, "score", "label", "id")
         assert L.roc_auc(L.by_threshold(r, "score", "label")).first().roc_auc > 0.65
+
+
+def test_every_pair_of_roles_is_guarded(spark):
+    from tidemark.operators import guards as G
+
+    make = lambda *rows: spark.createDataFrame(rows, "day int, role string")
+    order = ["train", "valid", "test"]
+    G.assert_ordered_roles(make((1, "train"), (2, "valid"), (3, "test")), "day", "role", order)
+    with pytest.raises(G.LeakageError, match="valid ends 3 but test starts 3"):
+        G.assert_ordered_roles(make((1, "train"), (3, "valid"), (3, "test")), "day", "role", order)
+    with pytest.raises(ValueError, match="test has no rows"):
+        G.assert_ordered_roles(make((1, "train"), (2, "valid")), "day", "role", order)

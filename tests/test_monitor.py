@@ -94,6 +94,14 @@ def test_ks_statistic_and_exact_p(spark):
     assert got.ks_p_exact == pytest.approx(hits / total) and len(pooled) == 15
 
 
+def test_ks_published_value(spark):
+    # 31 training and 7 live growth values with statistic 0.2212 have p 0.8845.
+    df = spark.createDataFrame([(48 / 217, 31, 7), (48 / 217, 31, 7), (None, 31, 0), (1.0, 2, 2)], "ks_statistic double, n_train long, n_live long")
+    got = sorted((r.ks_p_exact for r in N.ks_exact_p(df).collect()), key=lambda p: -1 if p is None else p)
+    assert got[0] is None and got[1] == pytest.approx(1 / 3) and got[2:] == [pytest.approx(0.8845, abs=5e-5)] * 2
+    assert round(48 / 217, 4) == 0.2212
+
+
 def test_ks_one_live_value_and_ties(spark):
     assert 0 <= ks(spark, [1, 1, 2, 2], [2]).ks_statistic <= 1
     assert ks(spark, [1, 2, 3], [1, 2, 3]).ks_statistic == 0

@@ -78,7 +78,9 @@ def test_source_precedence_flips_and_manual_wins(spark):
 
 def test_plausible_and_consistency(spark):
     hits = spark.createDataFrame([("a", 5.0), ("a", 50.0), ("b", 5.0)], "field string, value double")
-    assert [r.value for r in E.plausible(hits, {"a": (1, 10)}).collect()] == [5.0]
+    assert [r.value for r in E.plausible(hits, {"a": (1, 10), "b": (6, 9)}).collect()] == [5.0]
+    with pytest.raises(Exception, match="no bounds for field b"):
+        E.plausible(hits, {"a": (1, 10)}).collect()
     wide = spark.createDataFrame([(1, 10.0, 20.0, 33.0, 40.0, 50.0), (2, 10.0, 20.0, 31.0, 60.0, 50.0), (3, 10.0, 20.0, 30.0, 30.0, None)],
                                  "k int, ca double, sa double, whole double, dom double, world double")
     got = sorted((r.k, r.violation) for r in E.consistency_checks(wide, ["k"], "ca", "sa", "whole", "dom", "world").collect())
@@ -92,6 +94,18 @@ def test_verify_printed_forms(spark, text, found):
     assert E.verify_against_text(v, p, ["doc"], "value", "text").first().found is found
 
 
+@pytest.mark.parametrize("text,found", [("is 1,234.5 crore", True), ("1234.5", True), ("1,234", False), ("12,34.5", False)])
+def test_verify_amounts_with_decimals(spark, text, found):
+    v = spark.createDataFrame([("a", 1234.5)], "doc string, value double")
+    assert E.verify_against_text(v, spark.createDataFrame([("a", text)], "doc string, text string"), ["doc"], "value", "text").first().found is found
+
+
+def test_last_group_is_the_current_value(spark):
+    df = pages(spark, ("a", 1, "grew from Rs 1,000 to Rs 2,500 crore"), ("b", 1, "grew from Rs 1,000 this year"), ("c", 1, "Total of ,,, and Sum 7,000"))
+    patterns = [E.Pattern("x", r"from Rs ([\d,]+)(?: to Rs ([\d,]+))?"), E.Pattern("x", r"Total of ([\d,]+)"), E.Pattern("x", r"Sum ([\d,]+)")]
+    assert {r.doc: r.value for r in E.extract_fields(df, "doc", "page", "text", patterns).collect()} == {"a": 2500.0, "b": 1000.0, "c": 7000.0}
+
+
 def test_number_formats(spark):
     df = spark.createDataFrame([(5,), (999,), (1000,), (177190,), (12345678,), (123456789,)], "n long")
     got = [r.s for r in df.select(X.indian_grouping(F.col("n")).alias("s")).collect()]

@@ -41,13 +41,3 @@ def student_two_sided(t: Column, df: Column) -> Column:
     inside = F.when(odd, inside_odd).otherwise(F.sin(theta) * series)
     return F.greatest(F.lit(0.0), 1 - inside)
 
-
-def kolmogorov_tail(d: Column, n1: Column, n2: Column, terms: int = 60) -> Column:
-    """Asymptotic two-sided p-value of the two-sample Kolmogorov-Smirnov statistic."""
-    lam = d * F.sqrt(n1.cast("double") * n2 / (n1 + n2))
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)),
-        F.lit(0.0),
-        lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * lam * lam),
-    )
-    return F.when(lam <= 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * total)))

@@ -32,7 +32,10 @@ def printed_forms(n: Column) -> Column:
         indian_grouping(n),
         F.concat(n.cast("long").cast("string"), F.lit(".00")),
     )
-    return F.when(whole, integer_forms).otherwise(F.array(trimmed))
+    below = F.floor(n)
+    fraction = F.regexp_extract(trimmed, r"(\.\d+)$", 1)
+    grouped = [F.concat(g, fraction) for g in (F.format_number(below.cast("double"), 0), indian_grouping(below))]
+    return F.when(whole, integer_forms).otherwise(F.array(trimmed, *grouped))
 
 
 def rupees_in_crore(c: Column) -> Column:

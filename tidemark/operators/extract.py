@@ -6,6 +6,7 @@ table is joined, and the first hit of a document is a combinable ``min_by``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ AMOUNT = r"(\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d{4,7}(?:\.\d+)?)"
 class Pattern:
     field: str
     regex: str
-    group: int = 1
+    group: int | None = None  # the last group that matched some text, so "from x to y" gives y
 
 
 def select_filings(df: DataFrame, include: Mapping[str, str], exclude: Mapping[str, str]) -> DataFrame:
@@ -35,9 +36,10 @@ def select_filings(df: DataFrame, include: Mapping[str, str], exclude: Mapping[s
     return df.filter(wanted & ~unwanted)
 
 
-def first_group(text: Column, p: Pattern) -> Column:
-    # No match and an empty group both give NULL, with one pass of the pattern.
-    return F.nullif(F.regexp_extract(text, p.regex, p.group), F.lit(""))
+def group_of(text: Column, p: Pattern) -> Column:
+    """Text of the pattern's group; no match and an empty group both give NULL."""
+    groups = range(re.compile(p.regex).groups, 0, -1) if p.group is None else [p.group]
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p.regex, g), F.lit("")) for g in groups])
 
 
 def extract_fields(pages: DataFrame, doc: str, page: str, text: str, patterns: Sequence[Pattern]) -> DataFrame:
@@ -48,14 +50,15 @@ def extract_fields(pages: DataFrame, doc: str, page: str, text: str, patterns: S
         *[
             F.struct(
                 F.lit(f).alias("field"),
-                F.coalesce(*[first_group(F.col("__flat"), p) for p in patterns if p.field == f]).alias("hit"),
+                # The first pattern whose text is a number wins; one that does not parse blocks no other.
+                F.coalesce(*[parse_grouped_number(group_of(F.col("__flat"), p)) for p in patterns if p.field == f]).alias("value"),
             )
             for f in fields
         ]
     )
     return first_per_document(
         pages.withColumn("__flat", flat).select(F.col(doc), F.col(page), F.explode(hits).alias("h")).select(
-            doc, page, "h.field", parse_grouped_number(F.col("h.hit")).alias("value")
+            doc, page, "h.field", "h.value"
         ),
         doc, page,
     )
@@ -110,11 +113,12 @@ def scan_lines(lines: DataFrame, row_patterns: Mapping[str, str], label_patterns
 
 
 def plausible(hits: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Keep values inside the bounds of their field; a field without bounds is not kept."""
-    ok = F.lit(False)
+    """Keep values inside the bounds of their field. A field without bounds fails the job."""
+    missing = F.raise_error(F.concat(F.lit("no bounds for field "), F.coalesce("field", F.lit("null")))).cast("boolean")
+    ok = F.when(F.lit(False), F.lit(False))
     for f, (lo, hi) in bounds.items():
-        ok = ok | ((F.col("field") == f) & F.col("value").between(lo, hi))
-    return hits.filter(ok)
+        ok = ok.when(F.col("field") == f, F.col("value").between(lo, hi))
+    return hits.filter(ok.otherwise(missing))
 
 
 def assemble_rows(hits: DataFrame, manual: DataFrame, period: str, flip: str, first_kind: str = "press") -> DataFrame:

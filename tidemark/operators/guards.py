@@ -34,6 +34,18 @@ def assert_temporal_split(df: DataFrame, keys: Sequence[str], ds: str, is_train:
         raise LeakageError(f"train ends {row['train_end']} but test starts {row['test_start']}")
 
 
+def assert_ordered_roles(df: DataFrame, ds: str, role: str, order: Sequence[str]) -> None:
+    """Raise unless every role has rows and each ends before every later one begins; one pass for all pairs."""
+    spans = {r[role]: r for r in df.filter(F.col(role).isin(*order)).groupBy(role).agg(F.min(ds).alias("first"), F.max(ds).alias("last")).collect()}
+    for name in order:
+        if name not in spans:
+            raise ValueError(f"{name} has no rows")
+    for i, early in enumerate(order):
+        for late in order[i + 1 :]:
+            if spans[early]["last"] >= spans[late]["first"]:
+                raise LeakageError(f"{early} ends {spans[early]['last']} but {late} starts {spans[late]['first']}")
+
+
 def features_known_table(df: DataFrame, keys: Sequence[str], stamp: str, origin: Column) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.max(stamp).alias("latest_stamp"),

@@ -254,7 +254,7 @@ def _probability(df: DataFrame) -> DataFrame:
 
 
 def logistic_scores(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, weight: str = "weight",
-                    max_iter: int = 30) -> DataFrame:
+                    max_iter: int = 500) -> DataFrame:
     """Weighted ridge logistic regression on standardised numeric features (missing counts as zero)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression

@@ -108,29 +108,39 @@ def fit_arrays(arrays: DataFrame, keys: Sequence[str], model: str, horizon: int
     """Forecast every series array with one registered or user-supplied fitter.
 
     A fitter takes (matrix of equally long series, horizon) and returns forecasts and the training RMSE.
-    A failing batch yields its message in ``error`` instead of failing the job.
+    A series that fails alone yields its message in ``error``; the others of its batch are forecast.
     """
     fit = fitter or FITTERS[model]
 
+    def failed(why: str) -> list[dict]:
+        return [{"h": 0, "pred": None, "lower": None, "upper": None, "error": why}]
+
+    def forecast(values: np.ndarray, rmse: float) -> list[dict]:
+        band = 1.96 * float(rmse)
+        return [{"h": h + 1, "pred": float(v), "lower": float(v) - band, "upper": float(v) + band, "error": None} for h, v in enumerate(values)]
+
     @F.pandas_udf("array<struct<h:int,pred:double,lower:double,upper:double,error:string>>")
     def run(series: pd.Series) -> pd.Series:
         out: list = [None] * len(series)
         lengths = series.map(len)
         for length, where in lengths.groupby(lengths).groups.items():
             spots = [series.index.get_loc(i) for i in where]
-            try:
-                if length < min_length:
-                    raise ValueError(f"needs {min_length} values, has {length}")
-                fc, rmse = fit(np.stack([np.asarray(series.iloc[i], dtype=float) for i in spots]), horizon)
-                for row, i in enumerate(spots):
-                    band = 1.96 * float(rmse[row])
-                    out[i] = [
-                        {"h": h + 1, "pred": float(v), "lower": float(v) - band, "upper": float(v) + band, "error": None}
-                        for h, v in enumerate(fc[row])
-                    ]
-            except Exception as exc:  # noqa: BLE001 - reported per series
+            if length < min_length:
                 for i in spots:
-                    out[i] = [{"h": 0, "pred": None, "lower": None, "upper": None, "error": str(exc)}]
+                    out[i] = failed(f"needs {min_length} values, has {length}")
+                continue
+            matrix = np.stack([np.asarray(series.iloc[i], dtype=float) for i in spots])
+            try:
+                made = [forecast(fc, rmse) for fc, rmse in zip(*fit(matrix, horizon))]
+            except Exception:  # noqa: BLE001 - one series must not void the others of its length
+                made = []
+                for one in matrix:
+                    try:
+                        made += [forecast(fc, rmse) for fc, rmse in zip(*fit(one[None, :], horizon))]
+                    except Exception as exc:  # noqa: BLE001 - reported per series
+                        made.append(failed(str(exc)))
+            for i, rows in zip(spots, made):
+                out[i] = rows
         return pd.Series(out)
 
     return arrays.select(*keys, F.lit(model).alias("model"), F.explode(run(values)).alias("r")).select(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.distributions import kolmogorov_tail
 from tidemark.functions.numeric import clip, ratio
 
 DETECTORS = ("iqr", "zscore", "rolling")
@@ -140,7 +139,7 @@ def live_with_last_train(split: DataFrame, series: str, order: str) -> DataFrame
 
 
 def ks_two_sample(values: DataFrame, keys: Sequence[str], x: str, is_live: str, alpha: float = 0.05) -> DataFrame:
-    """Largest distance between two empirical distributions, ties counted together."""
+    """Largest distance between two empirical distributions, ties counted together, with its exact p-value."""
     w = W.partitionBy(*keys)
     upto = w.orderBy(x).rangeBetween(W.unboundedPreceding, 0)
     live = F.col(is_live)
@@ -150,42 +149,44 @@ def ks_two_sample(values: DataFrame, keys: Sequence[str], x: str, is_live: str,
         return F.try_divide(F.count(hit).over(upto).cast("double"), F.count(hit).over(w).cast("double"))
 
     d = values.withColumn("__gap", F.abs(ecdf(~live) - ecdf(live)))
-    return (
-        d.groupBy(*keys)
-        .agg(
-            F.max("__gap").alias("ks_statistic"),
-            F.count_if(~live).alias("n_train"),
-            F.count_if(live).alias("n_live"),
-        )
-        .withColumn("ks_p_value", kolmogorov_tail(F.col("ks_statistic"), F.col("n_train"), F.col("n_live")))
-        .withColumn("ks_drift", F.coalesce(F.col("ks_p_value") < alpha, F.lit(False)))
+    measured = d.groupBy(*keys).agg(
+        F.max("__gap").alias("ks_statistic"),
+        F.count_if(~live).alias("n_train"),
+        F.count_if(live).alias("n_live"),
     )
+    return ks_exact_p(measured, out="ks_p_value").withColumn("ks_drift", F.coalesce(F.col("ks_p_value") < alpha, F.lit(False)))
 
 
-def ks_exact_p(df: DataFrame, statistic: str = "ks_statistic", n1: str = "n_train", n2: str = "n_live") -> DataFrame:
-    """Exact two-sided p-value by counting lattice paths; for samples a series can hold."""
-    def exact(d: float, m: int, n: int) -> float | None:
-        if not (m and n) or d is None or np.isnan(d):
-            return None
-        # Probability of staying strictly below the observed distance, path by path.
-        col = np.zeros(n + 1)
-        for i in range(m + 1):
-            for j in range(n + 1):
-                if i == 0 and j == 0:
-                    col[0] = 1.0
-                elif abs(i / m - j / n) >= d - 1e-12:
-                    col[j] = 0.0
-                else:
-                    up = col[j] * i / (i + j) if i else 0.0
-                    left = col[j - 1] * j / (i + j) if j else 0.0
-                    col[j] = up + left
-        return min(1.0, max(0.0, 1.0 - col[n]))
+def ks_exact_p(df: DataFrame, statistic: str = "ks_statistic", n1: str = "n_train", n2: str = "n_live", out: str = "ks_p_exact") -> DataFrame:
+    """Exact two-sided p-value by counting lattice paths; null where a sample is empty.
 
-    @F.pandas_udf("double")
-    def p(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([exact(*row) for row in zip(d, m, n)], dtype="float64")
+    A distance is a whole number of steps of 1 / (n1 n2), and series of one calendar share their sizes. So each
+    distinct (n1, n2, steps) is counted once, all of a batch side by side, and joined back.
+    """
 
-    return df.withColumn("ks_p_exact", p(statistic, n1, n2))
+    @F.pandas_udf("double")
+    def p(m: pd.Series, n: pd.Series, steps: pd.Series) -> pd.Series:
+        m, n, steps = (c.to_numpy("int64") for c in (m, n, steps))
+        # Share of the paths to (i, j) that stay strictly below the distance, for every triple at once.
+        row = np.zeros((int(n.max()) + 1, len(m)))
+        result = np.zeros(len(m))
+        for i in range(int(m.max()) + 1):
+            for j in range(len(row)):
+                if i == j == 0:
+                    row[0] = 1.0
+                    continue
+                left = row[j - 1] * j / (i + j) if j else 0.0
+                row[j] = np.where(np.abs(i * n - j * m) >= steps, 0.0, (row[j] * i / (i + j) if i else 0.0) + left)
+            ends = m == i
+            result[ends] = row[n[ends], np.flatnonzero(ends)]
+        return pd.Series(np.where(steps <= 0, 1.0, np.clip(1.0 - result, 0.0, 1.0)))
+
+    steps = F.round(F.col(statistic) * F.col(n1) * F.col(n2)).cast("long")
+    keyed = df.withColumn("__k", F.when((F.col(n1) > 0) & (F.col(n2) > 0) & ~F.isnan(statistic), steps))
+    triples = keyed.filter("__k is not null").select(F.col(n1).alias("__m"), F.col(n2).alias("__n"), F.col("__k").alias("__s")).distinct()
+    counted = triples.withColumn(out, p("__m", "__n", "__s"))
+    match = (F.col(n1) == F.col("__m")) & (F.col(n2) == F.col("__n")) & (F.col("__k") == F.col("__s"))
+    return keyed.join(counted, match, "left").drop("__k", "__m", "__n", "__s")
 
 
 def log_growth(split: DataFrame, series: str, order: str, y: str) -> DataFrame:

@@ -51,10 +51,15 @@ CTES |= {
         count(*) FILTER (WHERE k.is_live AND k.g <= v.g) / CAST(count(*) FILTER (WHERE k.is_live) AS DOUBLE) AS fl,
         count(*) FILTER (WHERE NOT k.is_live) AS n1, count(*) FILTER (WHERE k.is_live) AS n2
         FROM kg2 v JOIN kg2 k ON v.unique_id = k.unique_id GROUP BY 1, 2) GROUP BY 1""", ("kg2",)),
+    "kst": ("SELECT DISTINCT n1, n2, CAST(round(d * n1 * n2) AS BIGINT) AS steps FROM ks WHERE n1 > 0 AND n2 > 0 AND NOT isnan(d)", ("ks",)),
+    "kspaths": (
+        """SELECT n1, n2, steps, 0 AS cell, list_transform(range(0, n2 + 1), lambda j: 0::DOUBLE) AS col FROM kst
+        UNION ALL SELECT n1, n2, steps, cell + 1, list_transform(col, lambda v, k: CASE WHEN k <> j + 1 THEN v WHEN cell = 0 THEN 1
+          WHEN abs(i * n2 - j * n1) >= steps THEN 0 ELSE (CASE WHEN i > 0 THEN col[j + 1] * i / (i + j) ELSE 0 END) + (CASE WHEN j > 0 THEN col[j] * j / (i + j) ELSE 0 END) END)
+        FROM (SELECT *, cell // (n2 + 1) AS i, cell % (n2 + 1) AS j FROM kspaths WHERE cell < (n1 + 1) * (n2 + 1))""", ("kst",)),
     "ksp": (
-        """SELECT *, CASE WHEN lam <= 0.2 THEN 1.0 ELSE greatest(0, least(1, 2 * list_sum(list_transform(generate_series(1, 60),
-        lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))))) END AS p
-        FROM (SELECT *, d * sqrt(n1 * n2 / (n1 + n2)) AS lam FROM ks)""", ("ks",)),
+        """SELECT ks.*, CASE WHEN steps <= 0 THEN 1.0 ELSE least(1, greatest(0, 1 - col[ks.n2 + 1])) END AS p FROM ks LEFT JOIN kspaths t
+        ON t.n1 = ks.n1 AND t.n2 = ks.n2 AND t.steps = CAST(round(ks.d * ks.n1 * ks.n2) AS BIGINT) AND cell = (t.n1 + 1) * (t.n2 + 1)""", ("ks", "kspaths")),
     "drift": (
         """SELECT c.unique_id, c.model, k.d, k.p < 0.05 AS ks_drift, c.cusum_max, c.cusum_max > 4 AS cusum_signal, s.residual_z,
         s.residual_z > 3 AS residual_drift, CAST(k.p < 0.05 AS INTEGER) + CAST(c.cusum_max > 4 AS INTEGER) + CAST(s.residual_z > 3 AS INTEGER) AS alerts
@@ -164,19 +169,7 @@ def ks_two_sample(spark, d):
     return k.select("unique_id", F.round("ks_statistic", 8).alias("ks_statistic"), "n_train", "n_live", F.round("ks_p_value", 6).alias("ks_p_value"))
 
 
-CTES["kspaths"] = (
-    """SELECT unique_id, d, n1, n2, 0 AS cell, list_transform(range(0, n2 + 1), lambda j: 0::DOUBLE) AS col FROM ks
-    UNION ALL SELECT unique_id, d, n1, n2, cell + 1, list_transform(col, lambda v, k: CASE WHEN k <> j + 1 THEN v WHEN cell = 0 THEN 1
-      WHEN abs(i / n1 - j / n2) >= d - 1e-12 THEN 0 ELSE (CASE WHEN i > 0 THEN col[j + 1] * i / (i + j) ELSE 0 END) + (CASE WHEN j > 0 THEN col[j] * j / (i + j) ELSE 0 END) END)
-    FROM (SELECT *, cell // (n2 + 1) AS i, cell % (n2 + 1) AS j FROM kspaths WHERE cell < (n1 + 1) * (n2 + 1))""", ("ks",))
-
-
-@register(
-    "ks_exact_p",
-    """SELECT unique_id, round(d, 6) AS ks_statistic, round(least(1, greatest(0, 1 - col[n2 + 1])), 6) AS ks_p_exact FROM kspaths
-    WHERE cell = (n1 + 1) * (n2 + 1)""",
-    ("kspaths",),
-)
+@register("ks_exact_p", "SELECT unique_id, round(d, 6) AS ks_statistic, round(p, 6) AS ks_p_exact FROM ksp", ("ksp",))
 def ks_exact_p(spark, d):
     k = N.ks_exact_p(_ks(I.dense(spark, d)))
     return k.select("unique_id", F.round("ks_statistic", 6).alias("ks_statistic"), F.round("ks_p_exact", 6).alias("ks_p_exact"))

@@ -31,7 +31,7 @@ FLIP = "2019-06-30"
 
 
 def _hit(field: str) -> str:
-    options = [f"CASE WHEN regexp_matches(flat, '{p.regex}') THEN regexp_extract(flat, '{p.regex}', {p.group}) END"
+    options = [f"CASE WHEN regexp_matches(flat, '{p.regex}') THEN regexp_extract(flat, '{p.regex}', {p.group or 1}) END"
                for p in PATTERNS if p.field == field]
     return f"coalesce({', '.join(options)})"
 
