@@ -13,7 +13,7 @@ import math
 import random
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Sequence, Set
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,6 +36,7 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 HIDDEN_TEXT = frozenset("script style noscript template svg iframe object canvas textarea title math".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
+PARAGRAPH, PARAGRAPH_SCOPE = frozenset({"p"}), frozenset({"button", "td", "th", "table"})
 KEEPS_PARAGRAPH = frozenset("a b i em strong span u small sub sup code br img font label button input select option".split())
 
 TAG = re.compile(
@@ -68,6 +69,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal links
+        if not parts:
+            return
         text = " ".join("".join(parts).split())
         if text:
             out.append(Block(tuple(x for x in stack if x[0] in BLOCKS), text, min(1.0, links / len(text))))
@@ -76,12 +79,14 @@ def blocks(page: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal links
+        if not raw:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if in_link:
             links += len(text)
 
-    def leave(names: set[str] | frozenset[str], scope: set[str]) -> None:
+    def leave(names: Set[str], scope: Set[str]) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 flush()
@@ -111,9 +116,8 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 at = page.find(">", end.end() - 1) + 1 or len(page)
             continue
-        if name == "br" or name not in BLOCKS:
-            parts.append(" " if name in EMPTY else "")
         if name in EMPTY and name not in BLOCKS:
+            parts.append(" ")
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -126,7 +130,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCKS:
             if name not in KEEPS_PARAGRAPH:
-                leave({"p"}, {"button", "td", "th", "table"})
+                leave(PARAGRAPH, PARAGRAPH_SCOPE)
             if name in CLOSED_BY:
                 leave(CLOSED_BY[name], SCOPE[name])
             flush()
@@ -158,31 +162,48 @@ def path_slots(path: tuple[tuple[str, str], ...]) -> tuple[tuple[int, ...], tupl
     return tuple(set(whole)), tuple(set(inner))
 
 
-@lru_cache(maxsize=200_000)
-def word_slot(word: str) -> int:
-    return slot(word.lower(), WORDS)
-
-
-def vectors(page: Sequence[Block], forget: random.Random | None = None) -> np.ndarray:
-    """One row per block. With ``forget``, names on the path are dropped now and then, for training."""
-    x = np.zeros((len(page), INPUTS), "float32")
-    for k, b in enumerate(page):
-        whole, inner = path_slots(b.path)
+#: A number per byte; the sum over a word's bytes is its hash.
+BYTE_HASH = np.random.default_rng(3).integers(0, 2**32, 256, dtype="int64")
+BYTE_HASH[32] = 0
+
+
+def plain_vectors(page: Sequence[Block]) -> np.ndarray:
+    """Hashed words and proportions of each block, all blocks of a page in one pass over its bytes."""
+    joined = np.frombuffer(" ".join(b.text for b in page).lower().encode(), "uint8")
+    starts = np.r_[0, np.flatnonzero(joined == 32) + 1]
+    slots = np.add.reduceat(BYTE_HASH[joined], starts) * 0x9E3779B1 >> 20 & (WORDS - 1)
+    sizes = np.array([b.text.count(" ") + 1 for b in page])
+    owner = np.repeat(np.arange(len(page)), sizes)
+    counts = np.bincount(owner * WORDS + slots, minlength=len(page) * WORDS).reshape(-1, WORDS)
+    more = []
+    for k, (b, n) in enumerate(zip(page, sizes)):
+        text = b.text
+        stops = sum(map(text.count, ".,;:!?"))
+        digits = sum(map(text.count, "0123456789"))
+        more.append((
+            math.log1p(n) / 5, b.linked, min(2.0, 5 * stops / n), float(text[-1] in ".!?:\"\u201d"), float("\u00a9" in text),
+            digits / len(text), min(1.0, len(b.path) / 10), min(1.0, k / max(len(page) - 1, 1)),
+        ))
+    return np.column_stack([np.sqrt(counts / sizes[:, None]), np.array(more)]).astype("float32")
+
+
+def path_vectors(paths: Sequence[tuple], forget: random.Random | None = None) -> np.ndarray:
+    """One row per path. With ``forget``, names on the path are dropped now and then, for training."""
+    x = np.zeros((len(paths), 2 * PATH), "float32")
+    for k, path in enumerate(paths):
+        whole, inner = path_slots(path)
         if forget is not None:
             whole, inner = (tuple(s for s in part if forget.random() > 0.08) for part in (whole, inner))
         x[k, list(whole)] = 1.0
         x[k, [PATH + s for s in inner]] = 1.0
-        words = b.text.split()
-        counts = np.bincount(np.fromiter(map(word_slot, words), "int64", len(words)), minlength=WORDS)
-        x[k, 2 * PATH : 2 * PATH + WORDS] = np.sqrt(counts / len(words))
-        stops = sum(map(b.text.count, ".,;:!?"))
-        x[k, 2 * PATH + WORDS :] = (
-            math.log1p(len(words)) / 5, b.linked, min(2.0, 5 * stops / len(words)), float(b.text[-1] in ".!?:\"”"), float("©" in b.text),
-            sum(map(str.isdigit, b.text)) / len(b.text), min(1.0, len(b.path) / 10), min(1.0, k / max(len(page) - 1, 1)),
-        )
     return x
 
 
+def vectors(page: Sequence[Block], forget: random.Random | None = None) -> np.ndarray:
+    """One row per block: path, words, proportions."""
+    return np.concatenate([path_vectors([b.path for b in page], forget), plain_vectors(page)], axis=1)
+
+
 class Labeller:
     """Bidirectional LSTM with a logistic output for every block."""
 
@@ -202,12 +223,12 @@ class Labeller:
     def sigmoid(v: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(v, -30, 30)))
 
-    def run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction for padded pages (time, page, input); padding leaves the state as it is."""
-        gates = x @ self.weights[f"x{d}"] + self.weights[f"c{d}"]
-        h = c = np.zeros((x.shape[1], HIDDEN), "float32")
-        states, kept = np.empty((*x.shape[:2], HIDDEN), "float32"), []
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+    def run(self, gates: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+        """States of one direction from the inputs' share in the gates of padded pages (time, page, gate)."""
+        gates = gates + self.weights[f"c{d}"]
+        h = c = np.zeros((gates.shape[1], HIDDEN), "float32")
+        states, kept = np.empty((*gates.shape[:2], HIDDEN), "float32"), []
+        for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
             g = gates[t] + h @ self.weights[f"h{d}"]
             s = self.sigmoid(g[:, : 3 * HIDDEN])
             i, f, o, z = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
@@ -219,13 +240,14 @@ class Labeller:
             states[t] = h
         return states, kept
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-        (forth, kf), (back, kb) = self.run(x, mask, "f"), self.run(x, mask, "b")
+    def logits(self, gates: dict[str, np.ndarray], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Padding (mask 0) leaves the state of either direction as it is."""
+        (forth, kf), (back, kb) = self.run(gates["f"], mask, "f"), self.run(gates["b"], mask, "b")
         states = np.concatenate([forth, back], axis=2)
         return states @ self.weights["out"][:-1] + self.weights["out"][-1], states, {"f": kf, "b": kb}
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        z, states, kept = self.logits(x, mask)
+        z, states, kept = self.logits({d: x @ self.weights[f"x{d}"] for d in ("f", "b")}, mask)
         p = self.sigmoid(z)
         total = mask.sum()
         dz = (p - y) * mask / total
@@ -248,15 +270,25 @@ class Labeller:
             grads |= {f"x{d}": x.reshape(-1, INPUTS).T @ flat, f"h{d}": dwh, f"c{d}": flat.sum(axis=0)}
         return grads, loss
 
-    def label(self, pages: Sequence[np.ndarray], cells: int = 16_384) -> list[np.ndarray]:
-        """Probability of main text for every block, pages of like length side by side."""
+    def label(self, pages: Sequence[Sequence[Block]], cells: int = 16_384) -> list[np.ndarray]:
+        """Probability of main text for every block, pages of like length side by side.
+
+        Many blocks share a path, so each path meets the weights once.
+        """
+        paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for page in pages for b in page))}
+        of_path = path_vectors(list(paths))
+        shared = {d: of_path @ self.weights[f"x{d}"][: 2 * PATH] for d in ("f", "b")}
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         while order:
             longest = len(pages[order[-1]])
             some = [order.pop() for _ in range(min(len(order), max(1, cells // longest)))]
-            x, mask = padded([pages[k] for k in some])
-            p = self.sigmoid(self.logits(x, mask)[0])
+            x, mask = padded([plain_vectors(pages[k]) for k in some])
+            which = np.zeros(mask.shape, "int64")
+            for column, k in enumerate(some):
+                which[: len(pages[k]), column] = [paths[b.path] for b in pages[k]]
+            gates = {d: x @ self.weights[f"x{d}"][2 * PATH :] + shared[d][which] for d in ("f", "b")}
+            p = self.sigmoid(self.logits(gates, mask)[0])
             for column, k in enumerate(some):
                 out[k] = p[: len(pages[k]), column]
         return out
@@ -264,7 +296,7 @@ class Labeller:
 
 def padded(pages: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     longest = max(map(len, pages))
-    x, mask = np.zeros((longest, len(pages), INPUTS), "float32"), np.zeros((longest, len(pages)), "float32")
+    x, mask = np.zeros((longest, len(pages), pages[0].shape[1]), "float32"), np.zeros((longest, len(pages)), "float32")
     for k, p in enumerate(pages):
         x[: len(p), k], mask[: len(p), k] = p, 1.0
     return x, mask
@@ -428,7 +460,7 @@ def trained(pages: int = 2400, passes: int = 5, together: int = 32, rate: float
 def main_text(pages: Sequence[str | None], model: Labeller, least: float = 0.5) -> list[str]:
     """Main text of whole pages: blocks labelled as such, in order, two line feeds between."""
     found = [blocks(p) for p in pages]
-    marks = model.label([vectors(b) for b in found])
+    marks = model.label(found)
     return ["\n\n".join(b.text for b, p in zip(bs, ps) if p >= least) for bs, ps in zip(found, marks)]
 
 
