@@ -125,28 +125,28 @@ def test_exact_quantiles(spark):
         assert [got[g].lo, got[g].mid, got[g].hi] == pytest.approx(list(np.quantile(values, [0.025, 0.5, 0.975])))
 
 
-def interval(spark, n, bins, seed=1, parts=4):
+def interval(spark, n, seed=1, parts=4):
     rng = np.random.default_rng(0)
     s = rng.random(n)
     y = (rng.random(n) < 0.02 + 0.2 * s**4).astype(int)
     df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(s, y))], "id long, score double, label int")
-    out = Q.poisson_lift_interval(df.repartition(parts), "score", "label", "id", reps=400, seed=seed, bins=bins).first()
+    out = Q.poisson_lift_interval(df.repartition(parts), "score", "label", "id", reps=400, seed=seed).first()
     order = np.argsort(-s, kind="stable")
     return out, y[order], s
 
 
 def test_poisson_interval_brackets_and_repeats(spark):
-    a, y, _ = interval(spark, 8000, 500)
-    b, _, _ = interval(spark, 8000, 500, parts=7)
+    a, y, _ = interval(spark, 8000)
+    b, _, _ = interval(spark, 8000, parts=7)
     assert (a.lift_lo, a.lift_hi) == (b.lift_lo, b.lift_hi)
     point = y[:800].mean() / y.mean()
     assert a.lift_lo < point < a.lift_hi
-    c, _, _ = interval(spark, 8000, 500, seed=2)
+    c, _, _ = interval(spark, 8000, seed=2)
     assert c.lift_lo != a.lift_lo
 
 
 def test_poisson_interval_close_to_row_weights(spark):
-    got, y, _ = interval(spark, 6000, 600)
+    got, y, _ = interval(spark, 6000)
     rng = np.random.default_rng(9)
     lifts = []
     for _ in range(400):
@@ -158,6 +158,43 @@ def test_poisson_interval_close_to_row_weights(spark):
     assert got.lift_lo == pytest.approx(lo, rel=0.06) and got.lift_hi == pytest.approx(hi, rel=0.06)
 
 
+@pytest.mark.parametrize("n", [500, 5_000, 50_000])
+def test_poisson_interval_is_the_row_loop_at_any_size(spark, n):
+    got, y, _ = interval(spark, n)
+    rank = np.arange(1, n + 1)
+    reach = 10 * np.sqrt(0.1 * n) + 10
+    place = np.maximum(np.floor(0.1 * n - reach), np.minimum(np.ceil(0.1 * n + reach), rank))
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    size, hits = np.diff(np.r_[starts, n]), np.add.reduceat(y, starts)
+    lifts = []
+    for rep in range(400):
+        # The same draws as weights of single rows: a folded bin's draw stands for the sum over its rows.
+        rng = np.random.default_rng([1, rep])
+        pos = rng.poisson(hits)
+        w = pos + rng.poisson(size - hits)
+        total, seen, found = w.sum(), 0, 0
+        for x, p in zip(w, pos):
+            seen, found = seen + x, found + p
+            if seen >= 0.1 * total:
+                break
+        if pos.sum():
+            lifts.append(found / seen / (pos.sum() / total))
+    assert (got.lift_lo, got.lift_hi) == pytest.approx(tuple(np.quantile(lifts, [0.025, 0.975])), rel=1e-9)
+    assert size[place[starts] == np.round(0.1 * n)].tolist() == [1]
+
+
+def test_paired_bootstrap_draws_entities_with_replacement(spark):
+    rng = np.random.default_rng(3)
+    d = rng.normal(0.1, 1.0, 60)
+    rows = [(f"{i:02d}", 1, "a", 1.0 + float(x)) for i, x in enumerate(d)] + [(f"{i:02d}", 1, "b", 1.0) for i in range(60)]
+    m = spark.createDataFrame(rows, "id string, origin int, model string, mase double")
+    got = Q.paired_bootstrap(m, "id", "a", "b", reps=4000, rows=7).first()
+    means = d[rng.integers(0, 60, (20_000, 60))].mean(axis=1)
+    assert (got.ci_lo, got.ci_hi) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=0.02)
+    none = Q.paired_bootstrap(m.limit(0), "id", "a", "b", reps=10).first()
+    assert none.entities == 0 and none.ci_lo is None
+
+
 def test_paired_bootstrap(spark):
     rng = np.random.default_rng(2)
     d = rng.normal(0.3, 1.0, 500)

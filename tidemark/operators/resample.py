@@ -17,31 +17,41 @@ from tidemark.functions.frames import side_by_side
 from tidemark.functions.ranking import global_rank
 
 
-def ranked_bins(scored: DataFrame, score: str, label: str, tie: str, bins: int = 2000) -> DataFrame:
-    """Rank by score once and fold the ranks into at most ``bins`` ordered bins of (rows, positives)."""
+#: Ranks kept one by one on either side of the cut, in standard deviations of where weights can move it.
+BAND = 10
+
+
+def ranked_bins(scored: DataFrame, score: str, label: str, tie: str, k: float) -> DataFrame:
+    """Rank by score once. Rows around the cut at share ``k`` stay single; those far above it fold into one
+    bin of (rows, positives) and those far below into another.
+
+    The weights of n rows move the cut by about the root of k n ranks, so beyond ``BAND`` times that a row's place
+    never matters, at any table size; some multiples of the root of the rows remain.
+    """
     ranked = global_rank(scored.select(score, label, tie), [F.desc(score), F.asc(tie)])
-    width = F.greatest(F.lit(1.0), F.col("rank_total") / F.lit(float(bins)))
-    return ranked.groupBy(F.floor((F.col("rank") - 1) / width).cast("int").alias("bin")).agg(
+    cut = F.col("rank_total") * F.lit(k)
+    reach = BAND * F.sqrt(cut) + BAND
+    place = F.greatest(F.floor(cut - reach), F.least(F.ceil(cut + reach), F.col("rank")))
+    return ranked.groupBy(place.cast("long").alias("bin")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("n_pos")
     )
 
 
 def poisson_lift_interval(
     scored: DataFrame, score: str, label: str, tie: str, k: float = 0.1, reps: int = 1000,
-    seed: int = 42, alpha: float = 0.05, bins: int = 2000,
+    seed: int = 42, alpha: float = 0.05,
 ) -> DataFrame:
     """Percentile interval of lift at the top ``k`` under Poisson(1) row weights.
 
-    The sum of n Poisson(1) weights is Poisson(n), so a bin needs two draws per replicate whatever its
-    size. Only the bin straddling the cut is interpolated, and it is taken whole when it is one row.
-    The bins (at most ``bins`` of them) travel as one row of arrays and the replicates are spread over
-    tasks, so nothing of size bins x replicates is shuffled.
+    The sum of n Poisson(1) weights is Poisson(n), so a folded bin needs two draws per replicate whatever its
+    size, and the cut always falls on a single row. The bins travel as one row of arrays and the replicates
+    are spread over tasks, so nothing of size bins x replicates is shuffled.
     """
     folded = F.array_sort(F.collect_list(F.struct("bin", "n", "n_pos")))
-    packed = ranked_bins(scored, score, label, tie, bins).agg(folded.alias("b")).select(
+    packed = ranked_bins(scored, score, label, tie, k).agg(folded.alias("b")).select(
         F.transform("b", lambda s: s["n"]).alias("n"), F.transform("b", lambda s: s["n_pos"]).alias("n_pos")
     )
-    tasks = min(32, reps)
+    tasks = -(-reps // 25)
     blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "block")
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,30 +70,27 @@ def poisson_lift_interval(
 
 
 def _weighted_lift(n: np.ndarray, n_pos: np.ndarray, k: float, rng: np.random.Generator) -> float:
-    """Lift of one replicate over bins ordered from the best score down."""
+    """Lift of one replicate over bins ordered from the best score down; the row at the cut counts whole."""
+    if not len(n):
+        return float("nan")
     pos = rng.poisson(n_pos)
     weight = pos + rng.poisson(n - n_pos)
     upto = np.cumsum(weight)
-    cut = k * upto[-1]
-    at = int(np.searchsorted(upto, cut))
-    before = upto[at] - weight[at]
-    part = 1.0 if n[at] == 1 else (cut - before) / weight[at]
-    top_weight = before + part * weight[at]
-    top_pos = pos[:at].sum() + part * pos[at]
-    if not pos.sum() or not top_weight:
+    at = int(np.searchsorted(upto, k * upto[-1]))
+    if not pos.sum() or not upto[at]:
         return float("nan")
-    return float(top_pos / top_weight / (pos.sum() / upto[-1]))
+    return float(pos[: at + 1].sum() / upto[at] / (pos.sum() / upto[-1]))
 
 
 def paired_bootstrap(
-    mase: DataFrame, series: str, a: str, b: str, reps: int = 2000, seed: int = 42,
-    alpha: float = 0.05, blocks: int = 256,
+    mase: DataFrame, series: str, a: str, b: str, reps: int = 2000, seed: int = 42, alpha: float = 0.05, rows: int = 1000,
 ) -> DataFrame:
     """Mean per-entity difference of two models' scaled errors with a percentile interval.
 
-    Entities get Poisson(1) weights, the large-sample form of drawing entities with replacement. A block
-    of entities returns one partial sum per replicate, so the shuffle carries ``blocks x reps`` rows.
-    ``blocks`` only has to grow with the number of entities; it sets the rows one task holds.
+    A replicate draws as many entities as there are, with replacement: first how many fall to each block of
+    about ``rows`` entities (one multinomial draw), then which ones inside the block. A block returns one
+    partial sum per replicate. With more than a thousand blocks' worth of entities the blocks grow instead, so
+    the table of draws per block stays small enough to send to every task.
     """
     def of(m: str) -> Column:
         return F.avg(F.when(F.col("model") == m, F.col("mase")))
@@ -93,22 +100,25 @@ def paired_bootstrap(
         .groupBy(series)
         .agg((of(a) - of(b)).alias("d"))
         .filter(F.col("d").isNotNull())
-        .withColumn("block", F.pmod(F.xxhash64(series), F.lit(blocks)).cast("int"))
+    )
+    entities = per.count()
+    blocks = min(max(1, -(-entities // rows)), 1000)
+    per = per.withColumn("block", F.pmod(F.xxhash64(series), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, dtype="int64")
+    for r in per.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+    draws = per.sparkSession.sparkContext.broadcast(
+        np.random.default_rng(seed).multinomial(entities, sizes / max(entities, 1), size=reps) if entities else np.zeros((reps, blocks), dtype="int64")
     )
 
     def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d = pdf.sort_values(series, kind="stable")["d"].to_numpy()
         rng = np.random.default_rng([seed, int(key[0])])
-        wd, w = np.zeros(reps), np.zeros(reps)
-        for start in range(0, len(d), 1024):
-            piece = d[start : start + 1024]
-            weights = rng.poisson(1.0, (reps, len(piece)))
-            wd += weights @ piece
-            w += weights.sum(axis=1)
-        return pd.DataFrame({"rep": np.arange(reps), "wd": wd, "w": w})
-
-    parts = per.groupBy("block").applyInPandas(weigh, "rep long, wd double, w double")
-    means = parts.groupBy("rep").agg(F.try_divide(F.sum("wd"), F.sum("w")).alias("m"))
+        wd = [d[rng.integers(0, len(d), n)].sum() for n in draws.value[:, int(key[0])]]
+        return pd.DataFrame({"rep": np.arange(reps), "wd": wd})
+
+    parts = per.groupBy("block").applyInPandas(weigh, "rep long, wd double")
+    means = parts.groupBy("rep").agg((F.sum("wd") / F.lit(float(max(entities, 1)))).alias("m"))
     interval = means.agg(
         F.percentile("m", alpha / 2).alias("ci_lo"), F.percentile("m", 1 - alpha / 2).alias("ci_hi")
     )
