@@ -65,3 +65,14 @@ def test_backtest_shuffles_once_per_grouping(spark, sf_dir):
     # One shuffle to (series, quarter) sums and one to series, for nine origins and four models.
     plan = QUERIES["backtest_score"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("name", ["macro_join", "interaction_feature", "lagged_exog", "fill_exog", "scale_train_only", "align_common_index"])
+def test_no_series_rows_are_shuffled_on_the_quarter(spark, sf_dir, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    main = plan.split("Subquery")[0]
+    assert not re.search(r"hashpartitioning\(q#\d+, \d+\)", main) and "SortMergeJoin" not in main

@@ -147,3 +147,16 @@ def test_reporting_quarter_is_strictly_before(spark):
     rows = spark.createDataFrame([("2019-06-30",), ("2019-07-01",), ("2019-05-16",)], "d string").select(
         cal.reporting_quarter_end(F.to_date("d")).alias("q")).collect()
     assert [r.q for r in rows] == [dt.date(2019, 3, 31), dt.date(2019, 6, 30), dt.date(2019, 3, 31)]
+
+
+def test_period_columns_join_like_a_left_join(spark):
+    from tidemark.functions.frames import with_period_columns
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "s string, q int")
+    periods = spark.createDataFrame([(1, 1.5, "x"), (3, 2.5, "y"), (None, 0.0, "z")], "q int, rate double, name string")
+    got = {(r.s, r.q): (r.rate, r.name) for r in with_period_columns(rows, periods, "q", ["rate", "name"]).collect()}
+    assert got == {("a", 1): (1.5, "x"), ("a", 2): (None, None), ("b", None): (None, None)}
+    with pytest.raises(Exception, match="more than 2 periods"):
+        with_period_columns(rows, spark.range(5).selectExpr("cast(id as int) q", "1.0 rate"), "q", ["rate"], most=2).collect()
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        with_period_columns(rows, periods.union(periods), "q", ["rate"]).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import with_period_columns
 from tidemark.operators import diagnostics as D
 from tidemark.operators import forecast as B
 from tidemark.operators import models as M
@@ -211,10 +212,8 @@ def timeseries_cv(spark, d):
     ("hold", "macro"),
 )
 def align_common_index(spark, d):
-    from tidemark.operators.runs import align_common
-
     m = I.macro(spark, d).filter(F.col("rate").isNotNull()).select("q", "rate")
-    return align_common(hold(spark, d), m, ["q"]).select(*KEY, "q", "actual", "rate")
+    return with_period_columns(hold(spark, d), m, "q", ["rate"]).filter(F.col("rate").isNotNull()).select(*KEY, "q", "actual", "rate")
 
 
 _TRANSFER_SQL = """SELECT coalesce(a.unique_id, b.unique_id) AS unique_id, coalesce(a.h, b.h) AS h,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import with_period_columns
 from tidemark.functions import calendar as cal
 from tidemark.operators import diagnostics as D
 from tidemark.operators import features as S
@@ -47,7 +48,8 @@ CTES |= {
 
 
 def _macro(spark, d):
-    return I.dense(spark, d).join(I.macro(spark, d), "q", "left").select("unique_id", "ds", "q", "y", "rate", "orders_n")
+    joined = with_period_columns(I.dense(spark, d), I.macro(spark, d), "q", ["rate", "orders_n"])
+    return joined.select("unique_id", "ds", "q", "y", "rate", "orders_n")
 
 
 @register(
