@@ -107,7 +107,8 @@ def negative_sample(df: DataFrame, label: str, keys: Sequence[str], keep: float
 
     The sample only feeds model training; scoring and evaluation always see every row.
     """
-    u = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(100_000)) / 100_000.0
+    digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     return df.filter((F.col(label) == 1) | (u < keep)).withColumn(
         "weight", F.when(F.col(label) == 1, 1.0).otherwise(1.0 / keep)
     )

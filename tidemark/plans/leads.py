@@ -282,7 +282,13 @@ def _split(spark, d):
     return settle(sampled.unionByName(rest))
 
 
-@register("negative_downsample")
+@register(
+    "negative_downsample",
+    f"""SELECT user_id, day, added, CASE WHEN added = 1 THEN 1.0 ELSE 10.0 END::DOUBLE AS weight FROM feats
+    WHERE day BETWEEN {TRAIN[0]} AND {TRAIN[1]}
+      AND (added = 1 OR CAST('0x' || substr(md5(concat_ws(':', user_id, day, 42)), 1, 8) AS BIGINT) / 4294967296 < 0.1)""",
+    ("feats",),
+)
 def negative_downsample(spark, d):
     train = features(spark, d).filter(F.col("day").between(*TRAIN))
     return L.negative_sample(train, "added", ID).select(*ID, "added", "weight")

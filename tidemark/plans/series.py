@@ -389,11 +389,11 @@ def validate_series(spark, d):
     return G.validate_series(component_sum(I.components(spark, d), ["part_a", "part_n"]), "entity", "y", 8)
 
 
-@register("sample_entities")
+@register("sample_entities", "SELECT unique_id FROM dense GROUP BY 1 ORDER BY md5(unique_id || ':42'), unique_id LIMIT 20", ("dense",))
 def sample_entities(spark, d):
     """A seeded sample of entities: hashed order, so the same ids under any partitioning."""
     ids = I.dense(spark, d).select("unique_id").distinct()
-    return ids.orderBy(F.xxhash64("unique_id", F.lit(42)), "unique_id").limit(20)
+    return ids.orderBy(F.md5(F.concat("unique_id", F.lit(":42"))), "unique_id").limit(20)
 
 
 @register("quarter_end", "SELECT o_orderkey, CAST(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS VARCHAR) AS quarter_end FROM orders")
