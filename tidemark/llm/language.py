@@ -2,7 +2,7 @@
 
 Every language has a probability for each piece of a fixed public vocabulary. A forward algorithm adds up the
 probabilities of all ways to cut a word into pieces; no single segmentation is chosen. Pieces never cross a
-word, so a text's log likelihood is the sum of its words' and words met before are looked up. Probabilities
+run of letters, so a text's log likelihood is the sum of its runs', and runs met before are looked up. Probabilities
 are fitted by expectation maximisation over the same lattice.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, sized, stored, words_of
+from tidemark.llm.common import fold, sized, stored
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
@@ -28,7 +28,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST, UNKNOWN = 16, 1e-9
 #: Words up to this length go through the lattice side by side without rescaling.
 PLAIN = 40
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -41,6 +41,19 @@ def vocabulary(path: str | None = None) -> list[str]:
     return [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
 
 
+POWERS = np.cumprod(np.full(LONGEST + 1, 0x9E3779B97F4A7C15, "uint64"), dtype="uint64") * np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+
+
+def prefix_hashes(words: Sequence[str]) -> np.ndarray:
+    """64-bit polynomial hashes of the first 0, 1, ... characters of words of one length, a row per prefix."""
+    n = len(words[0])
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).T.astype("uint64")
+    out = np.zeros((n + 1, len(words)), "uint64")
+    for k in range(n):
+        out[k + 1] = out[k] * POWERS[1] + codes[k] + np.uint64(1)
+    return out
+
+
 @dataclass
 class PieceModel:
     """Piece probabilities, one column per language; the last row is the character outside the vocabulary."""
@@ -50,13 +63,31 @@ class PieceModel:
     probability: np.ndarray
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        """Hashes of the pieces, sorted, per length; substrings are looked up among those of their length."""
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for p in self.pieces:
+            by_length[len(p)].append(p)
+        self.hashed = {}
+        for n, ps in by_length.items():
+            if n <= LONGEST:
+                keys = prefix_hashes(ps)[n]
+                order = np.argsort(keys)
+                self.hashed[n] = keys[order], np.array([self.pieces[p] for p in ps])[order]
+
     def lattice(self, words: Sequence[str]) -> dict[tuple[int, int], np.ndarray]:
         """Row of the piece that covers (i, j) in each of the words, all of one length; -1 where there is none."""
-        n, get, unknown = len(words[0]), self.pieces.get, len(self.pieces)
+        n, unknown, hashes = len(words[0]), len(self.pieces), prefix_hashes(words)
         out = {}
         for j in range(1, n + 1):
             for i in range(max(0, j - LONGEST), j):
-                rows = np.fromiter((get(w[i:j], -1) for w in words), "int64", len(words))
+                if j - i not in self.hashed:
+                    rows = np.full(len(words), -1)
+                else:
+                    keys, ids = self.hashed[j - i]
+                    own = hashes[j] - hashes[i] * POWERS[j - i]
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    rows = np.where(keys[at] == own, ids[at], -1)
                 if j - i == 1:
                     rows[rows < 0] = unknown
                 if (rows >= 0).any():
@@ -164,35 +195,25 @@ def training_words(docs: DataFrame, rows_per_language: int = 400, words: int = 3
 _known: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
-def word_values(model: PieceModel, words: Sequence[str]) -> np.ndarray:
-    """Log likelihood of each word: the sum over its runs of letters. Digits and signs say nothing of a language."""
-    runs = [LETTERS.findall(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(r) for r in runs])
-    flat = [x for r in runs for x in r]
-    distinct = {x: k for k, x in enumerate(dict.fromkeys(flat))}
-    out = np.zeros((len(words), len(model.languages)))
-    if flat:
-        values = model.log_likelihood(list(distinct))
-        np.add.at(out, owner, values[[distinct[x] for x in flat]])
-    return out
-
-
 def likelihoods(model: PieceModel, texts: Sequence[str]) -> np.ndarray:
-    """Log likelihood of whole texts, a row per text. Words and their values stay in the worker's memory."""
+    """Log likelihood of whole texts, a row per text: the sum over their runs of letters.
+
+    Digits and signs say nothing of a language. Runs and their values stay in the worker's memory.
+    """
     if model.name not in _known:
         _known.clear()
         _known[model.name] = ({}, [np.zeros((0, len(model.languages)))])
     known, table = _known[model.name]
-    split = [words_of(t.lower()) for t in texts]
-    new = {w for ws in split for w in ws if w not in known}
+    split = [LETTERS.findall(t.lower()) for t in texts]
+    new = set().union(*split).difference(known)
     if new:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             table[0] = table[0][:0]
-            new = {w for ws in split for w in ws}
+            new = set().union(*split)
         fresh = list(new)
         known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-        table[0] = np.concatenate([table[0], word_values(model, fresh)])
+        table[0] = np.concatenate([table[0], model.log_likelihood(fresh)])
     out = np.zeros((len(texts), len(model.languages)))
     for k, ws in enumerate(split):
         if ws:
