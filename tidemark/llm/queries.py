@@ -154,8 +154,9 @@ def cascade_sql() -> str:
       SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
     ), w AS (
-      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n
-      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS n FROM (
+        SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, unnest(list_zip(words, words[2:], words[3:], true)) AS three FROM d WHERE len(words) > 2
+      )
     ), r AS (
       SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM w WHERE n > 1) GROUP BY doc_id
     ), b AS (
