@@ -92,7 +92,7 @@ def test_weights_set_the_shares_and_growth_moves_little(spark):
         assign(keys, "k", [0.0])
 
 
-@pytest.mark.parametrize("name", ["op10_digest_index", "op6_rendezvous_shards", "op4_source_mix", "op1_capture_index", "op2_rule_cascade"])
+@pytest.mark.parametrize("name", ["op10_digest_index", "op6_rendezvous_shards", "op4_source_mix", "op1_capture_index", "op2_rule_cascade", "op9_shingle_join"])
 def test_same_as_sql(spark, sf_dir, name):
     assert compare(queries.QUERIES[name](spark, sf_dir), duck(sf_dir), queries.SQL[name]) is None
 
