@@ -68,7 +68,7 @@ def fold(key: Column) -> Column:
 
 
 #: Rows up to which a table of ids is broadcast, some tens of MB; larger ones are joined by shuffle.
-SMALL = 500_000
+SMALL = 300_000
 
 
 def sized(ids: DataFrame) -> DataFrame:

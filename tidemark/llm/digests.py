@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, stored, stored_path
+from tidemark.llm.common import BLANK, sized, stored, stored_path
 
 SCHEMA = "digest binary, keep_id long, keep_row long, n long, batch string"
 
@@ -104,11 +104,26 @@ def dedupe_groups(docs: DataFrame, index: DigestIndex | None = None, doc_id: str
 def dedupe(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is new to the index, one row per text, all columns as they were.
 
-    The hot text's copies are spread by the pair of digest and id, so no task gets them all.
+    What goes is named by id and digest and taken out by an anti-join, so no text moves while that is a small
+    table. Rows that repeat both id and text cannot be told apart so; of those, if any, one is picked.
     """
     index = index or DigestIndex.create(docs.sparkSession)
-    batch = index.add(digest_rows(docs, doc_id, text))
-    stay = index.lookup().filter(F.col("batch") == batch).select(F.col("digest").alias("__digest_k"), F.col("keep_id").alias("__keep_id"))
+    rows = digest_rows(docs, doc_id, text)
+    batch = index.add(rows)
+    found = index.lookup().withColumnRenamed("digest", "__digest")
+    kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
+    pairs = rows.join(found, F.col("digest") == F.col("__digest")).groupBy("doc_id", "digest").agg(
+        F.count_if(kept).alias("kept"), F.count(F.lit(1)).alias("n")
+    )
+    marked = stored(
+        pairs.filter("kept = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), (F.col("kept") > 0).alias("again")),
+        "marked",
+    )
     tagged = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("id"), text_digest(F.col(text)).alias("digest"))
-    match = (F.col("digest") == F.col("__digest_k")) & F.col("id").eqNullSafe(F.col("__keep_id"))
-    return tagged.join(stay, match, "left_semi").dropDuplicates(["digest", "id"]).select("doc.*")
+    match = (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id"))
+    out = tagged.join(sized(marked), match, "left_anti").select("doc.*")
+    again = marked.filter("again")
+    if not again.isEmpty():
+        one = tagged.join(again, match, "left_semi").dropDuplicates(["digest", "id"])
+        out = out.unionByName(one.select("doc.*"))
+    return out
