@@ -31,9 +31,7 @@ BANDS = 8
 SAMPLE_OF, FREQUENT, LISTED = 16, 6, 200_000
 #: Sets a lead is compared with in one group of a task; entries of a list that are skipped together.
 GROUP, BLOCK = 1_000, 64
-REMEMBERED = 300_000
 
-_hashes: dict[bytes, int] = {}
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "uint64")
 
 
@@ -53,15 +51,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, "uint64")
-    found = list(map(_hashes.get, words))
-    if None in found:
-        if len(_hashes) > REMEMBERED:
-            _hashes.clear()
-        for at, h in enumerate(found):
-            if h is None:
-                word = words[at]
-                found[at] = _hashes[word] = xxhash.xxh64_intdigest(word)
-    h = np.array(found, "uint64")
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))
     width = min(WIDTH, len(h))
     total = np.full(len(h) - width + 1, width, "uint64")
     for k in range(width):

@@ -28,7 +28,7 @@ from tidemark.llm.common import stored, words_of
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 WORD_END = "</w>"
 #: Words without any character that normalisation could compose, split or lower in an unusual way.
 SIMPLE = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
