@@ -175,3 +175,22 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
 def test_stages_on_an_empty_table(spark, sf_dir, name):
     empty = read(spark, sf_dir, "documents").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, empty, sf_dir).count() == 0
+
+
+def brute_links(rows):
+    """Links between distinct sets, each as a pair of frozensets."""
+    sets = list({frozenset(s) for _, t in rows if (s := shingles(t))})
+    return {frozenset((x, y)) for i, x in enumerate(sets) for y in sets[:i] if 100 * len(x & y) >= 80 * len(x | y)}
+
+
+@pytest.mark.parametrize("group", [1000, 7])
+def test_all_links_by_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = corpus()
+    members, links = jaccard.shingle_links(documents(spark, rows))
+    sets = dict(rows)
+    of = {r.node: frozenset(shingles(sets[r.doc_id])) for r in members.collect()}
+    got = [frozenset((of[r.a], of[r.b])) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(rows)
+    parts = {r.doc_id: r.component_id for whole in (True, False) for r in jaccard.jaccard_components(documents(spark, rows), whole=whole).collect()}
+    assert parts == {k: c for k, (_, c) in brute_components(rows).items()}

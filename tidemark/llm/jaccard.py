@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of word shingle sets, with skipping by set relations.
 
 * Documents of equal sets are one class. Links are sought between classes only.
-* Answer level: minhash buckets give every set a lead. Sets verified against their lead and connected through
-  leads form clusters; what a cluster's sets link to each other is known then, so their pairs are never formed.
+* Answer level: minhash buckets give every set a lead. What a set verified against its lead links to among the
+  lead's other sets is derived from the shingles in which each differs from the lead; such pairs are never formed.
+  Where only components are asked for, pairs of sets that leads connect are left out instead.
 * Index level: of each set the rarest shingles that its threshold asks for are indexed (prefix). A shingle's
   list is ordered by set size and cut into blocks; whole blocks are skipped by the size and by what can still
   overlap after the shingle's position.
@@ -59,6 +60,10 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def fingerprint(members: np.ndarray) -> bytes:
+    return np.array([mixed(members, 101).sum(), mixed(members, 102).sum()], "uint64").tobytes()
+
+
 def prefix_length(n: int) -> int:
     """Shingles of a set of ``n`` of which any set it links to shares one: all but 80% of it, and one."""
     return n - (4 * n + 4) // 5 + 1
@@ -136,7 +141,7 @@ def described(docs: DataFrame, order: Order) -> DataFrame:
                 for text in batch.column(1):
                     s = shingle_set(text.as_py())
                     sizes.append(len(s))
-                    prints.append(np.array([mixed(s, 101).sum(), mixed(s, 102).sum()], "uint64").tobytes())
+                    prints.append(fingerprint(s))
                     mins.append([int(mixed(s, k).min().view("int64")) for k in range(BANDS)] if len(s) else [])
                     prefixes.append(shared.value.first(s, prefix_length(len(s))).tobytes() if len(s) else b"")
                     odd.append(parities(s) if len(s) else b"")
@@ -268,70 +273,195 @@ def plausible(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b), a stored table, whose whole sets link.
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, members) of the classes in the pairs (a, b), stored, made again from the texts of their representatives.
 
-    The sets concerned are made again from the texts. Each b meets its partners in groups of about a thousand,
-    so a set with very many partners is spread over tasks.
+    Of an id with several texts only that of the class counts. A row that repeats id and text is here twice.
     """
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "__id"), "ids")
-    texts = docs.join(sized(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "text")
+    nodes = pairs.select("a").union(pairs.select("b")).distinct()
+    ids = nodes.join(classes, F.col("a") == F.col("node")).select(F.col("rep").alias("__id"), F.col("node").alias("__node"), F.col("fingerprint").alias("__f"))
+    texts = docs.join(sized(stored(ids, "ids")), F.col("doc_id") == F.col("__id")).select("__node", "__f", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sets = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "members"])
+                sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+                own = [fingerprint(x) == f.as_py() for x, f in zip(sets, batch.column(1))]
+                made = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "members"])
+                yield made.filter(pa.array(own, pa.bool_()))
+
+    return stored(texts.mapInArrow(make, "node long, members binary"), "sets")
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (b, part, a, members) of the pairs (a, b), sorted: in each part of a ``b`` first its own set, without ``a``.
 
-    sets = stored(texts.mapInArrow(make, "node long, members binary"), "sets")
+    Each b meets its partners in parts of about a thousand, so a set with very many partners is spread over tasks.
+    """
     groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")).withColumnRenamed("b", "__b")
     keyed = pairs.join(groups, F.col("b") == F.col("__b")).select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"))
     partners = keyed.join(sets, F.col("a") == F.col("node")).select("b", "part", F.col("a").alias("a"), "members")
     heads = keyed.select("b", "part").distinct().join(sets, F.col("b") == F.col("node")).select("b", "part", F.lit(None).cast("long").alias("a"), "members")
-    rows = heads.unionByName(partners).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return heads.unionByName(partners).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+
+def with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """(a, b, set of a, set of b) of the rows of ``beside``, a list per batch."""
+    head = None
+    for batch in batches:
+        out = []
+        for b, a, members in zip(batch.column("b").to_pylist(), batch.column("a").to_pylist(), batch.column("members")):
+            own = np.frombuffer(members.as_py(), "uint64")
+            if a is None:
+                head = own
+            else:
+                out.append((a, b, own, head))
+        yield out
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b), a stored table, whose whole sets link."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, heads = None, []
-        for batch in batches:
-            out = []
-            for b, part, a, members in zip(batch.column("b").to_pylist(), batch.column("part").to_pylist(), batch.column("a").to_pylist(), batch.column("members")):
-                if (b, part) != group:
-                    group, heads = (b, part), []
-                own = np.frombuffer(members.as_py(), "uint64")
-                if a is None:
-                    heads.append(own)
-                elif any(linked(own, h) for h in heads):
-                    out.append((a, b))
-            yield as_pairs(np.array(out, "int64").reshape(-1, 2))
+        for rows in with_heads(batches):
+            yield as_pairs(np.array([(a, b) for a, b, x, y in rows if linked(x, y)], "int64").reshape(-1, 2))
+
+    return beside(pairs, sets).mapInArrow(compare, "a long, b long").distinct()
+
+
+def derived(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, between sets of one lead, from what tells each of them from the lead.
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    ``homes`` (node, component) names a lead that each set links to. Two sets differ where exactly one of them
+    differs from the lead. Sets of a lead are dealt into blocks of about a thousand; each two blocks meet in a
+    group of their own.
+    """
+    large = homes.groupBy("component").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    large = stored(large.select(F.col("component").alias("__c"), F.ceil(F.col("k") / GROUP).cast("int").alias("blocks")), "leads")
+    within = stored(homes.join(large, F.col("component") == F.col("__c")).select(F.col("node").alias("a"), F.col("component").alias("b")), "within")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("differs", pa.binary())])
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in with_heads(batches):
+            found = [(a, b, len(x), np.setxor1d(x, y, assume_unique=True).tobytes()) for a, b, x, y in rows]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in found], schema=schema)
+
+    rows = beside(within, sets).mapInArrow(against, "a long, b long, n long, differs binary").join(large, F.col("b") == F.col("__c"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a", F.lit("block")), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("b", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "a", "n", "differs")
+    rows = rows.repartition("b", "one", "two").sortWithinPartitions("b", "one", "two")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            for b, one, two, own, a, n, differs in zip(*[batch.column(k).to_pylist() for k in range(7)]):
+                if (b, one, two) != key:
+                    if held:
+                        yield as_pairs(links_of_blocks(*held.values()))
+                    key, held = (b, one, two), {k: {} for k in (one, two)}
+                held[own][a] = n, differs
+        if held:
+            yield as_pairs(links_of_blocks(*held.values()))
+
+    return rows.mapInArrow(meet, "a long, b long")
+
+
+def links_of_blocks(*blocks: dict[int, tuple[int, bytes]]) -> np.ndarray:
+    """Links inside one block, or between two, whose sets are given by size and what differs from their lead."""
+    ids, n, apart, owner, differs = [], [], [], [], []
+    for block in blocks:
+        parts = [np.frombuffer(d, "uint64") for _, d in block.values()]
+        ids.append(np.array(list(block), "int64"))
+        n.append(np.array([k for k, _ in block.values()], "int64"))
+        apart.append(np.array([len(p) for p in parts], "int64"))
+        owner.append(np.repeat(np.arange(len(parts)), apart[-1]))
+        differs.append(np.concatenate([np.zeros(0, "uint64"), *parts]))
+    values, counts = np.unique(np.concatenate(differs), return_counts=True)
+    common = values[counts > 1]
+    alike = np.zeros((len(ids[0]), len(ids[-1])), "int64")
+    for at in range(0, len(common), 4096):
+        some, sides = common[at : at + 4096], []
+        for k in range(len(blocks)):
+            where = np.minimum(np.searchsorted(some, differs[k]), len(some) - 1)
+            hit = some[where] == differs[k]
+            side = np.zeros((len(ids[k]), len(some)), "float32")
+            side[owner[k][hit], where[hit]] = 1.0
+            sides.append(side)
+        alike += (sides[0] @ sides[-1].T).astype("int64")
+    d = apart[0][:, None] + apart[-1] - 2 * alike
+    x, y = np.nonzero(9 * d <= n[0][:, None] + n[-1])
+    a, b = ids[0][x], ids[-1][y]
+    if len(blocks) == 1:
+        a, b = a[a > b], b[a > b]
+    return np.column_stack([np.maximum(a, b), np.minimum(a, b)])
+
+
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, fingerprint, rep, rep_row) of every class, and the rows with the node of theirs, null without words.
+
+    The node is a hash by the first seed that gives no two classes the same. The representative is the row of
+    the smallest id.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "row")).alias("f")
+    found = stored(rows.filter("n > 0").groupBy("fingerprint", "n").agg(first), "classes")
+    seed = 0
+    while not found.groupBy(F.xxhash64("fingerprint", "n", F.lit(seed)).alias("node")).count().filter("count > 1").isEmpty():
+        seed += 1
+    node = F.xxhash64("fingerprint", "n", F.lit(seed))
+    classes = found.select(node.alias("node"), "fingerprint", F.col("f.doc_id").alias("rep"), F.col("f.row").alias("rep_row"))
+    return classes, rows.withColumn("node", F.when(F.col("n") > 0, node))
+
+
+def joined(docs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """``shingle_links`` if ``whole``; else without the links between sets that leads' links already connect."""
+    rows = stored(described(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id()), "described")
+    classes, rows = classes_of(rows)
+    reps = classes.select(F.col("node").alias("__node"), "rep", "rep_row")
+    members = stored(rows.select("doc_id", "n", "node", "row").join(reps, F.col("node") == F.col("__node"), "left").drop("__node"), "members")
+    others = stored(members.filter("n = 0 or doc_id is null or row != rep_row").select(F.col("row").alias("__row")), "copies")
+    alone = rows.join(sized(others), F.col("row") == F.col("__row"), "left_anti").select(F.col("node").alias("doc_id"), "n", "minhashes", "prefix", "parity")
+    near = stored(plausible(alone, lead_pairs(alone)), "lead-pairs")
+    sets = sets_of(docs, classes, near)
+    by_lead = stored(verified(near, sets), "lead-links")
+    if whole:
+        together = stored(by_lead.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "leads")
+    else:
+        together = stored(components(by_lead), "clusters")
+    pairs = stored(plausible(alone, candidate_pairs(alone, together)), "pairs")
+    links = by_lead.unionByName(verified(pairs, sets_of(docs, classes, pairs)))
+    if whole:
+        links = links.unionByName(derived(together, sets)).distinct()
+    return members.select("doc_id", F.col("n").alias("n_shingles"), "node", "rep"), stored(links, "links")
+
+
+def shingle_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: (doc_id, n_shingles, node, rep) of every row, and each two nodes (a, b), a > b, that link.
+
+    A node is a class of equal sets, null for a text without words; ``rep`` is its smallest doc_id. Rows of one
+    node link with each other. There are as many links as the classes have, in a family of near copies the
+    square of its size.
+    """
+    return joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), True)
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
     Two documents link when their shingle sets overlap by 0.8 or more of their union; the component is the
     smallest doc_id reachable by links. A text without words has no shingles and links with nothing. Rows that
     repeat an id are one node with the links of each of its texts. A row without id takes the component of the
-    documents of its own set, null if there are none. Other columns are ignored.
+    documents of its own set, null if there are none. Other columns are ignored. Without ``whole`` the links
+    that could only connect what is connected are not sought; components are the same.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = stored(described(docs, frequent_shingles(docs)), "described")
-    narrow = rows.select("doc_id", "n", "fingerprint")
-    classes = narrow.filter("n > 0").groupBy(F.col("fingerprint").alias("__f"), F.col("n").alias("__n")).agg(F.min("doc_id").alias("rep"))
-    members = narrow.join(classes, (F.col("fingerprint") == F.col("__f")) & (F.col("n") == F.col("__n")), "left")
-    members = stored(members.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    others = stored(members.filter("doc_id != rep or doc_id is null or n = 0").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct(), "copies")
-    alone = rows.filter("n > 0 and doc_id is not null").join(sized(others), F.col("doc_id") == F.col("__id"), "left_anti")
-    by_lead = stored(verified(docs, stored(plausible(alone, lead_pairs(alone)), "lead-pairs")), "lead-links")
-    clusters = stored(components(by_lead), "clusters")
-    links = verified(docs, stored(plausible(alone, candidate_pairs(alone, clusters)), "pairs"))
-    # Leads' links already stand as stars; candidates only add links between clusters.
-    stars = clusters.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    whole = components(stars.unionByName(links))
-    out = members.join(whole, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    members, links = joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), whole)
+    found = stored(components(links).withColumnRenamed("node", "__n"), "components")
+    reps = members.filter("node is not null").select("node", "rep").distinct()
+    smallest = found.join(reps, F.col("__n") == F.col("node")).groupBy(F.col("component").alias("__c")).agg(F.min("rep").alias("smallest"))
+    named = found.join(smallest, F.col("component") == F.col("__c")).select("__n", "smallest")
+    out = members.join(named, F.col("node") == F.col("__n"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("smallest", "rep", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,7 +469,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Rows without id stay. All columns are kept as they were.
     """
-    found = jaccard_components(docs, doc_id, text)
+    found = jaccard_components(docs, doc_id, text, whole=False)
     gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     tagged = docs.select(F.struct("*").alias("doc"), F.col(doc_id).cast("long").alias("id"))
     return tagged.join(sized(gone), F.col("id") == F.col("gone"), "left_anti").select("doc.*")
