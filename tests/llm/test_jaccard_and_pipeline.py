@@ -194,3 +194,13 @@ def test_all_links_by_brute_force(spark, monkeypatch, group):
     assert len(got) == len(set(got)) and set(got) == brute_links(rows)
     parts = {r.doc_id: r.component_id for whole in (True, False) for r in jaccard.jaccard_components(documents(spark, rows), whole=whole).collect()}
     assert parts == {k: c for k, (_, c) in brute_components(rows).items()}
+
+
+def test_an_id_with_several_texts_has_the_links_of_each(spark):
+    base = [f"w{i}" for i in range(100)]
+    a, near, b, far = " ".join(base), " ".join([*base[:95], "x", "y"]), " ".join(base[::-1]), " ".join(base[::3])
+    rows = [(5, a), (5, b), (3, b), (7, near), (15, ""), (15, far), (17, far + " x"), (14, far), (25, ""), (25, "alone"), (30, ""), (None, near)]
+    for whole in (True, False):
+        got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard.jaccard_components(documents(spark, rows), whole=whole).collect()}
+        assert got == {(5, True, 3), (3, True, 3), (7, True, 3), (15, False, 14), (15, True, 14), (17, True, 14), (14, True, 14), (25, False, 25), (25, True, 25), (30, False, 30), (None, True, 3)}
+    assert {r.doc_id for r in jaccard.keep_first(documents(spark, rows)).collect()} == {3, 14, 25, 30, None}

@@ -456,11 +456,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     that could only connect what is connected are not sought; components are the same.
     """
     members, links = joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), whole)
-    found = stored(components(links).withColumnRenamed("node", "__n"), "components")
+    # Classes that share an id are connected by it; a text without words goes with the others of its id.
+    per_id = members.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("node").alias("k"), F.count(F.lit(1)).alias("rows")
+    )
+    shared = sized(stored(per_id.filter("lo < hi or k > 0 and k < rows").select("__id", "lo"), "shared"))
+    by_id = members.join(shared, F.col("doc_id") == F.col("__id")).filter("node != lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+    found = stored(components(links.unionByName(by_id)).withColumnRenamed("node", "__n"), "components")
     reps = members.filter("node is not null").select("node", "rep").distinct()
     smallest = found.join(reps, F.col("__n") == F.col("node")).groupBy(F.col("component").alias("__c")).agg(F.min("rep").alias("smallest"))
     named = found.join(smallest, F.col("component") == F.col("__c")).select("__n", "smallest")
-    out = members.join(named, F.col("node") == F.col("__n"), "left")
+    out = members.join(shared, F.col("doc_id") == F.col("__id"), "left").withColumn("node", F.coalesce("node", "lo"))
+    out = out.join(named, F.col("node") == F.col("__n"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("smallest", "rep", "doc_id").alias("component_id"))
 
 
