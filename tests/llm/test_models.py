@@ -158,6 +158,16 @@ def test_blocks_of_broken_markup():
     assert len(extraction.blocks("<div>" * 3000 + "deep")) == 1 and len(extraction.blocks("<p>" + "word " * 200_000)) == 1
 
 
+def test_blocks_keep_text_of_formulas_and_of_what_never_ends():
+    assert found("<p>Let <math><mi>x</mi></math> be</p>") == [("p", "Let x be")]
+    assert found("<p>a <object data=x>other</object> <canvas>text</canvas> b</p>") == [("p", "a other text b")]
+    assert found("<p>a<svg><text>s</text></svg>b<noscript>n</noscript>c<template><p>t</template>d") == [("p", "abcd")]
+    for name in ("svg", "math", "object", "canvas", "noscript", "template"):
+        assert found(f"<p>a</p><{name}><p>b</p>") == [("p", "a"), ("p", "b")]
+    for name in ("script", "style", "textarea", "title", "iframe"):
+        assert found(f"<p>a</p><{name}><p>b</p>") == [("p", "a")]
+
+
 def test_training_gradient_is_the_slope(labeller):
     model = extraction.Labeller(seed=3)
     for k, w in model.weights.items():

@@ -33,7 +33,9 @@ BLOCKS = frozenset(
     " tr ul".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template svg iframe object canvas textarea title math".split())
+#: Elements whose content is no markup, to the end of the page where they do not end; others that are left out only where they end.
+RAW_TEXT = frozenset("script style textarea title iframe".split())
+HIDDEN_TEXT = RAW_TEXT | frozenset("noscript template svg".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 PARAGRAPH, PARAGRAPH_SCOPE = frozenset({"p"}), frozenset({"button", "td", "th", "table"})
@@ -60,7 +62,8 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order: text between block elements, references decoded, white space as one space.
 
     Unclosed elements are closed as HTML closes them, end tags without a start are skipped, a tag or a comment
-    that the end of the page cuts off is no text. Scripts, styles and other hidden text are left out.
+    that the end of the page cuts off is no text. Scripts, styles and other hidden text are left out; what stands in
+    math, object or canvas is text, as is what follows a drawing, noscript or template without an end.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
@@ -111,10 +114,10 @@ def blocks(page: str | None) -> list[Block]:
         if not closing and name in HIDDEN_TEXT:
             if not (attributes or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
-                if end is None:
-                    at = len(page)
+                if end is not None:
+                    at = page.find(">", end.end() - 1) + 1 or len(page)
+                elif name in RAW_TEXT:
                     break
-                at = page.find(">", end.end() - 1) + 1 or len(page)
             continue
         if name in EMPTY and name not in BLOCKS:
             parts.append(" ")
