@@ -56,6 +56,25 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(value).all() and value[0] < -100
 
 
+@pytest.mark.parametrize("n", [*range(34, 46), 300])
+def test_runs_outside_the_vocabulary_do_not_underflow(n):
+    counts = {"x": {"ab": 5, "\u1200" * n: 2, "abc" * 20: 1}, "y": {"bc": 5}}
+    model = language.fit(counts, ["\u2581", "a", "b", "c", "ab", "bc", "abc"])
+    assert np.isfinite(model.probability).all() and (model.probability > 0).all()
+    ab, bc = (model.pieces[p] for p in ("abc", "bc"))
+    assert model.probability[ab, 0] > model.probability[bc, 0]
+    value = model.log_likelihood(["\u1200" * n, "ab"])
+    assert np.allclose(value[0], n * math.log(language.UNKNOWN) + np.log(model.probability[0]))
+    assert np.allclose(value[0], model.long_word("\u2581" + "\u1200" * n))
+
+
+def test_training_takes_runs_of_any_length():
+    pieces = ["\u2581", "a", "b", "ab"]
+    counts = {"x": {"ab" * 60: 1}}
+    uses = language.fit(counts, pieces, rounds=1).probability[:-1, 0]
+    assert uses[pieces.index("ab")] > 10 * uses[pieces.index("\u2581")]
+
+
 def test_fitting_raises_the_likelihood():
     counts = {"x": {"ab": 5, "abc": 9, "bc": 1}}
     pieces = ["▁", "a", "b", "c", "ab", "bc", "▁a", "abc", "▁ab"]

@@ -26,7 +26,7 @@ START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece that is looked up; what a character outside the vocabulary costs in every language.
 LONGEST, UNKNOWN = 16, 1e-9
-#: Words up to this length go through the lattice side by side without rescaling.
+#: Words up to this length go through the lattice side by side; longer ones one by one.
 PLAIN = 40
 REMEMBERED = 500_000
 
@@ -95,12 +95,16 @@ class PieceModel:
         return out
 
     def forward(self, lattice: Mapping[tuple[int, int], np.ndarray], n: int, probability: np.ndarray) -> list[np.ndarray]:
-        size = len(next(iter(lattice.values())))
-        alpha = [np.zeros((size, probability.shape[1])) for _ in range(n + 1)]
-        alpha[0] += 1.0
-        for (i, j), rows in lattice.items():
-            alpha[j] += alpha[i] * self.chances(rows, probability)
-        return alpha
+        """Per character, the factor by which it changes the sum over all segmentations up to it; 1 before the first."""
+        factors = [np.ones((len(next(iter(lattice.values()))), probability.shape[1]))]
+        for j in range(1, n + 1):
+            total, since = np.zeros_like(factors[0]), 1.0
+            for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
+                if (i, j) in lattice:
+                    total += self.chances(lattice[i, j], probability) / since
+                since = since * factors[i]
+            factors.append(total)
+        return factors
 
     @staticmethod
     def chances(rows: np.ndarray, probability: np.ndarray) -> np.ndarray:
@@ -117,7 +121,8 @@ class PieceModel:
         for n, where in by_length.items():
             marked = [START + words[k] for k in where]
             if n <= PLAIN:
-                out[where] = np.log(self.forward(self.lattice(marked), n, self.probability)[n])
+                factors = self.forward(self.lattice(marked), n, self.probability)
+                out[where] = sum(np.log(np.prod(factors[k : k + LONGEST], axis=0)) for k in range(0, n + 1, LONGEST))
             else:
                 for k, w in zip(where, marked):
                     out[k] = self.long_word(w)
@@ -147,16 +152,49 @@ class PieceModel:
             kept.update({n: (self.lattice([START + w for w in ws]), np.array([counted[w] for w in ws], float)) for n, ws in by_length.items()})
         column = probability[:, None]
         for n, (lattice, weight) in kept.items():
-            alpha = self.forward(lattice, n, column)
-            beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
-            beta[n] += 1.0
-            for (i, j), rows in sorted(lattice.items(), key=lambda x: -x[0][1]):
-                beta[i] += beta[j] * self.chances(rows, column)
-            for (i, j), rows in lattice.items():
-                share = (alpha[i] * self.chances(rows, column) * beta[j] / alpha[n])[:, 0] * weight
-                np.add.at(uses, rows[rows >= 0], share[rows >= 0])
+            factors = self.forward(lattice, n, column)
+            # The probability that a segmentation cuts at each character.
+            cut = [np.zeros_like(factors[0]) for _ in range(n + 1)]
+            cut[n] += 1.0
+            for j in range(n, 0, -1):
+                since = 1.0
+                for i in range(j - 1, max(0, j - LONGEST) - 1, -1):
+                    since = since * factors[i + 1]
+                    if (i, j) in lattice:
+                        rows = lattice[i, j]
+                        share = self.chances(rows, column) * cut[j] / since
+                        cut[i] += share
+                        np.add.at(uses, rows[rows >= 0], (share[:, 0] * weight)[rows >= 0])
+        chances = probability.tolist()
+        for w, times in counted.items():
+            if len(w) + 1 > PLAIN:
+                self.add_long_word(START + w, times, chances, uses)
         return uses
 
+    def add_long_word(self, word: str, times: int, chances: list[float], uses: np.ndarray) -> None:
+        """Add the expected uses of pieces in one word of any length."""
+        n, factors, cut = len(word), [1.0], [0.0] * len(word) + [1.0]
+
+        def ending(j: int) -> Iterator[tuple[int, int]]:
+            for back in range(1, min(j, LONGEST) + 1):
+                yield j - back, self.pieces.get(word[j - back : j], len(self.pieces) if back == 1 else -1)
+
+        for j in range(1, n + 1):
+            total, since = 0.0, 1.0
+            for i, row in ending(j):
+                if row >= 0:
+                    total += chances[row] / since
+                since *= factors[i]
+            factors.append(total)
+        for j in range(n, 0, -1):
+            since = 1.0
+            for i, row in ending(j):
+                since *= factors[i + 1]
+                if row >= 0:
+                    share = chances[row] * cut[j] / since
+                    cut[i] += share
+                    uses[row] += times * share
+
 
 def fit(counts: Mapping[str, Mapping[str, int]], pieces: Sequence[str], rounds: int = 4, prior: float = 0.05) -> PieceModel:
     """Piece probabilities of each language from its word counts. ``prior`` is added to every piece's uses."""
