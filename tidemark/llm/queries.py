@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import WORD, read
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -226,3 +227,73 @@ def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.extraction import extract
 
     return extract(read(spark, sf_dir, "pages"))
+
+
+#: The same as ``looped`` below, and the crc by the table of remainders.
+LOOPED = rf"""
+    SELECT doc_id, CASE WHEN h % 10 = 0 AND len(words) > 0
+        THEN list_transform(range(0, len(words)), lambda i: words[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT) + 1]) ELSE words END AS words
+    FROM (
+      SELECT *, 1 + (len(words) - a) // (3 + (h // 10) % 8) AS p FROM (
+        SELECT doc_id, h, words, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) ELSE 0 END AS a FROM (
+          SELECT doc_id, {WORDS} AS words, {crc_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents, remainders
+        )
+      )
+    )"""
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """doc_id and the words that ``op13`` asks for, one space apart: in a tenth of the documents a passage repeats to the end."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    rows = docs.select("doc_id", words.alias("words"), h.alias("h")).withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).otherwise(0).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.element_at("words", F.col("a") + (i - F.col("a")) % F.col("p") + 1))
+    loop = F.concat(F.slice("words", F.lit(1), F.col("a")), tail)
+    return rows.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), loop).otherwise(F.col("words")), " ").alias("text"))
+
+
+@register(
+    "op13_frequency_splitting",
+    rf"""
+    WITH remainders AS ({CRC_TABLE}), d AS ({LOOPED}), w AS (
+      SELECT doc_id, len(words) AS n, i, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] AS three
+      FROM (SELECT doc_id, words, unnest(range(0, len(words) - 2)) AS i FROM d WHERE len(words) >= 6)
+    ), e AS (
+      SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.three = y.three AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+    ), s AS (
+      SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length
+      FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island
+    ), r AS (
+      SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+    ), t AS (
+      SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start, length, period), [-length, start, period]) AS top,
+        string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs,
+        list_distinct(flatten(list(range(start + period, start + length)))) AS gone
+      FROM r GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period,
+      1000 * top.length // top.period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+      sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept, '') END) AS collapsed_sha256
+    FROM d LEFT JOIN t USING (doc_id) LEFT JOIN (
+      SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+      FROM (SELECT d.doc_id, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM d JOIN t ON d.doc_id = t.doc_id) x
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS j FROM t) g WHERE g.doc_id = x.doc_id AND g.j = x.i) GROUP BY x.doc_id
+    ) USING (doc_id)
+    """,
+)
+def op13_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periods import periodic_runs
+
+    found = periodic_runs(looped(read(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n")))
+    # The greatest length first, of equals the smallest start, then period.
+    order = lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))
+    top = F.array_min(F.transform("runs", order))
+    rows = found.select("doc.doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.array_join(lines, "").alias("lines"), "collapsed")
+    length, period = -F.col("top.less"), F.col("top.period")
+    return rows.select(
+        "doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
