@@ -297,3 +297,32 @@ def op13_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"),
         F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@register(
+    "op11_superminhash",
+    rf"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+      FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) BETWEEN 1 AND 2 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(list_zip(words, words[2:], words[3:], true), lambda z: concat_ws(' ', z[1], z[2], z[3])) END) AS shingle
+      FROM w
+    ), n AS (
+      SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+    ), p AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), l AS (
+      SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)
+    ), r AS (
+      SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reach = l.x
+    )
+    SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reach) AS component_id, r.doc_id = min(reach) AS kept
+    FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
+    """,
+)
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.superminhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
