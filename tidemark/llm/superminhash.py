@@ -7,10 +7,12 @@
   the variance of independent minhashes.
 * Banding: sets that agree on all slots of a band meet in a bucket. With 24 bands of 4 slots a link at 0.85 is missed
   with probability (1 - 0.85^4)^24 = 2e-8, a closer one less.
-* Verification in two rounds, on whole sets, each behind parity bitmaps that can only exclude pairs that cannot link.
+* Verification in three rounds, on whole sets, each behind parity bitmaps that can only exclude pairs that cannot link.
   First every set meets the first set of each of its buckets. Only buckets that then still hold sets of two or
   more components are walked, and there only sets of different components meet; blocks of long buckets meet in
-  tasks of their own. Pairs inside a component are never made: they could not change it.
+  tasks of their own. The first walk tries the closest sets of each two components, so that what belongs together
+  becomes one component; the second walk tries all that is left. Pairs inside a component are never made: they
+  could not change it.
 * Grouping: union-find in each task contracts its links to a forest, alternating star steps join the forests.
 
 Sets equal in all elements are one class and enter once. Shingles are compared by 64-bit hashes.
@@ -266,10 +268,13 @@ def union_find(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(each, "a long, b long")
 
 
-def grouped(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The classes with ``component``, the smallest node reachable by the links; a class without links is its own."""
-    found = components(union_find(edges)).select(F.col("node").alias("__node"), "component")
-    return classes.join(found, F.col("node") == F.col("__node"), "left").withColumn("component", F.coalesce("component", "node")).drop("__node")
+def regrouped(tagged: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes with the component that the links (a, b) make of theirs, the smallest one reachable."""
+    ends = tagged.select(F.col("node").alias("__node"), "component")
+    edges = found.join(ends.withColumnRenamed("component", "x"), F.col("a") == F.col("__node")).drop("__node")
+    edges = edges.join(ends.withColumnRenamed("component", "y"), F.col("b") == F.col("__node")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    over = components(union_find(edges)).select(F.col("node").alias("__c"), F.col("component").alias("above"))
+    return tagged.join(over, F.col("component") == F.col("__c"), "left").withColumn("component", F.coalesce("above", "component")).drop("__c", "above")
 
 
 def first_of_bucket(entries: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -278,10 +283,10 @@ def first_of_bucket(entries: DataFrame, buckets: DataFrame) -> DataFrame:
     return met.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
 
 
-def between_components(entries: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def between_components(entries: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that sizes and parities do not exclude.
 
-    A bucket is cut into blocks; every two blocks, and each block alone, meet in a group of their own.
+    With ``closest`` one pair of each two components that meet in a group: the one most likely to link. A bucket is cut into blocks; every two blocks, and each block alone, meet in a group of their own.
     """
     labels = classes.select(F.col("node").alias("__node"), "component", "n", "parity")
     known = entries.join(buckets.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), "left_semi")
@@ -300,18 +305,22 @@ def between_components(entries: DataFrame, buckets: DataFrame, classes: DataFram
             for key, one, two, own, *entry in zip(*[batch.column(k).to_pylist() for k in range(8)]):
                 if (key, one, two) != at:
                     if held:
-                        yield as_pairs(pairs_of_blocks(list(held.values()), percent))
+                        yield as_pairs(pairs_of_blocks(list(held.values()), percent, closest))
                     at, held = (key, one, two), {k: [] for k in (one, two)}
                 held[own].append(entry)
         if held:
-            yield as_pairs(pairs_of_blocks(list(held.values()), percent))
+            yield as_pairs(pairs_of_blocks(list(held.values()), percent, closest))
 
     return rows.mapInArrow(walk, "a long, b long")
 
 
-def pairs_of_blocks(blocks: list[list[tuple[int, int, int, bytes]]], percent: int) -> list[tuple[int, int]]:
-    """(a, b) of the entries (node, component, n, parity) of one block, or of two with each other, that may link."""
+def pairs_of_blocks(blocks: list[list[tuple[int, int, int, bytes]]], percent: int, closest: bool = False) -> list[tuple[int, int]]:
+    """(a, b) of the entries (node, component, n, parity) of one block, or of two with each other, that may link.
+
+    With ``closest`` only the pair of each two components that differs least, as a share of what it may.
+    """
     found = []
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     (node, component, n, octets, level), (node_, component_, n_, octets_, level_) = _side(blocks[0]), _side(blocks[-1])
     for k in range(len(node)):
         low = k + 1 if len(blocks) == 1 else 0
@@ -322,9 +331,21 @@ def pairs_of_blocks(blocks: list[list[tuple[int, int, int, bytes]]], percent: in
             least = int(min(width, octets[k]))
             total = n_[same] + n[k]
             differ = np.bitwise_count(level_(least)[same] ^ level(least)[k]).sum(axis=1, dtype="int64")
-            same = same[differ <= total - 2 * least_shared(total, percent)]
-            found += [(max(int(node[k]), x), min(int(node[k]), x)) for x in node_[same].tolist()]
-    return found
+            allowed = total - 2 * least_shared(total, percent)
+            fits = differ <= allowed
+            same, share = same[fits], (differ[fits] + 1) / (allowed[fits] + 1)
+            if closest:
+                order = np.lexsort((share, component_[same]))
+                firsts = np.unique(component_[same][order], return_index=True)[1]
+                for x in order[firsts].tolist():
+                    pair = (float(share[x]), int(node[k]), int(node_[same[x]]))
+                    ends = (int(component[k]), int(component_[same[x]]))
+                    key = (min(ends), max(ends))
+                    best[key] = min(best.get(key, pair), pair)
+            else:
+                found += [(int(node[k]), x) for x in node_[same].tolist()]
+    found += [(x, y) for _, x, y in best.values()]
+    return [(max(pair), min(pair)) for pair in found]
 
 
 def _side(block: list[tuple[int, int, int, bytes]]):
@@ -373,17 +394,15 @@ def near_duplicates(
     buckets = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     buckets = stored(buckets.select("key", "first"), "buckets")
 
-    near = stored(plausible(classes, first_of_bucket(entries, buckets), percent), "near")
-    found = stored(verified(near, whole_sets(docs, classes, near, width), percent), "links")
-    tagged = stored(grouped(classes.drop("bands"), found), "grouped")
-    rest = stored(plausible(classes, between_components(entries, buckets, tagged, percent), percent), "rest")
-    more = stored(verified(rest, whole_sets(docs, classes, rest, width), percent), "more")
-    # Components of components: the second links between the first components.
-    ends = tagged.select(F.col("node").alias("__node"), "component")
-    joined = more.join(ends.withColumnRenamed("component", "x"), F.col("a") == F.col("__node")).drop("__node")
-    joined = joined.join(ends.withColumnRenamed("component", "y"), F.col("b") == F.col("__node")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    over = components(union_find(joined)).select(F.col("node").alias("__c"), F.col("component").alias("above"))
-    final = tagged.join(over, F.col("component") == F.col("__c"), "left").select("fingerprint", "n", "rep", F.coalesce("above", "component").alias("component"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = stored(plausible(classes, pairs, percent), "near")
+        return stored(verified(near, whole_sets(docs, classes, near, width), percent), "links")
+
+    tagged = classes.drop("bands").withColumn("component", F.col("node"))
+    tagged = stored(regrouped(tagged, linked(first_of_bucket(entries, buckets))), "grouped")
+    for closest in (True, False):
+        tagged = stored(regrouped(tagged, linked(between_components(entries, buckets, tagged, percent, closest))), "grouped")
+    final = tagged.select("fingerprint", "n", "rep", "component")
     smallest = final.groupBy(F.col("component").alias("__c")).agg(F.min("rep").alias("component_id"))
     named = final.join(smallest, F.col("component") == F.col("__c")).select(F.col("fingerprint").alias("__f"), F.col("n").alias("__n"), "component_id")
     out = rows.select("doc_id", "n", "fingerprint").join(named, (F.col("fingerprint") == F.col("__f")) & (F.col("n") == F.col("__n")), "left")
