@@ -326,3 +326,32 @@ def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.superminhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@register(
+    "op12_hilbert_zone_maps",
+    """
+    WITH e AS (
+      SELECT vec_id, CAST(label AS BIGINT) AS own, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (own + 1) % 10 ELSE own END AS label, x FROM e
+    ), s AS (
+      SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS id, b.label AS label,
+        CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+    ), p AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+    )
+    SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY row_number() OVER w <= 3
+    """,
+)
+def op12_hilbert_zone_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.negatives import hard_negatives
+
+    return hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
