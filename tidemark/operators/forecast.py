@@ -8,14 +8,16 @@ copied per origin.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import quarter_end_of_index, quarter_index
+from tidemark.operators.models import FITTED, fit_rolling
 
 BASELINES = ("Naive", "SeasonalNaive", "Drift", "ARDrift")
 
@@ -222,10 +224,115 @@ def cv_forecasts(
     )
 
 
-def origin_table(spark, reported: Sequence[str], tuning: Sequence[str]) -> DataFrame:
-    """Origins with a role; the two sets must not meet."""
+def _ordered(panel: DataFrame, series: str, order: str) -> DataFrame:
+    """One row per series: its values, their places and dates, in order. Missing values are left out."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("ds").alias("d"), F.col("y").cast("double").alias("v"))))
+    packed = panel.filter(F.col("y").isNotNull()).groupBy(series).agg(rows.alias("__s"))
+    return packed.select(series, F.col("__s.v").alias("values"), F.col("__s.o").alias("places"), F.col("__s.d").alias("dates"))
+
+
+def origin_arrays(panel: DataFrame, series: str, origins: Sequence[str], min_history: int = 16, horizon: int = 4) -> DataFrame:
+    """One row per series with ``values``, ``places``, ``dates``, and ``ends``: how many values each usable origin knows.
+
+    An origin is usable where the series reports at it and has enough history. The series is not copied per origin.
+    """
+    at = F.array(*[quarter_index(F.lit(o).cast("date")) for o in sorted(origins)])
+    ends = F.filter(F.transform(at, lambda q: F.array_position("places", q).cast("int")), lambda e: e >= min_history)
+    rows = _ordered(panel, series, "q").withColumn("ends", ends).withColumn("horizon", F.lit(horizon))
+    return rows.filter(F.size("ends") > 0)
+
+
+def fitted_at_origins(arrays: DataFrame, series: str, models: Sequence[str] = FITTED, fitters: Mapping[str, Callable] | None = None) -> DataFrame:
+    """Long forecasts ``(origin, h, q, ds, model, pred, lower, upper, actual, scale, seconds, error)`` of fitted models.
+
+    ``actual`` is NULL where the series does not report. A part that failed is one row with step 0 and ``error``.
+    """
+    made = [fit_rolling(arrays, [series, "values", "places", "dates"], m, (fitters or {}).get(m)) for m in models]
+    rows = reduce(DataFrame.unionByName, made)
+    q = F.element_at("places", F.col("end")) + F.col("h")
+    where = F.array_position("places", q)
+    return rows.select(
+        series, F.element_at("dates", F.col("end")).alias("origin"), "h", q.alias("q"), quarter_end_of_index(q).alias("ds"), "model", "pred", "lower", "upper",
+        F.when(where > 0, F.get("values", (where - 1).cast("int"))).alias("actual"), "scale", "seconds", "error",
+    )
+
+
+def fitted_errors(
+    panel: DataFrame, series: str, origins: Sequence[str], min_history: int = 16, horizon: int = 4, models: Sequence[str] = FITTED,
+    fitters: Mapping[str, Callable] | None = None,
+) -> DataFrame:
+    """The error table of ``backtest_errors`` for fitted models; failed parts are not in it."""
+    rows = fitted_at_origins(origin_arrays(panel, series, origins, min_history, horizon), series, models, fitters)
+    return rows.filter("h > 0 and actual is not null").select(
+        series, "origin", "ds", "h", "model", "actual", "pred", F.abs(F.col("actual") - F.col("pred")).alias("ae"), "scale"
+    )
+
+
+def cv_arrays(panel: DataFrame, series: str, order: str = "q", folds: int = 5, min_train: int = 16) -> DataFrame:
+    """One row per series with the ends of the training parts of ``cv_forecasts``, and the size of a fold as ``horizon``."""
+    n, size = F.size("values"), F.floor(F.size("values") / (folds + 1)).cast("int")
+    rows = _ordered(panel, series, order).withColumn("horizon", size).filter("horizon > 0")
+    ends = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda k: (n - F.col("horizon") * (F.lit(folds) - k)).cast("int"))
+    return rows.withColumn("first_end", F.element_at(ends, 1)).withColumn("ends", F.filter(ends, lambda e: e >= min_train)).filter(F.size("ends") > 0)
+
+
+def cv_fitted(
+    panel: DataFrame, series: str, order: str = "q", folds: int = 5, min_train: int = 16, models: Sequence[str] = FITTED,
+    fitters: Mapping[str, Callable] | None = None,
+) -> DataFrame:
+    """``cv_forecasts`` for any registered or given fitter, with ``seconds`` and ``error``; a fold that failed is one row with step 0."""
+    arrays = cv_arrays(panel, series, order, folds, min_train)
+    made = [fit_rolling(arrays, [series, "values", "dates", "first_end", "horizon"], m, (fitters or {}).get(m)) for m in models]
+    rows, at = reduce(DataFrame.unionByName, made), (F.col("end") + F.col("h")).cast("int")
+    return rows.select(
+        series, ((F.col("end") - F.col("first_end")) / F.col("horizon") + 1).cast("int").alias("fold"), F.col("h").alias("step"),
+        F.when(F.col("h") > 0, F.get("dates", at - 1)).alias("ds"), "model", F.when(F.col("h") > 0, F.get("values", at - 1)).alias("actual"),
+        "pred", F.col("end").alias("n_train"), "seconds", "error",
+    )
+
+
+def tune(
+    panel: DataFrame, series: str, tuning: Sequence[str], reported: Sequence[str], settings: Sequence[str], min_history: int = 12,
+    horizon: int = 4, fitters: Mapping[str, Callable] | None = None,
+) -> DataFrame:
+    """Settings (registered or given fitters) scored on the tuning origins alone: (model, mase_mean, series_origins, tuned_to, chosen).
+
+    The mean is over all series and tuning origins; the smallest is chosen, the earlier name of equals. Origins that
+    are to be reported must not be among the tuning ones.
+    """
+    require_apart(reported, tuning)
+    errors = fitted_errors(panel, series, tuning, min_history, horizon, settings, fitters)
+    per = errors.groupBy(series, "origin", "model").agg(F.avg("ae").alias("mae"), F.max("scale").alias("scale")).filter("scale > 0")
+    board = per.groupBy("model").agg(F.avg(F.col("mae") / F.col("scale")).alias("mase_mean"), F.count("*").alias("series_origins"))
+    best = W.orderBy("mase_mean", "model")  # one row per setting
+    return board.withColumn("tuned_to", F.lit(max(tuning)).cast("date")).withColumn("chosen", F.row_number().over(best) == 1)
+
+
+def frozen_errors(
+    panel: DataFrame, series: str, settings: DataFrame, origins: Sequence[str], min_history: int = 16, horizon: int = 4,
+    fitters: Mapping[str, Callable] | None = None, name: str = "Tuned",
+) -> DataFrame:
+    """Errors at the reported origins of the setting that ``tune`` chose, as model ``name``.
+
+    Fails if an origin is not later than all that the setting was tuned on.
+    """
+    chosen = settings.filter("chosen").select("model", "tuned_to").collect()  # one row
+    if len(chosen) != 1:
+        raise ValueError(f"{len(chosen)} settings are chosen instead of one")
+    early = sorted(o for o in origins if date.fromisoformat(o) <= chosen[0].tuned_to)
+    if early:
+        raise ValueError(f"origins {early} are not after the last one used for tuning, {chosen[0].tuned_to}")
+    return fitted_errors(panel, series, origins, min_history, horizon, [chosen[0].model], fitters).withColumn("model", F.lit(name))
+
+
+def require_apart(reported: Sequence[str], tuning: Sequence[str]) -> None:
     if set(reported) & set(tuning):
         raise ValueError("an origin used for tuning must not be reported")
+
+
+def origin_table(spark, reported: Sequence[str], tuning: Sequence[str]) -> DataFrame:
+    """Origins with a role; the two sets must not meet."""
+    require_apart(reported, tuning)
     rows = [(o, "report") for o in reported] + [(o, "tune") for o in tuning]
     return spark.createDataFrame(rows, "origin string, role string").select(
         F.col("origin").cast("date").alias("origin"), "role"

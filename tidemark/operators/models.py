@@ -1,11 +1,12 @@
 """Fitted forecasters: smoothing families over arrays of series, and one boosted model over all series.
 
 The smoothing fitters see a batch of equally long series as one matrix and step through time once for
-all of them and all grid points.
+all of them, all grid points and all ends of a training part.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,16 +16,23 @@ from pyspark.sql import functions as F
 
 SEASON = 4
 
+#: For each end: forecasts (series x steps) and training RMSE per series.
+Made = Sequence[tuple[np.ndarray, np.ndarray]]
+RollingFitter = Callable[..., Made]
+
 
 def _grid(*axes: Sequence[float]) -> list[np.ndarray]:
     return [g.ravel() for g in np.meshgrid(*axes, indexing="ij")]
 
 
-def _smooth(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray | None, gamma: np.ndarray | None):
-    """Run additive smoothing for n series (rows) and p grid points (columns); returns the states and the
-    squared error after the first season, which every family can predict."""
-    n, t_max = y.shape
-    p = len(alpha)
+def _smooth(y: np.ndarray, ends: Sequence[int], alpha: np.ndarray, beta: np.ndarray | None, gamma: np.ndarray | None):
+    """Run additive smoothing once for n series (rows) and p grid points (columns).
+
+    Yields the states after the first ``end`` values, for each of the ascending ends, and the squared error after
+    the first season, which every family can predict. A state depends on earlier values alone, so it is what a run
+    over a copy of the first ``end`` values would leave.
+    """
+    n, p = len(y), len(alpha)
     head = y[:, :SEASON].mean(axis=1, keepdims=True)
     season = np.zeros((n, p, SEASON))
     if gamma is not None:
@@ -36,8 +44,8 @@ def _smooth(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray | None, gamma: np
         level = np.repeat(y[:, :1], p, axis=1)
         trend = np.repeat(y[:, 1:2] - y[:, :1], p, axis=1) if beta is not None else np.zeros((n, p))
         start = 1
-    sse = np.zeros((n, p))
-    for t in range(start, t_max):
+    sse, wanted = np.zeros((n, p)), set(ends)
+    for t in range(start, max(ends)):
         s = season[:, :, t % SEASON]
         obs = y[:, t : t + 1]
         if t >= SEASON:
@@ -49,18 +57,18 @@ def _smooth(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray | None, gamma: np
         if gamma is not None:
             season[:, :, t % SEASON] = gamma * (obs - new) + (1 - gamma) * s
         level = new
-    return level, trend, season, sse
+        if t + 1 in wanted:
+            yield level, trend, season, sse
 
 
-def _fit(y: np.ndarray, horizon: int, alpha, beta=None, gamma=None):
-    """Best grid point per series: forecasts (n, horizon), squared error, chosen alpha."""
-    level, trend, season, sse = _smooth(y, alpha, beta, gamma)
-    best = sse.argmin(axis=1)
-    rows = np.arange(len(y))
-    lv, tr, se = level[rows, best], trend[rows, best], season[rows, best]
-    steps = np.arange(1, horizon + 1)
-    seasonal = se[:, (y.shape[1] + steps - 1) % SEASON]
-    return lv[:, None] + tr[:, None] * steps + seasonal, sse[rows, best], alpha[best]
+def _fit(y: np.ndarray, ends: Sequence[int], horizon: int, alpha, beta=None, gamma=None):
+    """Best grid point per series at each end: forecasts (n, horizon), squared error, chosen alpha."""
+    rows, steps = np.arange(len(y)), np.arange(1, horizon + 1)
+    for end, (level, trend, season, sse) in zip(ends, _smooth(y, ends, alpha, beta, gamma)):
+        best = sse.argmin(axis=1)
+        lv, tr, se = level[rows, best], trend[rows, best], season[rows, best]
+        seasonal = se[:, (end + steps - 1) % SEASON]
+        yield lv[:, None] + tr[:, None] * steps + seasonal, sse[rows, best], alpha[best]
 
 
 _A = np.linspace(0.05, 0.95, 19)
@@ -69,40 +77,138 @@ _HOLT = _grid(np.linspace(0.1, 0.9, 9), (0.05, 0.1, 0.2, 0.4))
 _HW = _grid((0.1, 0.3, 0.5, 0.7, 0.9), (0.02, 0.1, 0.3), (0.05, 0.2, 0.5))
 
 
+def _of_grid(grid) -> RollingFitter:
+    def fit(y: np.ndarray, ends: Sequence[int], horizon: int) -> Made:
+        return [(fc, np.sqrt(sse / (end - SEASON))) for end, (fc, sse, _) in zip(ends, _fit(y, ends, horizon, *grid))]
+
+    return fit
+
+
+def theta_at(y: np.ndarray, ends: Sequence[int], horizon: int) -> Made:
+    """Simple smoothing plus half the linear trend (two theta lines, 0 and 2)."""
+    out, h = [], np.arange(1, horizon + 1)
+    for end, (fc, sse, alpha) in zip(ends, _fit(y, ends, horizon, *_SES)):
+        centred = np.arange(end) - (end - 1) / 2
+        half = 0.5 * (y[:, :end] @ centred) / (centred @ centred)
+        carried = (1 - (1 - alpha) ** end) / alpha
+        out.append((fc + half[:, None] * (h - 1 + carried[:, None]), np.sqrt(sse / (end - SEASON))))
+    return out
+
+
+def smoothing_choice_at(y: np.ndarray, ends: Sequence[int], horizon: int) -> Made:
+    """Simple, trended or seasonal smoothing, whichever has the lowest small-sample criterion at the end."""
+    out, rows = [], np.arange(len(y))
+    families = ((_SES, 2), (_HOLT, 4), (_HW, 8))
+    for end, *fits in zip(ends, *[_fit(y, ends, horizon, *grid) for grid, _ in families]):
+        n, scores = end - SEASON, []
+        for (_, sse, _), (_, k) in zip(fits, families):
+            room = max(n - k - 1, 1)
+            scores.append(n * np.log(np.maximum(sse, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / room)
+        best = np.stack(scores).argmin(axis=0)
+        out.append((np.stack([f[0] for f in fits])[best, rows], np.sqrt(np.stack([f[1] for f in fits])[best, rows] / n)))
+    return out
+
+
+#: Fitters that make the forecasts at all ends in one pass over time.
+ROLLING: dict[str, RollingFitter] = {
+    "HoltWinters": _of_grid(_HW), "Theta": theta_at, "SmoothingChoice": smoothing_choice_at,
+    "SimpleSmoothing": _of_grid(_SES), "TrendSmoothing": _of_grid(_HOLT),
+}
+FITTED = ("HoltWinters", "Theta", "SmoothingChoice")
+
+
 def holt_winters(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    fc, sse, _ = _fit(y, horizon, *_HW)
-    return fc, np.sqrt(sse / (y.shape[1] - SEASON))
+    return ROLLING["HoltWinters"](y, [y.shape[1]], horizon)[0]
 
 
 def theta(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Simple smoothing plus half the linear trend (two theta lines, 0 and 2)."""
-    t = np.arange(y.shape[1])
-    centred = t - t.mean()
-    half = 0.5 * (y @ centred) / (centred @ centred)
-    fc, sse, alpha = _fit(y, horizon, *_SES)
-    h = np.arange(1, horizon + 1)
-    carried = (1 - (1 - alpha) ** y.shape[1]) / alpha
-    return fc + half[:, None] * (h - 1 + carried[:, None]), np.sqrt(sse / (y.shape[1] - SEASON))
+    return theta_at(y, [y.shape[1]], horizon)[0]
 
 
 def smoothing_choice(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Simple, trended or seasonal smoothing, whichever has the lowest small-sample criterion."""
-    n = y.shape[1] - SEASON
-    fits = [(_fit(y, horizon, *_SES), 2), (_fit(y, horizon, *_HOLT), 4), (_fit(y, horizon, *_HW), 8)]
-    scores = []
-    for (_, sse, _), k in fits:
-        room = max(n - k - 1, 1)
-        scores.append(n * np.log(np.maximum(sse, 1e-12) / n) + 2 * k + 2 * k * (k + 1) / room)
-    best = np.stack(scores).argmin(axis=0)
-    rows = np.arange(len(y))
-    fc = np.stack([f[0] for f, _ in fits])[best, rows]
-    return fc, np.sqrt(np.stack([f[1] for f, _ in fits])[best, rows] / n)
+    return smoothing_choice_at(y, [y.shape[1]], horizon)[0]
 
 
 Fitter = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 FITTERS: dict[str, Fitter] = {"HoltWinters": holt_winters, "Theta": theta, "SmoothingChoice": smoothing_choice}
 
 
+def rolled(fit: Callable) -> RollingFitter:
+    """A fitter of whole matrices, ``fit(y, horizon)`` or ``fit(y, horizon, x)``, as one that is called per end.
+
+    It sees the values, and the regressors, before the end only.
+    """
+    def at(y: np.ndarray, ends: Sequence[int], horizon: int, x: np.ndarray | None = None) -> Made:
+        return [fit(y[:, :end], horizon, *([] if x is None else [x[:, :, :end]])) for end in ends]
+
+    return at
+
+
+def fit_rolling(arrays: DataFrame, keys: Sequence[str], model: str, fitter: RollingFitter | None = None, values: str = "values",
+                ends: str = "ends", horizon: str = "horizon", regressors: str | None = None, min_length: int = 2 * SEASON) -> DataFrame:
+    """Forecasts of every series at every end of its training part: one row per (series, end, step).
+
+    ``ends`` is an ascending array of how many values a training part holds, ``horizon`` how many steps to forecast.
+    A registered or given fitter takes (matrix of equally long series, ends, horizon) and, with ``regressors`` (array
+    of arrays, one per regressor, as long as the values), their (series, regressor, time) block; for each end it
+    returns forecasts and the training RMSE. Series of equal length, ends and horizon are fitted as one matrix.
+
+    A part that fails, alone, gives one row with step 0 and ``error``; all others are forecast. ``scale`` is the
+    mean absolute seasonal change of the training part, ``seconds`` the fitting time a part took.
+    """
+    fit = fitter or ROLLING[model]
+    kind = "array<struct<end:int,h:int,pred:double,lower:double,upper:double,scale:double,seconds:double,error:string>>"
+
+    def scale_of(y: np.ndarray, end: int) -> float | None:
+        steps = np.abs(y[SEASON:end] - y[: end - SEASON])
+        return float(steps.mean()) if len(steps) else None
+
+    def failed(end: int, why: str) -> list[dict]:
+        return [{"end": end, "h": 0, "error": why}]
+
+    def forecast(y: np.ndarray, end: int, fc: np.ndarray, rmse: float, seconds: float) -> list[dict]:
+        band, known = 1.96 * float(rmse), {"end": end, "scale": scale_of(y, end), "seconds": seconds, "error": None}
+        return [{"h": h + 1, "pred": float(v), "lower": float(v) - band, "upper": float(v) + band, **known} for h, v in enumerate(fc)]
+
+    def fitted(y: np.ndarray, x: np.ndarray | None, at: list[int], steps: int) -> list[list[dict]]:
+        begin = time.perf_counter()
+        made = list(fit(y, at, steps) if x is None else fit(y, at, steps, x))
+        seconds = (time.perf_counter() - begin) / (len(y) * len(at))
+        return [[r for end, (fc, rmse) in zip(at, made) for r in forecast(one, end, fc[k], rmse[k], seconds)] for k, one in enumerate(y)]
+
+    def apart(y: np.ndarray, x: np.ndarray | None, at: list[int], steps: int) -> list[dict]:
+        rows = []
+        for end in at:
+            try:
+                rows += fitted(y, x, [end], steps)[0]
+            except Exception as exc:  # noqa: BLE001 - reported per part
+                rows += failed(end, str(exc))
+        return rows
+
+    @F.pandas_udf(kind)
+    def run(parts: pd.DataFrame) -> pd.Series:
+        out: list = [None] * len(parts)
+        groups: dict[tuple, list[int]] = {}
+        for i, (v, e, h) in enumerate(zip(parts["v"], parts["e"], parts["h"])):
+            groups.setdefault((len(v), tuple(e), h), []).append(i)
+        for (_, at, steps), spots in groups.items():
+            short = [r for end in at if end < min_length for r in failed(int(end), f"needs {min_length} values, has {end}")]
+            good = sorted({int(end) for end in at if end >= min_length})
+            y = np.stack([np.asarray(parts["v"].iloc[i], dtype=float) for i in spots])
+            x = np.stack([np.stack([np.asarray(r, dtype=float) for r in parts["x"].iloc[i]]) for i in spots]) if regressors else None
+            try:
+                made = fitted(y, x, good, int(steps)) if good else [[] for _ in spots]
+            except Exception:  # noqa: BLE001 - one part must not void the others
+                made = [apart(y[k : k + 1], None if x is None else x[k : k + 1], good, int(steps)) for k in range(len(spots))]
+            for i, rows in zip(spots, made):
+                out[i] = short + rows
+        return pd.Series(out)
+
+    columns = {"v": F.col(values), "e": F.col(ends), "h": F.col(horizon)} | ({"x": F.col(regressors)} if regressors else {})
+    parts = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return arrays.select(*keys, F.lit(model).alias("model"), F.explode(run(parts)).alias("r")).select(*keys, "model", "r.*")
+
+
 def fit_arrays(arrays: DataFrame, keys: Sequence[str], model: str, horizon: int = 4, fitter: Fitter | None = None,
                values: str = "values", min_length: int = 2 * SEASON) -> DataFrame:
     """Forecast every series array with one registered or user-supplied fitter.

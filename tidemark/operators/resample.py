@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import side_by_side
 from tidemark.functions.ranking import global_rank
+from tidemark.session import settle
 
 
 #: Ranks kept one by one on either side of the cut, in standard deviations of where weights can move it.
@@ -124,3 +125,72 @@ def paired_bootstrap(
     )
     point = per.agg(F.avg("d").alias("mean_diff"), F.count("*").alias("entities"))
     return side_by_side(point, interval)
+
+
+def _halves(block: int, blocks: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(low, middle, high, whether the block lies above the middle) of each halving of 0..blocks on the way to one block."""
+    low, high = 0, blocks
+    while high - low > 1:
+        middle = (low + high) // 2
+        above = block >= middle
+        yield low, middle, high, above
+        low, high = (middle, high) if above else (low, middle)
+
+
+def block_draws(sizes: np.ndarray, block: int, reps: int, seed: int) -> np.ndarray:
+    """How many of all entities each replicate draws from one block: its part of one multinomial draw.
+
+    The draws of a range of blocks are split between its halves by a binomial draw that is seeded by the range, so
+    every block finds its own number alone and those of all blocks add up.
+    """
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    n = np.full(reps, upto[-1], dtype="int64")
+    for low, middle, high, above in _halves(block, len(sizes)):
+        whole = upto[high] - upto[low]
+        share = (upto[middle] - upto[low]) / whole if whole else 0.0
+        left = np.random.default_rng([seed, low, high]).binomial(n, share)
+        n = n - left if above else left
+    return n
+
+
+def paired_bootstrap_all(
+    mase: DataFrame, series: str, baseline: str, reps: int = 2000, seed: int = 42, alpha: float = 0.05, rows: int = 1000,
+) -> DataFrame:
+    """Every model against ``baseline``: (model, mean_diff, ci_lo, ci_hi, entities), percentile intervals of the mean difference.
+
+    All pairs see the same replicates: entities are drawn once, as many as there are, with replacement, and each
+    block of about ``rows`` entities returns one vector of sums, and of how many drawn entities have the pair, per
+    replicate and model. A block finds its share of the draws by itself, so blocks do not grow with the entities and
+    only their sizes are sent to tasks (8 bytes per ``rows`` entities). Entities without the baseline take no part.
+    """
+    of = mase.groupBy(series).agg(
+        F.avg(F.when(F.col("model") == baseline, F.col("mase"))).alias("__base"), F.collect_list(F.struct("model", "mase")).alias("__m")
+    ).filter("__base is not null")
+    blocks = max(1, -(-of.count() // rows))
+    block = F.pmod(F.xxhash64(series), F.lit(blocks)).cast("int").alias("block")
+    per = settle(of.select(F.col(series).cast("string").alias("id"), block, "__base", F.explode("__m").alias("m")).groupBy("block", "id", "m.model").agg(
+        (F.avg("m.mase") - F.first("__base")).alias("d")
+    ))
+    sizes = np.zeros(blocks, dtype="int64")
+    for r in per.groupBy("block").agg(F.countDistinct("id").alias("n")).toLocalIterator():
+        sizes[r["block"]] = r["n"]
+    shared = per.sparkSession.sparkContext.broadcast(sizes)
+
+    def weigh(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # Entities in rows, models in columns; a missing model leaves a gap.
+        table = pdf.pivot(index="id", columns="model", values="d").sort_index()
+        d, has = table.fillna(0.0).to_numpy(), table.notna().to_numpy()
+        rng = np.random.default_rng([seed, 1, int(key[0])])
+        sums, counts = [], []
+        for n in block_draws(shared.value, int(key[0]), reps, seed):
+            drawn = np.bincount(rng.integers(0, len(d), n), minlength=len(d))
+            sums.append(drawn @ d)
+            counts.append(drawn @ has)
+        out = [pd.DataFrame({"model": m, "rep": np.arange(reps), "wd": np.array(sums)[:, k], "n": np.array(counts)[:, k]}) for k, m in enumerate(table.columns)]
+        return pd.concat(out)
+
+    parts = per.groupBy("block").applyInPandas(weigh, "model string, rep long, wd double, n long")
+    means = parts.groupBy("model", "rep").agg(F.try_divide(F.sum("wd"), F.sum("n")).alias("m"))
+    intervals = means.groupBy("model").agg(F.percentile("m", alpha / 2).alias("ci_lo"), F.percentile("m", 1 - alpha / 2).alias("ci_hi"))
+    points = per.groupBy(F.col("model").alias("__model")).agg(F.avg("d").alias("mean_diff"), F.count("*").alias("entities"))
+    return intervals.filter(F.col("model") != baseline).join(points, F.col("model") == F.col("__model")).select("model", "mean_diff", "ci_lo", "ci_hi", "entities")

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from tidemark.operators import diagnostics as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import forecast as B
+from tidemark.operators import models as M
 from tidemark.operators import monitor as N
 from tidemark.operators import profile as R
 from tidemark.operators import resample as Q
 from tidemark.operators import significance as T
 from tidemark.plans import inputs as I
 from tidemark.plans.catalog import near, register
-from tidemark.plans.forecasts import KEY, errors, hold, residuals
+from tidemark.plans.forecasts import KEY, all_errors, all_folds, errors, hold, residuals
 from tidemark.plans.inputs import CTES
 
-MODELS = list(B.BASELINES)
+MODELS = [*B.BASELINES, *M.FITTED]
 
 
 def full_sql(src: str, keys: str, order: str) -> str:
@@ -57,6 +58,13 @@ CTES |= {
         row_number() OVER (PARTITION BY unique_id ORDER BY composite_score DESC, model) = 1 AS recommended FROM board0""", ("board0",)),
     "mase": (
         """SELECT unique_id, origin, model, avg(ae) / max(scale) AS mase FROM errs GROUP BY 1, 2, 3 HAVING max(scale) > 0""", ("errs",)),
+    "maseall": (
+        """SELECT unique_id, origin, model, avg(ae) / max(scale) AS mase FROM errsall GROUP BY 1, 2, 3 HAVING max(scale) > 0""", ("errsall",)),
+    "cvmall": (full_sql("cvfcall", "unique_id, fold, model", "step"), ("cvfcall",)),
+    "cvsall": (
+        """SELECT unique_id, model, round(avg(mape), 3) AS cv_mape_mean, round(stddev_samp(mape), 3) AS cv_mape_std,
+        round(avg(rmse_pct), 3) AS cv_rmse_pct_mean, round(avg(r2), 4) AS cv_r2_mean,
+        round(avg(direction_accuracy), 2) AS cv_direction_mean, count(*) AS cv_folds FROM cvmall GROUP BY 1, 2""", ("cvmall",)),
     "cvm": (full_sql("cvfc", "unique_id, fold, model", "step"), ("cvfc",)),
     "cvs": (
         """SELECT unique_id, model, round(avg(mape), 3) AS cv_mape_mean, round(stddev_samp(mape), 3) AS cv_mape_std,
@@ -216,12 +224,24 @@ def holdout_worst_ape(spark, d):
 
 # Rolling-origin tables ------------------------------------------------------------------------------
 
+@register(
+    "baseline_leaderboard",
+    """SELECT m.model, round(avg(m.mase), 4) AS mase_mean, round(median(m.mase), 4) AS mase_median,
+    round(avg(CASE WHEN m.mase < b.mase THEN 1.0 ELSE 0.0 END), 4) AS share_beats_baseline, count(*) AS series_origins
+    FROM mase m JOIN mase b ON m.unique_id = b.unique_id AND m.origin = b.origin AND b.model = 'SeasonalNaive' GROUP BY 1""",
+    ("mase",),
+)
+def baseline_leaderboard(spark, d):
+    """The leaderboard of the closed-form models alone: two shuffles, no Python."""
+    return E.panel_leaderboard(errors(spark, d), "unique_id")
+
+
 @register(
     "series_origin_mase",
-    "SELECT unique_id, CAST(origin AS VARCHAR) AS origin, model, round(mase, 6) AS mase FROM mase", ("mase",),
+    "SELECT unique_id, CAST(origin AS VARCHAR) AS origin, model, round(mase, 6) AS mase FROM maseall", ("maseall",),
 )
 def series_origin_mase(spark, d):
-    m = E.series_origin_mase(errors(spark, d), "unique_id")
+    m = E.series_origin_mase(all_errors(spark, d), "unique_id")
     return m.select("unique_id", "origin", "model", F.round("mase", 6).alias("mase"))
 
 
@@ -229,42 +249,42 @@ def series_origin_mase(spark, d):
     "panel_leaderboard",
     """SELECT m.model, round(avg(m.mase), 4) AS mase_mean, round(median(m.mase), 4) AS mase_median,
     round(avg(CASE WHEN m.mase < b.mase THEN 1.0 ELSE 0.0 END), 4) AS share_beats_baseline, count(*) AS series_origins
-    FROM mase m JOIN mase b ON m.unique_id = b.unique_id AND m.origin = b.origin AND b.model = 'SeasonalNaive' GROUP BY 1""",
-    ("mase",),
+    FROM maseall m JOIN maseall b ON m.unique_id = b.unique_id AND m.origin = b.origin AND b.model = 'SeasonalNaive' GROUP BY 1""",
+    ("maseall",),
 )
 def panel_leaderboard(spark, d):
-    return E.panel_leaderboard(errors(spark, d), "unique_id")
+    return E.panel_leaderboard(all_errors(spark, d), "unique_id")
 
 
 @register(
     "mase_by_origin",
     "SELECT CAST(origin AS VARCHAR) AS origin, "
-    + ", ".join(f"round(avg(CASE WHEN model = '{m}' THEN mase END), 4) AS \"{m}\"" for m in MODELS) + " FROM mase GROUP BY 1",
-    ("mase",),
+    + ", ".join(f"round(avg(CASE WHEN model = '{m}' THEN mase END), 4) AS \"{m}\"" for m in MODELS) + " FROM maseall GROUP BY 1",
+    ("maseall",),
 )
 def mase_by_origin(spark, d):
-    return E.mase_by_origin(errors(spark, d), "unique_id", MODELS)
+    return E.mase_by_origin(all_errors(spark, d), "unique_id", MODELS)
 
 
 @register(
     "aggregate_ape",
     """SELECT model, round(avg(abs((p - a) / a)) * 100, 5) AS ape_pct, count(*) AS n_dates FROM (
-    SELECT model, ds, sum(actual) AS a, sum(pred) AS p FROM errs WHERE h = 1 GROUP BY 1, 2) GROUP BY 1""",
-    ("errs",),
+    SELECT model, ds, sum(actual) AS a, sum(pred) AS p FROM errsall WHERE h = 1 GROUP BY 1, 2) GROUP BY 1""",
+    ("errsall",),
 )
 def aggregate_ape(spark, d):
-    a = E.aggregate_ape(errors(spark, d))
+    a = E.aggregate_ape(all_errors(spark, d))
     return a.select("model", F.round("ape_pct", 5).alias("ape_pct"), "n_dates")
 
 
 @register(
     "stress_window",
     """SELECT model, round(avg(CASE WHEN ds = DATE '2000-03-31' THEN ae / nullif(scale, 0) END), 5) AS stress,
-    round(avg(CASE WHEN ds <> DATE '2000-03-31' THEN ae / nullif(scale, 0) END), 5) AS other FROM errs WHERE h = 1 GROUP BY 1""",
-    ("errs",),
+    round(avg(CASE WHEN ds <> DATE '2000-03-31' THEN ae / nullif(scale, 0) END), 5) AS other FROM errsall WHERE h = 1 GROUP BY 1""",
+    ("errsall",),
 )
 def stress_window(spark, d):
-    s = E.stress_window(errors(spark, d), "2000-03-31")
+    s = E.stress_window(all_errors(spark, d), "2000-03-31")
     return s.select("model", F.round("stress", 5).alias("stress"), F.round("other", 5).alias("other"))
 
 
@@ -287,15 +307,36 @@ def paired_difference(spark, d):
     return p.select(F.round("mean_diff", 6).alias("mean_diff"), "entities")
 
 
+@register("paired_bootstrap_all")
+def paired_bootstrap_all(spark, d):
+    """Every model against the smoothing choice, in one job over shared draws."""
+    m = E.series_origin_mase(all_errors(spark, d), "unique_id")
+    return Q.paired_bootstrap_all(m, "unique_id", "SmoothingChoice")
+
+
+@register(
+    "paired_differences",
+    """SELECT model, round(avg(dif), 6) AS mean_diff, count(*) AS entities FROM (
+    SELECT m.unique_id, m.model, avg(m.mase) - any_value(b.base) AS dif FROM maseall m
+    JOIN (SELECT unique_id, avg(mase) AS base FROM maseall WHERE model = 'SmoothingChoice' GROUP BY 1) b ON b.unique_id = m.unique_id
+    WHERE m.model <> 'SmoothingChoice' GROUP BY 1, 2) GROUP BY 1""",
+    ("maseall",),
+)
+def paired_differences(spark, d):
+    m = E.series_origin_mase(all_errors(spark, d), "unique_id")
+    p = Q.paired_bootstrap_all(m, "unique_id", "SmoothingChoice", reps=20)
+    return p.select("model", F.round("mean_diff", 6).alias("mean_diff"), "entities")
+
+
 def _cv(spark, d):
-    folds = E.full_metrics(B.cv_forecasts(I.dense(spark, d), "unique_id"), ["unique_id", "fold", "model"], "step")
+    folds = E.full_metrics(all_folds(spark, d), ["unique_id", "fold", "model"], "step")
     return E.cv_summary(folds, KEY)
 
 
 _CV = ("cv_mape_mean", "cv_mape_std", "cv_rmse_pct_mean", "cv_r2_mean", "cv_direction_mean", "cv_folds")
 
 
-@register("cv_summary", f"SELECT unique_id, model, {', '.join(_CV)} FROM cvs", ("cvs",))
+@register("cv_summary", f"SELECT unique_id, model, {', '.join(_CV)} FROM cvsall", ("cvsall",))
 def cv_summary(spark, d):
     return _cv(spark, d).select(*KEY, *_CV)
 
@@ -303,8 +344,8 @@ def cv_summary(spark, d):
 @register(
     "cv_health_label",
     """SELECT unique_id, model, CASE WHEN cv_mape_mean IS NULL THEN 'N/A' WHEN cv_mape_mean < 2 THEN 'Excellent' WHEN cv_mape_mean < 5 THEN 'Good'
-    WHEN cv_mape_mean < 10 THEN 'Fair' ELSE 'Poor' END AS health FROM cvs""",
-    ("cvs",),
+    WHEN cv_mape_mean < 10 THEN 'Fair' ELSE 'Poor' END AS health FROM cvsall""",
+    ("cvsall",),
 )
 def cv_health_label(spark, d):
     return _cv(spark, d).select(*KEY, R.cv_health("cv_mape_mean").alias("health"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import with_period_columns
-from tidemark.operators import diagnostics as D
 from tidemark.operators import forecast as B
 from tidemark.operators import models as M
 from tidemark.plans import inputs as I
@@ -29,6 +28,10 @@ _LOWER = f"CASE WHEN model = 'ARDrift' THEN pred * exp(-1.96 * sdd * sqrt(h)) EL
 _UPPER = f"CASE WHEN model = 'ARDrift' THEN pred * exp(1.96 * sdd * sqrt(h)) ELSE pred + {_HALF} END AS upper"
 _MODELS = "(VALUES ('Naive'), ('SeasonalNaive'), ('Drift'), ('ARDrift')) m(model)"
 
+_SMOOTH = "level + trend * h + season[(n + h - 1) % 4 + 1]"
+_THETA = "level + slope / 2 * (h - 1 + (1 - pow(1 - a, n)) / a)"
+_FITTED = "'" + "', '".join(M.FITTED) + "'"
+
 CTES |= {
     "origins": (
         f"SELECT o AS origin, CAST(year(o)*4+quarter(o)-1 AS INTEGER) AS oq FROM (VALUES {_ORIGIN_ROWS}) t(o)", ()),
@@ -198,12 +201,14 @@ def validation_origins(spark, d):
 
 @register(
     "timeseries_cv",
-    """SELECT unique_id, fold, step, CAST(ds AS VARCHAR) AS ds, model, actual, round(pred + 1e-7, 4) AS pred, n_train FROM cvfc""",
-    ("cvfc",),
+    f"""SELECT unique_id, fold, step, CAST(ds AS VARCHAR) AS ds, model, actual, round(pred + 1e-7, CASE WHEN model IN ({_FITTED}) THEN 2 ELSE 4 END) AS pred, n_train
+    FROM cvfcall""",
+    ("cvfcall",),
 )
 def timeseries_cv(spark, d):
-    c = B.cv_forecasts(I.dense(spark, d), "unique_id")
-    return c.select("unique_id", "fold", "step", "ds", "model", "actual", near("pred", 4), "n_train")
+    c = all_folds(spark, d)
+    pred = F.when(F.col("model").isin(*M.FITTED), F.round(F.col("pred") + 1e-7, 2)).otherwise(F.round(F.col("pred") + 1e-7, 4))
+    return c.select("unique_id", "fold", "step", "ds", "model", "actual", pred.alias("pred"), "n_train")
 
 
 @register(
@@ -272,44 +277,93 @@ def sorted_output(spark, d):
 
 # Fitted models ----------------------------------------------------------------------------------
 
-def _training_arrays(spark, d):
-    """Each active series up to each origin, as one array per (series, origin)."""
-    rows = B.fan_out(I.dense(spark, d), "unique_id", ORIGINS).filter(F.col("role") == "train")
-    return D.series_arrays(rows, ["unique_id", "origin"], "q", "y")
-
-
 # The grids of the fitters, and all their recursions as one: simple and trended smoothing start at the
 # first value, seasonal smoothing after the first season; errors count after the first season.
-CTES |= {
-    "tarrays": (
-        """SELECT t.unique_id, t.origin, list(t.y ORDER BY t.q) AS ys, count(*) AS n, regr_slope(t.y, t.q) AS slope FROM trainw t
-        JOIN states s ON t.unique_id = s.unique_id AND t.origin = s.origin GROUP BY 1, 2""", ("trainw", "states")),
-    "grid": (
-        """SELECT 'ses' AS kind, i * 0.05::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS g, 2 AS params FROM (SELECT unnest(range(1, 20)) AS i)
-        UNION ALL SELECT 'holt', i * 0.1::DOUBLE, b, 0, 4 FROM (SELECT unnest(range(1, 10)) AS i), (SELECT unnest([0.05, 0.1, 0.2, 0.4]::DOUBLE[]) AS b)
-        UNION ALL SELECT 'hw', a, b, g, 8 FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.02, 0.1, 0.3]::DOUBLE[]) AS b),
-        (SELECT unnest([0.05, 0.2, 0.5]::DOUBLE[]) AS g)""", ()),
-    "smooth": (
-        """SELECT unique_id, origin, ys, n, slope, kind, a, b, g, params, CASE kind WHEN 'hw' THEN 4 ELSE 1 END AS t,
+CTES["grid"] = (
+    """SELECT 'ses' AS kind, i * 0.05::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS g, 2 AS params FROM (SELECT unnest(range(1, 20)) AS i)
+    UNION ALL SELECT 'holt', i * 0.1::DOUBLE, b, 0, 4 FROM (SELECT unnest(range(1, 10)) AS i), (SELECT unnest([0.05, 0.1, 0.2, 0.4]::DOUBLE[]) AS b)
+    UNION ALL SELECT 'hw', a, b, g, 8 FROM (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.02, 0.1, 0.3]::DOUBLE[]) AS b),
+    (SELECT unnest([0.05, 0.2, 0.5]::DOUBLE[]) AS g)""", ())
+
+
+def _smoothing_ctes(p: str, key: str, arrays: str, needs: tuple[str, ...]) -> None:
+    """The recursions over training parts ``{p}arrays`` (unique_id, ``key``, ys, n, slope, steps), their best grid points and choice,
+    and ``{p}fit`` (unique_id, ``key``, model, h, pred) of all fitted models."""
+    CTES[f"{p}arrays"] = (arrays, needs)
+    CTES[f"{p}smooth"] = (
+        f"""SELECT unique_id, {key}, ys, n, slope, kind, a, b, g, params, CASE kind WHEN 'hw' THEN 4 ELSE 1 END AS t,
         CASE kind WHEN 'hw' THEN head ELSE ys[1] END AS level,
         CASE kind WHEN 'hw' THEN (list_sum(ys[5:8]) / 4 - head) / 4 WHEN 'holt' THEN ys[2] - ys[1] ELSE 0 END AS trend,
         CASE kind WHEN 'hw' THEN list_transform(ys[1:4], lambda v: v - head) ELSE [0, 0, 0, 0]::DOUBLE[] END AS season, 0::DOUBLE AS sse
-        FROM (SELECT *, list_sum(ys[1:4]) / 4 AS head FROM tarrays), grid
-        UNION ALL SELECT unique_id, origin, ys, n, slope, kind, a, b, g, params, t + 1, fresh,
+        FROM (SELECT *, list_sum(ys[1:4]) / 4 AS head FROM {p}arrays), grid
+        UNION ALL SELECT unique_id, {key}, ys, n, slope, kind, a, b, g, params, t + 1, fresh,
         CASE WHEN kind = 'ses' THEN 0 ELSE b * (fresh - level) + (1 - b) * trend END,
         CASE WHEN kind = 'hw' THEN list_transform(season, lambda v, i: CASE WHEN i = t % 4 + 1 THEN g * (obs - fresh) + (1 - g) * v ELSE v END) ELSE season END,
         sse + CASE WHEN t >= 4 THEN pow(obs - level - trend - s, 2) ELSE 0 END FROM (
-          SELECT *, a * (obs - s) + (1 - a) * (level + trend) AS fresh FROM (SELECT *, ys[t + 1] AS obs, season[t % 4 + 1] AS s FROM smooth WHERE t < n))""",
-        ("tarrays", "grid")),
-    "smbest": (
-        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, origin, kind ORDER BY sse, a, b, g) AS r,
+          SELECT *, a * (obs - s) + (1 - a) * (level + trend) AS fresh FROM (SELECT *, ys[t + 1] AS obs, season[t % 4 + 1] AS s FROM {p}smooth WHERE t < n))""",
+        (f"{p}arrays", "grid"))
+    CTES[f"{p}smbest"] = (
+        f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, {key}, kind ORDER BY sse, a, b, g) AS r,
         (n - 4) * ln(greatest(sse, 1e-12) / (n - 4)) + 2 * params + 2.0 * params * (params + 1) / greatest(n - 4 - params - 1, 1) AS aicc
-        FROM smooth WHERE t = n) WHERE r = 1""", ("smooth",)),
-    "smpick": (
-        """SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, origin ORDER BY aicc, params) AS pick FROM smbest) WHERE pick = 1""", ("smbest",)),
+        FROM {p}smooth WHERE t = n) WHERE r = 1""", (f"{p}smooth",))
+    CTES[f"{p}smpick"] = (
+        f"SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY unique_id, {key} ORDER BY aicc, params) AS pick FROM {p}smbest) WHERE pick = 1",
+        (f"{p}smbest",))
+    models = (("HoltWinters", "smbest", "hw", _SMOOTH), ("Theta", "smbest", "ses", _THETA), ("SmoothingChoice", "smpick", None, _SMOOTH),
+              ("SimpleSmoothing", "smbest", "ses", _SMOOTH), ("TrendSmoothing", "smbest", "holt", _SMOOTH))
+    parts = []
+    for model, src, kind, pred in models:
+        rows = f"SELECT s.*, unnest(range(1, x.steps + 1)) AS h FROM {p}{src} s JOIN {p}arrays x ON x.unique_id = s.unique_id AND x.{key} = s.{key}"
+        only = f" WHERE kind = '{kind}'" if kind else ""
+        parts.append(f"SELECT unique_id, {key}, '{model}' AS model, h, n, {pred} AS pred FROM ({rows}){only}")
+    CTES[f"{p}fit"] = (" UNION ALL ".join(parts), (f"{p}smbest", f"{p}smpick", f"{p}arrays"))
+
+
+
+
+_smoothing_ctes(
+    "t", "origin", """SELECT t.unique_id, t.origin, list(t.y ORDER BY t.q) AS ys, count(*) AS n, regr_slope(t.y, t.q) AS slope, 4 AS steps FROM trainw t
+    JOIN states s ON t.unique_id = s.unique_id AND t.origin = s.origin GROUP BY 1, 2""", ("trainw", "states"))
+_smoothing_ctes(
+    "c", "fold", """SELECT w.unique_id, f.fold, list(w.y ORDER BY w.pos) AS ys, count(*) AS n, regr_slope(w.y, w.pos) AS slope, max(f.size) AS steps FROM num w
+    JOIN folds f ON w.unique_id = f.unique_id AND w.pos <= f.train_end GROUP BY 1, 2 HAVING count(*) >= 16 AND max(f.size) > 0""", ("num", "folds"))
+_smoothing_ctes(
+    "v", "origin", f"""SELECT d.unique_id, o.origin, list(d.y ORDER BY d.q) AS ys, count(*) AS n, regr_slope(d.y, d.q) AS slope, 4 AS steps FROM dense d
+    JOIN (SELECT o AS origin, CAST(year(o)*4+quarter(o)-1 AS INTEGER) AS oq FROM (VALUES {", ".join(f"(DATE '{o}')" for o in TUNING)}) t(o)) o ON d.q <= o.oq
+    GROUP BY 1, 2 HAVING count(*) >= 12 AND max(d.q) = max(o.oq)""", ("dense",))
+CTES |= {
+    "errsfit": (
+        """SELECT f.unique_id, f.origin, a.ds, f.h, f.model, a.y AS actual, f.pred, abs(a.y - f.pred) AS ae, s.scale FROM tfit f
+        JOIN states s ON s.unique_id = f.unique_id AND s.origin = f.origin JOIN dense a ON a.unique_id = f.unique_id AND a.q = s.oq + f.h""",
+        ("tfit", "states", "dense")),
+    "errsall": (f"SELECT * FROM errs UNION ALL SELECT * FROM errsfit WHERE model IN ({_FITTED})", ("errs", "errsfit")),
+    "cvfcall": (
+        f"""SELECT unique_id, fold, step, ds, model, actual, pred, n_train FROM cvfc UNION ALL
+        SELECT f.unique_id, f.fold, f.h, t.ds, f.model, t.y, f.pred, f.n FROM cfit f JOIN num t ON t.unique_id = f.unique_id AND t.pos = f.n + f.h
+        WHERE f.model IN ({_FITTED})""", ("cvfc", "cfit", "num")),
+    "tuned": (
+        """SELECT *, row_number() OVER (ORDER BY mase_mean, model) = 1 AS chosen FROM (
+        SELECT model, avg(mase) AS mase_mean, count(*) AS series_origins FROM (
+          SELECT f.unique_id, f.origin, f.model, avg(abs(a.y - f.pred)) / max(s.scale) AS mase FROM vfit f
+          JOIN (SELECT unique_id, origin, list_avg(list_transform(range(5, n + 1), lambda i: abs(ys[i] - ys[i - 4]))) AS scale FROM varrays) s
+          ON s.unique_id = f.unique_id AND s.origin = f.origin
+          JOIN dense a ON a.unique_id = f.unique_id AND a.q = CAST(year(f.origin)*4+quarter(f.origin)-1 AS INTEGER) + f.h
+          GROUP BY 1, 2, 3 HAVING max(s.scale) > 0) GROUP BY 1)""", ("vfit", "varrays", "dense")),
 }
-_SMOOTH = "level + trend * h + season[(n + h - 1) % 4 + 1]"
-_THETA = "level + slope / 2 * (h - 1 + (1 - pow(1 - a, n)) / a)"
+
+SETTINGS = ("SimpleSmoothing", "TrendSmoothing", "HoltWinters", "Theta", "SmoothingChoice")
+
+
+def all_errors(spark, d):
+    """Errors of the baselines and of the fitted models in one table; the panel is read once."""
+    panel = settle(I.dense(spark, d))
+    return B.backtest_errors(panel, "unique_id", ORIGINS).unionByName(B.fitted_errors(panel, "unique_id", ORIGINS))
+
+
+def all_folds(spark, d):
+    """Cross-validated forecasts of the baselines and of the fitted models."""
+    panel = settle(I.dense(spark, d))
+    return B.cv_forecasts(panel, "unique_id").unionByName(B.cv_fitted(panel, "unique_id").filter("step > 0").drop("seconds", "error"))
 
 
 def _fitted_sql(src: str, model: str, pred: str) -> str:
@@ -320,13 +374,57 @@ def _fitted_sql(src: str, model: str, pred: str) -> str:
 def _fitted(name: str, model: str, sql: str, need: str):
     @register(name, sql, (need,))
     def run(spark, d):
-        f = M.fit_arrays(_training_arrays(spark, d), ["unique_id", "origin"], model)
+        f = B.fitted_at_origins(B.origin_arrays(I.dense(spark, d), "unique_id", ORIGINS), "unique_id", [model])
         return f.select("unique_id", "origin", "model", "h", *[F.round(c, 2).alias(c) for c in ("pred", "lower", "upper")], "error")
 
 
-_fitted("forecast_holt_winters", "HoltWinters", _fitted_sql("(SELECT * FROM smbest WHERE kind = 'hw')", "HoltWinters", _SMOOTH), "smbest")
-_fitted("forecast_theta", "Theta", _fitted_sql("(SELECT * FROM smbest WHERE kind = 'ses')", "Theta", _THETA), "smbest")
-_fitted("forecast_exp_smoothing_select", "SmoothingChoice", _fitted_sql("smpick", "SmoothingChoice", _SMOOTH), "smpick")
+_fitted("forecast_holt_winters", "HoltWinters", _fitted_sql("(SELECT * FROM tsmbest WHERE kind = 'hw')", "HoltWinters", _SMOOTH), "tsmbest")
+_fitted("forecast_theta", "Theta", _fitted_sql("(SELECT * FROM tsmbest WHERE kind = 'ses')", "Theta", _THETA), "tsmbest")
+_fitted("forecast_exp_smoothing_select", "SmoothingChoice", _fitted_sql("tsmpick", "SmoothingChoice", _SMOOTH), "tsmpick")
+
+
+@register(
+    "backtest_fitted",
+    f"""SELECT unique_id, CAST(origin AS VARCHAR) AS origin, CAST(ds AS VARCHAR) AS ds, h, model, actual, round(pred, 2) AS pred, round(ae, 2) AS ae,
+    round(scale + 1e-7, 3) AS scale FROM errsfit WHERE model IN ({_FITTED})""",
+    ("errsfit",),
+)
+def backtest_fitted(spark, d):
+    """One pass over each series leaves the state of every grid point at all nine origins."""
+    e = B.fitted_errors(I.dense(spark, d), "unique_id", ORIGINS)
+    return e.select("unique_id", "origin", "ds", "h", "model", "actual", F.round("pred", 2).alias("pred"), F.round("ae", 2).alias("ae"), near("scale", 3))
+
+
+@register(
+    "cv_failed_folds",
+    """SELECT entity, fold, 'HoltWinters' AS model, n - (6 - fold) * size AS n_train, 'needs 8 values, has ' || (n - (6 - fold) * size) AS error
+    FROM (SELECT entity, count(*) AS n, CAST(floor(count(*) / 6) AS BIGINT) AS size FROM gappy GROUP BY 1), (SELECT unnest([1,2,3,4,5]) AS fold)
+    WHERE size > 0 AND n - (6 - fold) * size < 8""",
+    ("gappy",),
+)
+def cv_failed_folds(spark, d):
+    """Short series with no least training length: folds that a fitter cannot use are reported one by one."""
+    c = B.cv_fitted(I.gappy(spark, d), "entity", min_train=1, models=["HoltWinters"])
+    return c.filter(F.col("error").isNotNull()).select("entity", "fold", "model", "n_train", "error")
+
+
+@register("tuned_settings", "SELECT model, round(mase_mean, 5) AS mase_mean, series_origins, chosen FROM tuned", ("tuned",))
+def tuned_settings(spark, d):
+    t = B.tune(I.dense(spark, d), "unique_id", TUNING, ORIGINS, SETTINGS)
+    return t.select("model", F.round("mase_mean", 5).alias("mase_mean"), "series_origins", "chosen")
+
+
+@register(
+    "tuned_backtest",
+    """SELECT unique_id, CAST(origin AS VARCHAR) AS origin, h, round(pred, 2) AS pred, round(ae, 2) AS ae FROM errsfit
+    WHERE model = (SELECT model FROM tuned WHERE chosen)""",
+    ("errsfit", "tuned"),
+)
+def tuned_backtest(spark, d):
+    """The setting chosen on the tuning origins, frozen, at the reported ones."""
+    panel = settle(I.dense(spark, d))
+    e = B.frozen_errors(panel, "unique_id", B.tune(panel, "unique_id", TUNING, ORIGINS, SETTINGS), ORIGINS)
+    return e.select("unique_id", "origin", "h", F.round("pred", 2).alias("pred"), F.round("ae", 2).alias("ae"))
 
 
 def _global(spark, d, origin="1999-12-31"):
