@@ -1,6 +1,7 @@
 """Text extraction, readers, writers and streams."""
 
 import datetime as dt
+import os
 import uuid
 
 import pytest
@@ -224,3 +225,46 @@ def test_stream_totals_and_cusum_equal_batch(spark, path):
         pos = 0.0 if i == 0 else max(0.0, pos + (v - 5) / 2 - 0.5)
         want.append(pos)
     assert len(got) >= 8 and [r.cusum_pos for r in got] == pytest.approx(want)
+
+
+def test_a_drained_stream_equals_batch_to_the_last_window(spark, path):
+    rows = [(i, k, minutes(20 * i), float(i % 7)) for i in range(40) for k in "ab"]
+    stream = batches(spark, path, rows[:30], rows[30:50], rows[50:])
+    totals = J.period_totals(stream, "ts", "value", ["key"], "1 hour", "5 minutes")
+    out, checkpoint = path + "-out", path + "-cp"
+    want = {}
+    for _, k, t, v in rows:
+        hour = t.replace(minute=0)
+        total, n = want.get((k, hour), (0.0, 0))
+        want[k, hour] = total + v, n + 1
+    before = {(r.key, r.period_start): (r.total, r.n) for r in J.run_to_table(totals, out, checkpoint).collect()}
+    assert len(before) < len(want) and all(want[k] == v for k, v in before.items())
+    J.drain(path, EVENT, spark, "ts", "5 minutes", "1 hour")
+    assert {(r.key, r.period_start): (r.total, r.n) for r in J.run_to_table(totals, out, checkpoint).collect()} == want
+
+
+def test_landing_once_in_any_order_and_after_a_restart(spark, path):
+    out, checkpoint = path + "-out", path + "-cp"
+    late = [(9, "z", minutes(90_000), 1.0), (1, "a", minutes(0), 1.0)], [(2, "a", minutes(1), 2.0), (1, "a", minutes(0), 1.0), (2, "a", minutes(1), 1.5)]
+    got = J.land_once(batches(spark, path, *late), ["id"], out, checkpoint).collect()
+    assert sorted((r.id, r.value) for r in got) == [(1, 1.0), (2, 1.5), (9, 1.0)]
+    again = batches(spark, path, [(3, "b", minutes(-5000), 3.0), (9, "other", minutes(0), 4.0), (None, "n", minutes(0), 5.0)], [(None, "n", minutes(0), 6.0)])
+    got = J.land_once(again, ["id"], out, checkpoint).collect()
+    assert sorted(((r.id or 0), r.value) for r in got) == [(0, 5.0), (1, 1.0), (2, 1.5), (3, 3.0), (9, 1.0)]
+
+
+def test_a_batch_that_runs_again_lands_the_same(spark, path):
+    out, checkpoint = path + "-out", path + "-cp"
+    J.land_once(batches(spark, path, [(1, "a", minutes(0), 1.0)], [(2, "a", minutes(1), 1.0), (1, "a", minutes(0), 1.0)]), ["id"], out, checkpoint)
+    # As after a failure between the write and the commit of the last batch.
+    for name in ("1", ".1.crc"):
+        os.remove(f"{checkpoint}/commits/{name}")
+    got = J.land_once(J.read_files(spark, path, EVENT, files_per_batch=1), ["id"], out, checkpoint).collect()
+    assert sorted(r.id for r in got) == [1, 2]
+
+
+def test_late_rows_change_windows_already_written(spark, path):
+    groups = [(1, "a", minutes(500), 1.0), (2, "a", minutes(510), 2.0)], [(3, "a", minutes(3), 4.0)], [(4, "a", minutes(505), 8.0), (5, "a", minutes(1), 16.0)]
+    totals = J.running_totals(batches(spark, path, *groups), "ts", "value", ["key"], "1 hour")
+    got = J.run_updates(totals, ["period_start", "key"], path + "-out", path + "-cp").collect()
+    assert sorted((r.period_start, r.total, r.n) for r in got) == [(minutes(0), 20.0, 2), (minutes(480), 11.0, 3)]
