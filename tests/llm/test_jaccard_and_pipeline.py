@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -204,3 +205,32 @@ def test_an_id_with_several_texts_has_the_links_of_each(spark):
         got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard.jaccard_components(documents(spark, rows), whole=whole).collect()}
         assert got == {(5, True, 3), (3, True, 3), (7, True, 3), (15, False, 14), (15, True, 14), (17, True, 14), (14, True, 14), (25, False, 25), (25, True, 25), (30, False, 30), (None, True, 3)}
     assert {r.doc_id for r in jaccard.keep_first(documents(spark, rows)).collect()} == {3, 14, 25, 30, None}
+
+
+def test_bitmaps_of_entries_exclude_no_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (6, 30, 90, 400, 1500):
+        base = rng.integers(0, 2**63, n, dtype="uint64")
+        for _ in range(12):
+            own = base.copy()
+            swap = rng.random(n) < rng.uniform(0, 0.12)
+            own[swap] = rng.integers(0, 2**63, int(swap.sum()), dtype="uint64")
+            sets.append(np.unique(own))
+    packed = [jaccard.folded(jaccard.parities(s)) for s in sets]
+    assert max(map(len, packed)) == jaccard.RIDE
+    octets, bits = jaccard.bitmaps_of(pa.array([b"", *packed, b""], pa.binary()).slice(1, len(packed)))
+    assert octets.tolist() == [len(p) for p in packed]
+    n = np.array([len(s) for s in sets])
+    x, y = np.triu_indices(len(sets), 1)
+    kept = jaccard.not_excluded(n, octets, bits, x, y)
+    linked = np.array([jaccard.linked(sets[a], sets[b]) for a, b in zip(x, y)])
+    near = (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])) & ~linked  # others go by their sizes
+    assert kept[linked].all() and linked.any() and kept[near].mean() < 0.8
+    assert jaccard.not_excluded(n, np.zeros(len(n), "int64"), bits, x, y).all()
+
+
+def test_contracted_links_connect_the_same():
+    links = np.array([(5, 2), (9, 5), (9, 2), (7, 4), (8, 7), (8, 4)])
+    assert sorted(map(tuple, jaccard.contracted(links).tolist())) == [(5, 2), (7, 4), (8, 4), (9, 2)]
+    assert jaccard.contracted(np.zeros((0, 2), "int64")).shape == (0, 2)

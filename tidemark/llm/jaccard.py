@@ -6,8 +6,9 @@
   Where only components are asked for, pairs of sets that leads connect are left out instead.
 * Index level: of each set the rarest shingles that its threshold asks for are indexed (prefix). A shingle's
   list is ordered by set size and cut into blocks; whole blocks are skipped by the size and by what can still
-  overlap after the shingle's position.
-* Candidates that a bitmap of parities proves too different go; the others are verified on whole sets. Frequent shingles only come last in the order of a set, which is any
+  overlap after the shingle's position. Entries of frequent shingles bring a folded bitmap of parities along, so
+  pairs of a large family that are proved too different are never formed.
+* Candidates that the whole bitmap proves too different go; the others are verified on whole sets. Frequent shingles only come last in the order of a set, which is any
   fixed order; nothing is left out for being frequent.
 
 Shingles are compared by 64-bit hashes.
@@ -32,6 +33,8 @@ BANDS = 8
 SAMPLE_OF, FREQUENT, LISTED = 16, 6, 200_000
 #: Sets a lead is compared with in one group of a task; entries of a list that are skipped together.
 GROUP, BLOCK = 1_000, 64
+#: Octets of a bitmap that an entry of a frequent shingle's list brings along.
+RIDE = 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "uint64")
 
@@ -101,6 +104,14 @@ class Order:
         self.some = np.zeros(1 << 20, bool)
         self.some[(self.shingles & np.uint64((1 << 20) - 1)).astype("int64")] = True
 
+    def lists(self, members: np.ndarray) -> np.ndarray:
+        """Which of the shingles are listed."""
+        hit = self.some[(members & np.uint64((1 << 20) - 1)).astype("int64")]
+        if len(self.shingles):
+            where = np.minimum(np.searchsorted(self.shingles, members[hit]), len(self.shingles) - 1)
+            hit[hit] = self.shingles[where] == members[hit]
+        return hit
+
     def first(self, members: np.ndarray, n: int) -> np.ndarray:
         maybe = np.flatnonzero(self.some[(members & np.uint64((1 << 20) - 1)).astype("int64")])
         if not len(maybe):
@@ -164,11 +175,12 @@ def lead_pairs(classes: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def candidate_pairs(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+def candidate_pairs(classes: DataFrame, clusters: DataFrame, order: Order) -> DataFrame:
     """Pairs (a, b), a > b, of different clusters that share an indexed shingle and may link there."""
     rows = classes.join(clusters, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), "prefix"
+        "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), "prefix", "parity"
     )
+    shared = classes.sparkSession.sparkContext.broadcast(order)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,20 +190,61 @@ def candidate_pairs(classes: DataFrame, clusters: DataFrame) -> DataFrame:
                 lengths = [len(p) for p in parts]
                 place = np.concatenate([np.arange(k) for k in lengths]) if parts else np.zeros(0, "int64")
                 ids, n, cluster = (np.repeat(batch.column(k).to_numpy(), lengths) for k in range(3))
+                shingles = np.concatenate(parts)
+                # Only entries of frequent shingles bring the bitmap; of the others the lists are short.
+                listed = shared.value.lists(shingles.view("uint64"))
+                ends = np.cumsum(lengths)
+                bitmaps = [folded(p.as_py()) for p in batch.column(4)]
+                octets = np.where(listed, np.repeat([len(b) for b in bitmaps], lengths), 0)
+                data = b"".join([b * int(listed[e - k : e].sum()) for b, k, e in zip(bitmaps, lengths, ends)])
+                offsets = np.concatenate([[0], np.cumsum(octets)]).astype("int32")
+                bits = pa.Array.from_buffers(pa.binary(), len(shingles), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts)), pa.array(ids), pa.array(cluster), pa.array(n << 32 | place)], names=["shingle", "doc_id", "cluster", "n_place"]
+                    [pa.array(shingles), pa.array(ids), pa.array(cluster), pa.array(n << 32 | place), bits], names=["shingle", "doc_id", "cluster", "n_place", "bits"]
                 )
 
-    lists = rows.mapInArrow(spread, "shingle long, doc_id long, cluster long, n_place long")
+    lists = rows.mapInArrow(spread, "shingle long, doc_id long, cluster long, n_place long, bits binary")
     lists = lists.repartition("shingle").sortWithinPartitions("shingle", "n_place")
     return lists.mapInArrow(pairs_of_lists, "a long, b long").distinct()
 
 
+def folded(parity: bytes) -> bytes:
+    """The bitmap of fewer slots, ``RIDE`` octets at most: slots that fall together are added."""
+    return np.bitwise_xor.reduce(np.frombuffer(parity, "uint8").reshape(-1, min(RIDE, len(parity))), axis=0).tobytes() if parity else b""
+
+
+def bitmaps_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Octets of each bitmap, 0 for none, and the bitmaps as rows of ``RIDE`` octets."""
+    offsets = np.frombuffer(column.buffers()[1], "int32")[column.offset : column.offset + len(column) + 1].astype("int64")
+    octets, rows = np.diff(offsets), np.zeros((len(column), RIDE), "uint8")
+    some = np.flatnonzero(octets)
+    if len(some):
+        data = np.frombuffer(column.buffers()[2], "uint8")
+        for width in np.unique(octets[some]):
+            at = some[octets[some] == width]
+            rows[at, :width] = data[offsets[at][:, None] + np.arange(width)]
+    return octets, rows
+
+
+def not_excluded(n: np.ndarray, octets: np.ndarray, bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of entries ``x`` and ``y`` their bitmaps do not prove too different; see ``can_link``."""
+    ok = np.ones(len(x), bool)
+    kinds = octets[x] * (RIDE + 1) + octets[y]
+    for kind in np.unique(kinds):
+        wide, wider = divmod(int(kind), RIDE + 1)
+        least = min(wide, wider)
+        if least:
+            at = np.flatnonzero(kinds == kind)
+            u, v = (np.bitwise_xor.reduce(bits[side[at], :width].reshape(len(at), -1, least), axis=1) for side, width in ((x, wide), (y, wider)))
+            ok[at] = 9 * np.bitwise_count(u ^ v).sum(axis=1, dtype="int64") <= n[x[at]] + n[y[at]]
+    return ok
+
+
 def pairs_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk lists sorted by shingle, size and place; a list may span batches."""
     rest = None
     for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in range(4)]
+        columns = [*(batch.column(k).to_numpy() for k in range(4)), *bitmaps_of(batch.column(4))]
         if rest is not None:
             columns = [np.concatenate(c) for c in zip(rest, columns)]
         if not len(columns[0]):
@@ -213,7 +266,7 @@ def may_link(n_x: np.ndarray, place_x: np.ndarray, n_y: np.ndarray, place_y: np.
     return (5 * np.minimum(n_x, n_y) >= 4 * np.maximum(n_x, n_y)) & (np.minimum(n_x - place_x, n_y - place_y) >= needed)
 
 
-def pairs_of_runs(shingle: np.ndarray, ids: np.ndarray, cluster: np.ndarray, n_place: np.ndarray) -> np.ndarray:
+def pairs_of_runs(shingle: np.ndarray, ids: np.ndarray, cluster: np.ndarray, n_place: np.ndarray, octets: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Candidate pairs of all whole lists of a batch. Short lists are compared side by side, long ones by blocks."""
     if not len(shingle):
         return np.zeros((0, 2), "int64")
@@ -227,18 +280,24 @@ def pairs_of_runs(shingle: np.ndarray, ids: np.ndarray, cluster: np.ndarray, n_p
     while len(at):
         to = at + step
         ok = (cluster[at] != cluster[to]) & may_link(n[at], place[at], n[to], place[to])
-        found.append(np.column_stack([ids[at[ok]], ids[to[ok]]]))
+        x, y = at[ok], to[ok]
+        fits = not_excluded(n, octets, bits, x, y)
+        found.append(np.column_stack([ids[x[fits]], ids[y[fits]]]))
         step += 1
         at = at[(left[at] >= step) & (5 * n[at] >= 4 * n[np.minimum(to, len(n) - 1)])]
     for k in np.flatnonzero(lengths > BLOCK):
         part = slice(starts[k], starts[k] + lengths[k])
-        found.append(pairs_by_blocks(ids[part], cluster[part], n[part], place[part]))
+        found.append(pairs_by_blocks(ids[part], cluster[part], n[part], place[part], octets[part], bits[part]))
     pairs = np.concatenate(found) if found else np.zeros((0, 2), "int64")
     return np.unique(np.sort(pairs, axis=1)[:, ::-1], axis=0)
 
 
-def pairs_by_blocks(ids: np.ndarray, cluster: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+def pairs_by_blocks(
+    ids: np.ndarray, cluster: np.ndarray, n: np.ndarray, place: np.ndarray, octets: np.ndarray | None = None, bits: np.ndarray | None = None
+) -> np.ndarray:
     """Candidate pairs of one long list. A block's header holds its sizes, most overlap left and lone cluster."""
+    if octets is None or bits is None:
+        octets, bits = np.zeros(len(ids), "int64"), np.zeros((len(ids), RIDE), "uint8")
     firsts = np.arange(0, len(ids), BLOCK)
     most = np.minimum.reduceat(n, firsts), np.maximum.reduceat(n, firsts)
     room = np.maximum.reduceat(n - place, firsts)
@@ -249,12 +308,15 @@ def pairs_by_blocks(ids: np.ndarray, cluster: np.ndarray, n: np.ndarray, place:
         least = 4 * n[x]
         needed = -(-4 * (n[x] + most[0][: own + 1]) // 9)
         open_ = (5 * most[1][: own + 1] >= least) & (room[: own + 1] >= needed) & (lone[: own + 1] != cluster[x]) & (n[x] - place[x] >= needed)
+        others = []
         for k in np.flatnonzero(open_):
             part = slice(firsts[k], min(firsts[k] + BLOCK, x))
             ok = (cluster[part] != cluster[x]) & may_link(n[x], place[x], n[part], place[part])
-            if ok.any():
-                other = ids[part][ok]
-                found.append(np.column_stack([np.full(len(other), ids[x]), other]))
+            others.append(firsts[k] + np.flatnonzero(ok))
+        other = np.concatenate(others) if others else np.zeros(0, "int64")
+        if len(other):
+            other = ids[other[not_excluded(n, octets, bits, np.full(len(other), x), other)]]
+            found.append(np.column_stack([np.full(len(other), ids[x]), other]))
     return np.concatenate(found) if found else np.zeros((0, 2), "int64")
 
 
@@ -330,9 +392,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return beside(pairs, sets).mapInArrow(compare, "a long, b long").distinct()
 
 
-def derived(homes: DataFrame, sets: DataFrame) -> DataFrame:
+def contracted(links: np.ndarray) -> np.ndarray:
+    """Links (a, b) that connect the same nodes, one fewer than a component has: union-find over the given ones."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for a, b in links.tolist():
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return np.array([(x, r) for x in list(parent) if (r := root(x)) != x], "int64").reshape(-1, 2)
+
+
+def derived(homes: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     """Links (a, b), a > b, between sets of one lead, from what tells each of them from the lead.
 
+    ``every`` link, or else those of each group contracted to a forest over the same sets.
+
     ``homes`` (node, component) names a lead that each set links to. Two sets differ where exactly one of them
     differs from the lead. Sets of a lead are dealt into blocks of about a thousand; each two blocks meet in a
     group of their own.
@@ -353,17 +432,21 @@ def derived(homes: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.select("b", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "a", "n", "differs")
     rows = rows.repartition("b", "one", "two").sortWithinPartitions("b", "one", "two")
 
+    def answers(held: dict[int, dict[int, tuple[int, bytes]]]) -> pa.RecordBatch:
+        links = links_of_blocks(*held.values())
+        return as_pairs(links if every else contracted(links))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
         for batch in batches:
             for b, one, two, own, a, n, differs in zip(*[batch.column(k).to_pylist() for k in range(7)]):
                 if (b, one, two) != key:
                     if held:
-                        yield as_pairs(links_of_blocks(*held.values()))
+                        yield answers(held)
                     key, held = (b, one, two), {k: {} for k in (one, two)}
                 held[own][a] = n, differs
         if held:
-            yield as_pairs(links_of_blocks(*held.values()))
+            yield answers(held)
 
     return rows.mapInArrow(meet, "a long, b long")
 
@@ -414,9 +497,13 @@ def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, rows.withColumn("node", F.when(F.col("n") > 0, node))
 
 
-def joined(docs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """``shingle_links`` if ``whole``; else without the links between sets that leads' links already connect."""
-    rows = stored(described(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id()), "described")
+def joined(docs: DataFrame, whole: bool, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``shingle_links`` if ``whole``; else without the links between sets that leads' links already connect.
+
+    Without ``every`` the links derived within a lead's sets come contracted to forests.
+    """
+    order = frequent_shingles(docs)
+    rows = stored(described(docs, order).withColumn("row", F.monotonically_increasing_id()), "described")
     classes, rows = classes_of(rows)
     reps = classes.select(F.col("node").alias("__node"), "rep", "rep_row")
     members = stored(rows.select("doc_id", "n", "node", "row").join(reps, F.col("node") == F.col("__node"), "left").drop("__node"), "members")
@@ -429,10 +516,10 @@ def joined(docs: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
         together = stored(by_lead.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "leads")
     else:
         together = stored(components(by_lead), "clusters")
-    pairs = stored(plausible(alone, candidate_pairs(alone, together)), "pairs")
+    pairs = stored(plausible(alone, candidate_pairs(alone, together, order)), "pairs")
     links = by_lead.unionByName(verified(pairs, sets_of(docs, classes, pairs)))
     if whole:
-        links = links.unionByName(derived(together, sets)).distinct()
+        links = links.unionByName(derived(together, sets, every)).distinct()
     return members.select("doc_id", F.col("n").alias("n_shingles"), "node", "rep"), stored(links, "links")
 
 
@@ -452,10 +539,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Two documents link when their shingle sets overlap by 0.8 or more of their union; the component is the
     smallest doc_id reachable by links. A text without words has no shingles and links with nothing. Rows that
     repeat an id are one node with the links of each of its texts. A row without id takes the component of the
-    documents of its own set, null if there are none. Other columns are ignored. Without ``whole`` the links
-    that could only connect what is connected are not sought; components are the same.
+    documents of its own set, null if there are none. Other columns are ignored, an empty table gives no rows, texts
+    are read whole at any length. Without ``whole`` the links that could only connect what is connected are not
+    sought; components are the same.
     """
-    members, links = joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), whole)
+    members, links = joined(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), whole, every=False)
     # Classes that share an id are connected by it; a text without words goes with the others of its id.
     per_id = members.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("node").alias("k"), F.count(F.lit(1)).alias("rows")
