@@ -160,3 +160,15 @@ def test_period_columns_join_like_a_left_join(spark):
         with_period_columns(rows, spark.range(5).selectExpr("cast(id as int) q", "1.0 rate"), "q", ["rate"], most=2).collect()
     with pytest.raises(Exception, match="(?i)duplicate"):
         with_period_columns(rows, periods.union(periods), "q", ["rate"]).collect()
+
+
+def test_blank_spans_by_hand(spark):
+    rows = [("a", 10, 1.0, None), ("a", 11, None, 2.0), ("a", 13, 3.0, None), ("b", 12, 5.0, 5.0), ("c", 14, None, None)]
+    df = spark.createDataFrame(rows, "e string, q int, x double, y double")
+    got = sorted((r.e, r.figure, r.from_q, r.to_q, r.periods) for r in P.blank_spans(df, "e", ["x", "y"]).collect())
+    assert got == [
+        ("a", "x", 11, 12, 2), ("a", "x", 14, 14, 1), ("a", "y", 10, 10, 1), ("a", "y", 12, 14, 3), ("b", "x", 10, 11, 2), ("b", "x", 13, 14, 2),
+        ("b", "y", 10, 11, 2), ("b", "y", 13, 14, 2), ("c", "x", 10, 14, 5), ("c", "y", 10, 14, 5),
+    ]
+    assert P.blank_spans(df.limit(0), "e", ["x"]).collect() == []
+    assert [tuple(r) for r in P.blank_spans(df.filter("e = 'b'"), "e", ["x"], calendar=(12, 13)).collect()] == [("b", "x", 13, 13, 1)]

@@ -268,3 +268,21 @@ def test_late_rows_change_windows_already_written(spark, path):
     totals = J.running_totals(batches(spark, path, *groups), "ts", "value", ["key"], "1 hour")
     got = J.run_updates(totals, ["period_start", "key"], path + "-out", path + "-cp").collect()
     assert sorted((r.period_start, r.total, r.n) for r in got) == [(minutes(0), 20.0, 2), (minutes(480), 11.0, 3)]
+
+
+def test_a_document_is_read_in_order(spark):
+    pages = [
+        ("a", 2, "CASA stood at 1,23,456\nCASA 9999 8888"),
+        ("a", 1, "nothing here\nCASA 1111 2222\nCASA 3333 4444"),
+        ("b", 1, "CASA 5555 6666\nthe CASA stood at\n  7,77,777 crore"),  # a sentence goes before a row, over line ends
+        ("c", 1, "Savings\nx\n1,234 5,678"), ("c", 2, "Savings 4321"),
+        ("d", 1, "Savings\nx\ny\n1234"),  # too far ahead
+        ("e", 1, "Savings\n1234 5678\n9999"),  # the nearer line
+        ("f", 1, None), ("f", 2, ""), (None, 1, "CASA 1212"),
+    ]
+    rules = [E.LineRule("casa", rf"^CASA {E.AMOUNT}"), E.LineRule("savings", r"^Savings \d"), E.LineRule("savings", "^Savings$", 2, r"^\d")]
+    got = E.read_documents(spark.createDataFrame(pages, "d string, p int, t string"), "d", "p", "t", [E.Pattern("casa", rf"CASA stood at {E.AMOUNT}")], rules)
+    assert {(r.d, r.field): (r.value, r.page, r.line_no) for r in got.collect()} == {
+        ("a", "casa"): (2222.0, 1, 1), ("b", "casa"): (777777.0, 1, None), ("c", "savings"): (5678.0, 1, 0), ("e", "savings"): (5678.0, 1, 0),
+        (None, "casa"): (1212.0, 1, 0),
+    }

@@ -112,6 +112,53 @@ def scan_lines(lines: DataFrame, row_patterns: Mapping[str, str], label_patterns
     )
 
 
+@dataclass(frozen=True)
+class LineRule:
+    """A line that matches ``regex`` gives its last amount; with ``ahead`` that of the first of so many next lines that matches ``ahead_regex``."""
+
+    field: str
+    regex: str
+    ahead: int = 0
+    ahead_regex: str = rf"^{AMOUNT}"
+
+
+def read_documents(pages: DataFrame, doc: str, page: str, text: str, patterns: Sequence[Pattern], rules: Sequence[LineRule]) -> DataFrame:
+    """One row per document and field: (doc, field, value, page, line_no), the first hit in reading order.
+
+    Pages come in order; on a page sentences (patterns on the flattened text, the earlier pattern first) go before
+    rows, and rows by line, on one line by rule. ``line_no`` is NULL for a sentence. A page is read once and looks
+    ahead in its own lines; the choice is a combinable ``min_by`` on the whole order, so a document may hold any
+    share of the pages. Null texts have no hits; fields without any give no row.
+    """
+    flat, lines = F.col("__flat"), F.col("__lines")
+    fields = list(dict.fromkeys(p.field for p in patterns))
+
+    def hit(field: str, value: Column, kind: int, line: Column, rule: int) -> Column:
+        order = F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), F.lit(rule).alias("rule"))
+        return F.struct(F.lit(field).alias("field"), value.alias("value"), order.alias("order"))
+
+    def amount_of(rule: LineRule, line: Column, at: Column) -> Column:
+        if not rule.ahead:
+            return F.when(line.rlike(rule.regex), last_amount(line))
+        below = F.lit(None).cast("double")
+        for k in range(rule.ahead, 0, -1):
+            # A line below that matches decides, even where its amount does not parse.
+            below = F.when(F.get(lines, at + k).rlike(rule.ahead_regex), last_amount(F.get(lines, at + k))).otherwise(below)
+        return F.when(line.rlike(rule.regex), below)
+
+    sentences = [
+        hit(f, F.coalesce(*[parse_grouped_number(group_of(flat, p)) for p in patterns if p.field == f]), 0, F.lit(-1), 0) for f in fields
+    ]
+    rows = F.flatten(F.transform(lines, lambda line, at: F.array(*[hit(r.field, amount_of(r, line, at), 1, at, k) for k, r in enumerate(rules)])))
+    found = F.filter(F.concat(F.array(*sentences), rows) if rules else F.array(*sentences), lambda h: h["value"].isNotNull())
+    plain = F.replace(F.col(text), F.lit("’"), F.lit("'"))
+    ready = pages.select(F.col(doc), F.col(page), flatten_spaces(F.col(text)).alias("__flat"), F.transform(F.split(plain, "\n"), F.trim).alias("__lines"))
+    hits = ready.select(doc, page, F.explode(found).alias("h")).select(doc, "h.field", F.struct(F.col(page).alias("page"), "h.order").alias("o"), "h.value")
+    first = hits.groupBy(doc, "field").agg(F.min_by(F.struct("value", "o"), "o").alias("f"))
+    line = F.col("f.o.order.line")
+    return first.select(doc, "field", F.col("f.value").alias("value"), F.col("f.o.page").alias("page"), F.when(line >= 0, line).alias("line_no"))
+
+
 def plausible(hits: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Keep values inside the bounds of their field. A field without bounds fails the job."""
     missing = F.raise_error(F.concat(F.lit("no bounds for field "), F.coalesce("field", F.lit("null")))).cast("boolean")

@@ -276,3 +276,31 @@ def panel_summary(raw: DataFrame, history: DataFrame, entity: str, min_periods:
         F.max("last_ds").alias("last_ds"),
     )
     return side_by_side(incoming, outgoing)
+
+
+def calendar_range(df: DataFrame, q: str = "q") -> tuple[int, int] | None:
+    """First and last period of a table: two numbers, or None where it is empty."""
+    row = df.agg(F.min(q).alias("lo"), F.max(q).alias("hi")).first()
+    return None if row.lo is None else (row.lo, row.hi)
+
+
+def blank_spans(df: DataFrame, entity: str, figures: Sequence[str], q: str = "q", calendar: tuple[int, int] | None = None) -> DataFrame:
+    """(entity, figure, from_q, to_q, periods): the longest spans of periods in which an entity has no value of a figure.
+
+    A missing row and a NULL field are both blank. The calendar is that of the whole table unless given. One array of
+    periods per entity and figure, bounded by the calendar; a span is what lies between two neighbours.
+    """
+    ends = calendar or calendar_range(df, q) or (0, -1)
+    have = df.groupBy(entity).agg(*[F.array_sort(F.collect_set(F.when(F.col(f).isNotNull(), F.col(q)))).alias(f) for f in figures])
+    pairs = F.array(*[F.struct(F.lit(f).alias("figure"), F.col(f).alias("have")) for f in figures])
+    rows = have.select(entity, F.explode(pairs).alias("p")).select(entity, "p.figure", "p.have")
+    low, high = F.lit(ends[0]).cast("int"), F.lit(ends[1]).cast("int")
+    known = F.filter("have", lambda x: x.between(low, high))
+    fence = F.concat(F.array(low - 1), known.cast("array<int>"), F.array(high + 1))
+    rows = rows.select(entity, "figure", fence.alias("fence"))
+    spans = F.transform(F.sequence(F.lit(1), F.size("fence") - 1), lambda i: F.struct(
+        (F.element_at("fence", i) + 1).alias("from_q"), (F.element_at("fence", i + 1) - 1).alias("to_q")))
+    blank = F.filter(spans, lambda s: s["from_q"] <= s["to_q"])
+    return rows.select(entity, "figure", F.explode(blank).alias("s")).select(
+        entity, "figure", "s.from_q", "s.to_q", (F.col("s.to_q") - F.col("s.from_q") + 1).alias("periods")
+    )

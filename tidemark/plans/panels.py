@@ -9,6 +9,7 @@ from tidemark.operators import panel as P
 from tidemark.plans import inputs as I
 from tidemark.plans.catalog import register
 from tidemark.plans.inputs import CTES
+from tidemark.session import settle
 
 MIN_PERIODS, MIN_SHARE, MAX_DLOG = 3, 0.6, 1.0
 
@@ -354,8 +355,8 @@ CTES["kept"] = ("SELECT s.* FROM segs s JOIN bestseg b ON s.entity = b.entity AN
 # Calendar coverage and set operations --------------------------------------------------------------
 
 CTES["spine"] = (
-    """SELECT CAST(last_day(CAST(m AS DATE) + INTERVAL 2 MONTH) AS DATE) AS ds
-    FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-07-01', INTERVAL 3 MONTH)) AS m)""", ())
+    """SELECT q, CAST(last_day(make_date(CAST(floor(q/4) AS BIGINT), CAST((q%4)*3+3 AS BIGINT), 1)) AS DATE) AS ds
+    FROM (SELECT unnest(range(lo, hi + 1)) AS q FROM (SELECT min(q) AS lo, max(q) AS hi FROM gappy))""", ("gappy",))
 
 
 @register(
@@ -365,11 +366,30 @@ CTES["spine"] = (
     ("gappy", "spine"),
 )
 def missing_periods(spark, d):
-    """Quarters of the calendar in which an entity has no row: one array difference per entity."""
-    have = I.gappy(spark, d).groupBy("entity").agg(F.collect_set("ds").alias("have"))
-    first = F.sequence(F.lit("1995-01-01").cast("date"), F.lit("2001-07-01").cast("date"), F.expr("interval 3 months"))
-    spine = F.transform(first, lambda m: cal.quarter_end(m))
-    return have.select("entity", F.explode(F.array_except(spine, "have")).alias("ds"))
+    """Quarters between the first and the last of the table in which an entity has no row: one array difference per entity."""
+    rows = settle(I.gappy(spark, d).select("entity", "q"))
+    lo, hi = P.calendar_range(rows) or (0, -1)
+    have = rows.groupBy("entity").agg(F.collect_set("q").alias("have"))
+    missing = F.array_except(F.array(*[F.lit(q).cast("int") for q in range(lo, hi + 1)]).cast("array<int>"), F.col("have").cast("array<int>"))
+    return have.select("entity", F.explode(missing).alias("q")).select("entity", cal.quarter_end_of_index(F.col("q")).alias("ds"))
+
+
+_FIGURES = ("part_a", "part_n", "part_r", "whole")
+
+
+@register(
+    "blank_spans",
+    "SELECT entity, figure, min(q) AS from_q, max(q) AS to_q, count(*) AS periods FROM (SELECT *, q - row_number() OVER (PARTITION BY entity, figure ORDER BY q) AS island FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT e.entity, '{f}' AS figure, s.q FROM (SELECT DISTINCT entity FROM components) e,
+        (SELECT unnest(range(lo, hi + 1)) AS q FROM (SELECT min(q) AS lo, max(q) AS hi FROM components)) s
+        LEFT JOIN components c ON c.entity = e.entity AND c.q = s.q WHERE c.{f} IS NULL""" for f in _FIGURES)
+    + ")) GROUP BY entity, figure, island",
+    ("components",),
+)
+def blank_spans(spark, d):
+    """Spans without a value per entity and figure; the calendar is the table's own."""
+    return P.blank_spans(settle(I.components(spark, d)), "entity", _FIGURES)
 
 
 @register(

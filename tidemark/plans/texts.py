@@ -144,6 +144,46 @@ def line_scan(spark, d):
     return T.scan_lines(lines, ROWS, LABELS, _NUMROW)
 
 
+# Rows that stand in for a sentence that a page lacks, in order on one line.
+RULES = (
+    T.LineRule("card", r"\d{13,}"), T.LineRule("area", r"555-\d{4}"), T.LineRule("octet", LABELS["after_label"], 2, _NUMROW),
+    T.LineRule("label", LABELS["after_label"], 2, _NUMROW),
+)
+
+
+def _rule_sql(k: int, r: T.LineRule) -> str:
+    value = _last("line") if not r.ahead else (
+        f"CASE WHEN regexp_matches(next_1, '{r.ahead_regex}') THEN {_last('next_1')} WHEN regexp_matches(next_2, '{r.ahead_regex}') THEN {_last('next_2')} END")
+    return f"""SELECT source, l.doc_id, '{r.field}' AS field, {value} AS value, 1 AS kind, line_no, {k} AS rule FROM lines l JOIN documents d ON d.doc_id = l.doc_id
+    WHERE regexp_matches(line, '{r.regex}')"""
+
+
+@register(
+    "read_documents",
+    f"""SELECT source, field, value, doc_id AS page, CASE WHEN kind = 1 THEN line_no END AS line_no FROM (
+    SELECT source, doc_id, field, value, 0 AS kind, -1 AS line_no, 0 AS rule FROM hits UNION ALL {" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(RULES))}
+    ) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, field ORDER BY doc_id, kind, line_no, rule) = 1""",
+    ("hits", "lines"),
+)
+def read_documents(spark, d):
+    """Sentences, rows and look-ahead of a source's documents as one reading, first hit per field."""
+    return T.read_documents(I.table(spark, d, "documents"), "source", "doc_id", "text", PATTERNS, RULES)
+
+
+@register(
+    "read_pages",
+    f"""SELECT doc_id, field, value, CASE WHEN kind = 1 THEN line_no END AS line_no FROM (
+    SELECT doc_id, field, value, 0 AS kind, -1 AS line_no, 0 AS rule FROM hits
+    UNION ALL {" UNION ALL ".join("SELECT doc_id, field, value, kind, line_no, rule FROM (" + _rule_sql(k, r) + ")" for k, r in enumerate(RULES))}
+    ) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY kind, line_no, rule) = 1""",
+    ("hits", "lines"),
+)
+def read_pages(spark, d):
+    """The same with every document on its own."""
+    docs = I.table(spark, d, "documents").withColumn("page", F.lit(0))
+    return T.read_documents(docs, "doc_id", "page", "text", PATTERNS, RULES).select("doc_id", "field", "value", "line_no")
+
+
 @register("plausibility_filter", "SELECT doc_id, field, value FROM plaus", ("plaus",))
 def plausibility_filter(spark, d):
     return T.plausible(found(spark, d), BOUNDS).select("doc_id", "field", "value")
