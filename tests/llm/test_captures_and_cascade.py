@@ -125,3 +125,19 @@ def test_clean_documents_stay_and_junk_goes(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = queries.QUERIES["op2_rule_cascade"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_ids_beyond_doubles_stay_whole(spark):
+    big = 2**60
+    rows = [(big + 1, "http://a.b/1", "same"), (big + 3, "http://a.b/2", "same"), (None, "http://a.b/3", "same"), (big + 5, None, "alone"), (-big - 7, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {(r.page_id, r.url): (r.record_type, r.refers_to) for r in captures.capture_histories(pages).collect()}
+    assert got == {
+        (big + 1, "http://a.b/1"): ("revisit", big + 3), (big + 3, "http://a.b/2"): ("response", None), (None, "http://a.b/3"): ("revisit", big + 3),
+        (big + 5, ""): ("response", None), (-big - 7, "u"): ("response", None),
+    }
+
+
+def test_no_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert captures.capture_histories(empty).collect() == []

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,18 +107,19 @@ def archive_pages(pages: DataFrame, least: int = 0, page_id: str = "page_id", ur
     spark = pages.sparkSession
     folder = stored_path(spark, "archives")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         store.create_dir(root, recursive=True)
         out, done, name, size, n = None, [], "", 0, 0
         for batch in batches:
-            for page, link, text, refers in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"]):
+            # Arrow keeps longs whole beside nulls; texts are unpacked one by one.
+            for page, link, text, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                packed = gzip.compress(record(None if pd.isna(page) else int(page), link, text.encode(), None if pd.isna(refers) else int(refers)), 1, mtime=0)
+                packed = gzip.compress(record(page, link, text.as_py().encode(), refers), 1, mtime=0)
                 out.write(packed)
                 size, n = size + len(packed), n + 1
                 if size >= ARCHIVE_BYTES:
@@ -128,12 +129,18 @@ def archive_pages(pages: DataFrame, least: int = 0, page_id: str = "page_id", ur
         if out is not None:
             out.close()
             done.append((name, n))
-        yield pd.DataFrame({"file": pd.Series([f"{folder}/{x}" for x, _ in done], dtype=object), "records": pd.Series([k for _, k in done], dtype="int64")})
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["file", "records"])
 
-    return stored(decided.mapInPandas(write, "file string, records long"), "archive-list")
+    return stored(decided.mapInArrow(write, "file string, records long"), "archive-list")
 
 
 RUN = "run string, url_key string, ts string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, position long"
+RUN_SCHEMA = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (x.split() for x in RUN.split(", "))])
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in RUN_SCHEMA]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, RUN_SCHEMA)], schema=RUN_SCHEMA)
 
 
 def capture_runs(archives: DataFrame) -> DataFrame:
@@ -143,11 +150,11 @@ def capture_runs(archives: DataFrame) -> DataFrame:
     Payloads of responses are hashed again; a revisit carries its payload's length and digest in its headers.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for file in batch["file"]:
+            for file in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(file if "://" in file else f"file://{file}")
                 with store.open_input_stream(path, compression=None) as stream:
                     archive = io.BytesIO(stream.read())
@@ -161,11 +168,10 @@ def capture_runs(archives: DataFrame) -> DataFrame:
                     link = head["WARC-Target-URI"]
                     rows.append((file, url_key(link), head["WARC-Date"], int(page) if page else None, link, size, digest, kind, int(refers) if refers else None, file.rpartition("/")[2], at))
                 rows.sort(key=capture_order)
-                frame = pd.DataFrame(rows, columns=[x.split()[0] for x in RUN.split(", ")])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield as_batch(rows)
 
     spread = archives.select("file").repartition(2 * archives.sparkSession.sparkContext.defaultParallelism)
-    return spread.mapInPandas(parse, RUN)
+    return spread.mapInArrow(parse, RUN)
 
 
 def capture_order(row: tuple) -> tuple:
@@ -211,30 +217,28 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     holds the slice of the runs that fall into its range. Equal captures keep the order of the archives.
     """
     ranged = runs.repartitionByRange("url_key", "ts", F.col("page_id").asc_nulls_first(), "archive", "position")
-    names = [x.split()[0] for x in RUN.split(", ")]
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[tuple]] = {}
         for batch in batches:
-            page, refers = ([None if pd.isna(x) else int(x) for x in batch[c]] for c in ("page_id", "refers_to"))
-            for row in zip(*[page if n == "page_id" else refers if n == "refers_to" else batch[n] for n in names]):
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
                 slices.setdefault(row[0], []).append(row)
         for part in slices.values():
             part.sort(key=capture_order)  # in order already unless the shuffle mixed a run's blocks
-        yield from frames(loser_tree_merge([slices[r] for r in sorted(slices)]), names)
+        yield from in_batches(loser_tree_merge([slices[r] for r in sorted(slices)]))
 
-    return ranged.mapInPandas(merge, RUN)
+    return ranged.mapInArrow(merge, RUN)
 
 
-def frames(rows: Iterable[tuple], names: list[str], size: int = 10_000) -> Iterator[pd.DataFrame]:
+def in_batches(rows: Iterable[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
     chunk: list[tuple] = []
     for row in rows:
         chunk.append(row)
         if len(chunk) == size:
-            yield pd.DataFrame(chunk, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield as_batch(chunk)
             chunk = []
     if chunk:
-        yield pd.DataFrame(chunk, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield as_batch(chunk)
 
 
 def capture_histories(pages: DataFrame, least: int = 0, **columns: str) -> DataFrame:
