@@ -20,9 +20,7 @@ from tidemark.llm.mixing import mix, mixed_rows, source_targets
 
 @functools.cache
 def plain_tokenizer():
-    made = Tokenizer.from_file(packing.vocabulary_path())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(packing.vocabulary_path())
 
 
 @pytest.fixture
@@ -67,6 +65,20 @@ def test_ids_are_the_tokenizers(text):
     assert packing.encoder(None)(text) == np.asarray(plain_tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "a", "Don't", " ", "\n", "e", "\u0301", "<|", "|>", "7"]), max_size=12))
+def test_control_tokens_are_the_tokenizers_wherever_they_stand(parts):
+    text = "".join(parts)
+    assert packing.encoder(None)(text) == np.asarray(plain_tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_long_words_are_not_remembered():
+    encode = packing.encoder(None)
+    word = "q" * 5000
+    assert encode(word) == np.asarray(plain_tokenizer().encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(word not in known for known in packing._memory.values())
+
+
 def test_every_piece_is_what_its_bytes_merge_to(tokenizer):
     # The reason why merging by tiktoken gives the tokenizer's own result.
     with open(packing.vocabulary_path()) as f:

@@ -27,8 +27,8 @@ from tidemark.llm.common import stored, words_of
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Words whose ids a Python worker remembers, up to so many characters; beyond it the memory starts anew.
+REMEMBERED, LONGEST = 250_000, 64
 WORD_END = "</w>"
 #: Words without any character that normalisation could compose, split or lower in an unusual way.
 SIMPLE = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -67,7 +67,8 @@ def encoder(path: str | None):
     """A function from text to its ids as unsigned 32-bit little-endian bytes.
 
     The vocabulary's pieces never hold white space, so a text's ids are those of its words one after the
-    other, and words met before are looked up. Of new words those in ASCII or Latin-1 letters are split here
+    other, and words met before are looked up. The vocabulary's control tokens, spelt out in a text, are its ids
+    as the tokenizer's defaults have it: a text is cut at them first, and they may stand inside a word. Of new words those in ASCII or Latin-1 letters are split here
     and merged by tiktoken, whose result is the same since every piece of the vocabulary is what its own bytes
     merge to; all other words go to the tokenizer itself.
     """
@@ -77,10 +78,11 @@ def encoder(path: str | None):
     path = path or vocabulary_path()
     if path not in _tokenizers:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         merger = tiktoken.Encoding(Path(path).stem, pat_str="[^\0]+\0", mergeable_ranks=merge_ranks(path), special_tokens={})
-        _tokenizers[path], _memory[path] = (tokenizer, merger.encode_ordinary), {}
-    (tokenizer, merged), known = _tokenizers[path], _memory[path]
+        control = {t.content: array("I", [i]).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
+        literals = re.compile("(" + "|".join(re.escape(c) for c in sorted(control, key=len, reverse=True)) + ")") if control else None
+        _tokenizers[path], _memory[path] = (tokenizer, merger.encode_ordinary, control, literals), {}
+    (tokenizer, merged, control, literals), known = _tokenizers[path], _memory[path]
 
     def ids_of(word: str) -> bytes:
         if not SIMPLE.fullmatch(word):
@@ -88,6 +90,11 @@ def encoder(path: str | None):
         return array("I", merged("\0".join([*PARTS.findall(word.lower()), ""]))).tobytes()
 
     def encode(text: str | None) -> bytes:
+        if text and literals and literals.search(text):
+            return b"".join(control.get(part) or plain(part) for part in literals.split(text))
+        return plain(text)
+
+    def plain(text: str | None) -> bytes:
         words = words_of(text)
         ids = list(map(known.get, words))
         if None in ids:
@@ -98,7 +105,9 @@ def encoder(path: str | None):
                     word = words[at]
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = ids_of(word)
+                        found = ids_of(word)
+                        if len(word) <= LONGEST:
+                            known[word] = found
                     ids[at] = found
         return b"".join(ids)
 
