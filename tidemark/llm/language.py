@@ -212,11 +212,11 @@ def fit(counts: Mapping[str, Mapping[str, int]], pieces: Sequence[str], rounds:
     return model
 
 
-def training_words(docs: DataFrame, rows_per_language: int = 400, words: int = 300_000) -> dict[str, dict[str, int]]:
+def training_words(docs: DataFrame, rows_per_language: int = 400) -> dict[str, dict[str, int]]:
     """Word counts per language of a bounded sample of the training fold.
 
-    Rows are drawn by a hash of the id, about ``rows_per_language`` of each language; of their distinct
-    words at most ``words`` over all languages, by hash, reach the driver.
+    Rows are drawn by a hash of the id, about ``rows_per_language`` of each language; all words of their whole
+    texts count, so a language learns the same however many others there are.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2))
     sizes = usable.groupBy("lang").count().select(F.col("lang").alias("__lang"), "count")
@@ -225,7 +225,7 @@ def training_words(docs: DataFrame, rows_per_language: int = 400, words: int = 3
     some = usable.join(sized(stored(sizes, "languages")), F.col("lang") == F.col("__lang")).filter(drawn)
     counted = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").count()
     out: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counted.orderBy(F.xxhash64("lang", "word"), "lang", "word").limit(words).collect():
+    for r in counted.orderBy("lang", "word").toLocalIterator():
         out[r["lang"]][r["word"]] = r["count"]
     return dict(out)
 
