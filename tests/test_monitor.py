@@ -181,3 +181,17 @@ def test_ensemble_by_hand(spark):
 def test_risk(spark, score, drift, status):
     df = spark.createDataFrame([(None if score is None else float(score), drift)], "score double, drift boolean")
     assert df.select(N.risk_status(F.col("score"), F.col("drift")).alias("r")).first().r == status
+
+
+def test_status_falls_back_to_the_best_then_the_first_model(spark):
+    levels = spark.createDataFrame([(s, 1, 10.0) for s in "abcd"], "s string, step int, y double").withColumn("ds", F.lit("2020-03-31").cast("date"))
+    ensemble = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 20.0)], "s string, step int, pred double")
+    board = spark.createDataFrame([(s, m, 1.0, m == "m2") for s in "abc" for m in ("m1", "m2")], "s string, model string, mape double, recommended boolean")
+    forecasts = spark.createDataFrame(
+        [("a", "m2", 2, 99.0), ("b", "m1", 2, 11.0), ("b", "m2", 1, 1.0), ("b", "m2", 2, 15.0), ("c", "m3", 2, 13.0), ("c", "m1", 1, 12.0), ("c", "m2", 1, None)],
+        "s string, model string, step int, pred double",
+    )
+    none = spark.createDataFrame([], "s string, model string, step int, confidence_score double")
+    drift = spark.createDataFrame([], "s string, model string, drift_detected boolean")
+    got = {r.s: (r.forecast_value, r.growth_pct) for r in N.kpi_snapshot(levels, ensemble, board, none, drift, "s", "step", forecasts).collect()}
+    assert got == {"a": (20.0, 100.0), "b": (15.0, 50.0), "c": (12.0, 20.0), "d": (None, None)}

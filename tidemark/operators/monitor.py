@@ -356,8 +356,12 @@ def model_badges(rank: Column, stability: Column, mape: Column, fit_seconds: Col
 
 
 def kpi_snapshot(levels: DataFrame, ensemble: DataFrame, board: DataFrame, confidence: DataFrame,
-                 drift: DataFrame, series: str, order: str) -> DataFrame:
-    """One status row per series: latest level, last forecast, growth, best model, confidence and risk."""
+                 drift: DataFrame, series: str, order: str, forecasts: DataFrame | None = None) -> DataFrame:
+    """One status row per series: latest level, last forecast, growth, best model, confidence and risk.
+
+    Where a series has no ensemble forecast, ``forecasts`` (series, model, order, pred) stands in: that of the best
+    model, else of the first model by name that has one.
+    """
     latest = levels.groupBy(series).agg(F.max_by("y", order).alias("current_level"), F.max("ds").alias("latest_ds"))
     ahead = ensemble.groupBy(series).agg(F.max_by("pred", order).alias("forecast_value"))
     best = board.filter("recommended").select(series, F.col("model").alias("best_model"), F.col("mape").alias("best_mape"))
@@ -367,6 +371,12 @@ def kpi_snapshot(levels: DataFrame, ensemble: DataFrame, board: DataFrame, confi
         .join(conf.withColumnRenamed("model", "best_model"), [series, "best_model"], "left")
         .join(drift.select(series, F.col("model").alias("best_model"), "drift_detected"), [series, "best_model"], "left")
     )
+    if forecasts is not None:
+        last = forecasts.filter(F.col("pred").isNotNull()).groupBy(series, F.col("model").alias("__model")).agg(F.max_by("pred", order).alias("__pred"))
+        known = best.select(series, F.col("best_model").alias("__best"))
+        instead = F.min_by("__pred", F.struct(F.coalesce(F.col("__model") != F.col("__best"), F.lit(True)), F.col("__model")))
+        stand_in = last.join(known, series, "left").groupBy(series).agg(instead.alias("__instead"))
+        joined = joined.join(stand_in, series, "left").withColumn("forecast_value", F.coalesce("forecast_value", "__instead")).drop("__instead")
     return (
         joined.withColumn("growth_pct", F.round((ratio(F.col("forecast_value"), F.col("current_level")) - 1) * 100, 2))
         .withColumn("risk", risk_status(F.col("confidence_score"), F.col("drift_detected")))

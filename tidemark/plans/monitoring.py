@@ -205,7 +205,7 @@ def model_health_score(spark, d):
 
 CTES["allseries"] = (
     """SELECT unique_id, model FROM (SELECT unique_id FROM dense UNION SELECT CAST(entity AS VARCHAR) FROM gappy),
-    (VALUES ('Naive'), ('Drift')) m(model) GROUP BY 1, 2""", ("dense", "gappy"))
+    (VALUES ('Naive'), ('SeasonalNaive'), ('Drift'), ('ARDrift')) m(model) GROUP BY 1, 2""", ("dense", "gappy"))
 
 
 @register(
@@ -218,7 +218,7 @@ CTES["allseries"] = (
 def drift_payload(spark, d):
     """Customers have no report: they get the safe default."""
     every = I.dense(spark, d).select("unique_id").union(I.gappy(spark, d).select(F.col("entity").cast("string"))).distinct()
-    wanted = every.withColumn("model", F.explode(F.array(F.lit("Naive"), F.lit("Drift"))))
+    wanted = every.withColumn("model", F.explode(F.array(*[F.lit(m) for m in B.BASELINES])))
     p = N.drift_payload(wanted, _drift(Run(spark, d)), KEY)
     return p.withColumn("test_statistic", F.round("test_statistic", 8))
 
@@ -227,11 +227,15 @@ def _board(run):
     return E.model_leaderboard(run.hold, run.residuals, "unique_id", "step")
 
 
-def _confidence(run):
-    quality = _board(run).select(*KEY, "mape", "stability").join(
-        _drift(run).select(*KEY, F.col("overall_drift").alias("drift_detected")), KEY
-    )
-    return N.confidence_scores(run.hold, quality, KEY)
+def _status(run):
+    """One row per series and model: error, rank and drift, built once for all that is read from it."""
+    board = _board(run).select(*KEY, "mape", "stability", "recommended")
+    return settle(board.join(_drift(run).select(*KEY, F.col("overall_drift").alias("drift_detected")), KEY, "left"))
+
+
+def _confidence(run, status=None):
+    quality = _status(run) if status is None else status
+    return N.confidence_scores(run.hold, quality.filter("drift_detected is not null").select(*KEY, "mape", "stability", "drift_detected"), KEY)
 
 
 _CONF = ("mape_score", "stability_score", "horizon_score", "ci_score", "drift_penalty", "confidence_score", "confidence_label")
@@ -364,9 +368,12 @@ def forecast_lookup_join(spark, d):
 )
 def kpi_snapshot(spark, d):
     run = Run(spark, d)
-    drift = _drift(run).select(*KEY, F.col("overall_drift").alias("drift_detected"))
+    status = _status(run)
+    drift = status.filter("drift_detected is not null").select(*KEY, "drift_detected")
     levels = run.panel.withColumn("step", F.col("q"))
-    k = N.kpi_snapshot(levels, _ensemble(run.panel, run.hold), _board(run), _confidence(run), drift, "unique_id", "step")
+    k = N.kpi_snapshot(
+        levels, _ensemble(run.panel, run.hold), status, _confidence(run, status), drift, "unique_id", "step", run.hold
+    )
     return k.select(
         "unique_id", "current_level", "latest_ds", F.round("forecast_value", 2).alias("forecast_value"), "growth_pct",
         "best_model", "best_mape", "confidence_score", "risk",
