@@ -245,3 +245,11 @@ def test_every_pair_of_roles_is_guarded(spark):
         G.assert_ordered_roles(make((1, "train"), (3, "valid"), (3, "test")), "day", "role", order)
     with pytest.raises(ValueError, match="test has no rows"):
         G.assert_ordered_roles(make((1, "train"), (2, "valid")), "day", "role", order)
+
+
+def test_thresholds_equal_those_of_ranked_rows(spark):
+    rows = [(i, float(i * 7 % 5), i * 3 % 4 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, s double, y boolean").withColumn("y", F.col("y").cast("int"))
+    columns = ["s", "n", "p", "upto", "pos_upto", "pos_total", "total"]
+    ranked = L.by_threshold(L.rank_scores(df, "s", "y", "id"), "s", "y").select(columns)
+    assert sorted(map(tuple, L.thresholds(df, "s", "y").select(columns).collect())) == sorted(map(tuple, ranked.collect()))

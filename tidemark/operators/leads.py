@@ -161,6 +161,13 @@ def by_threshold(ranked: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
+def thresholds(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """The table of ``by_threshold`` without a rank per row: rows of equal score are counted before anything is sorted."""
+    counts = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    sums = running_sums(counts, [], [F.desc(score)], {"upto": "n", "pos_upto": "p"})
+    return sums.withColumnsRenamed({"pos_upto_total": "pos_total", "upto_total": "total"})
+
+
 def roc_auc(thresholds: DataFrame) -> DataFrame:
     """Share of (positive, negative) pairs ranked rightly, ties counting half."""
     won = (F.col("n") - F.col("p")) * ((F.col("pos_upto") - F.col("p")) + F.col("p") / 2.0)

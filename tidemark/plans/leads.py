@@ -234,12 +234,12 @@ _AP = """(SELECT sum(pp / pt * cp / cn) FROM (SELECT score, sum(added) AS pp, ma
 
 @register("roc_auc", f"SELECT round({_AUC.format(t='ranked')}, 8) AS roc_auc", ("ranked",))
 def roc_auc(spark, d):
-    return _round_all(L.roc_auc(L.by_threshold(ranked(spark, d), "score", "added")))
+    return _round_all(L.roc_auc(L.thresholds(scored(spark, d), "score", "added")))
 
 
 @register("average_precision", f"SELECT round({_AP.format(t='ranked')}, 8) AS average_precision", ("ranked",))
 def average_precision(spark, d):
-    return _round_all(L.average_precision(L.by_threshold(ranked(spark, d), "score", "added")))
+    return _round_all(L.average_precision(L.thresholds(scored(spark, d), "score", "added")))
 
 
 @register("brier", "SELECT round(avg(pow((n_products + 1) / 7.0 - added, 2)), 8) AS brier FROM scored", ("scored",))
