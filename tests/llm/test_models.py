@@ -206,6 +206,57 @@ def test_training_gradient_is_the_slope(labeller):
         assert np.asarray(grads[name]).reshape(-1)[at] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=1e-5)
 
 
+def slots_of(path):
+    """Slots of a path by the plain rule: a tag and the parts of its names, each by its hash."""
+    tokens = [[f"t:{tag}", *[f"n:{p.lower()}" for p in extraction.PARTS.findall(named)]] for tag, named in path]
+    whole, inner = ({zlib.crc32(t.encode()) % extraction.PATH for part in some for t in part} for some in (tokens, tokens[-2:]))
+    return whole, inner
+
+
+def block_by_block(model, page):
+    """Probabilities of one page by plain loops over steps and units, no batch, no padding, no shared paths."""
+    if not page:
+        return []
+    size, w = extraction.HIDDEN, {k: v.astype(float) for k, v in model.weights.items()}
+    squash = lambda v: 1 / (1 + math.exp(-v))
+    plain, states = extraction.plain_vectors(page).astype(float), {}
+    for d in ("f", "b"):
+        h, c, states[d] = [0.0] * size, [0.0] * size, {}
+        for t in range(len(page)) if d == "f" else reversed(range(len(page))):
+            whole, inner = slots_of(page[t].path)
+            g = w[f"c{d}"] + sum(w[f"x{d}"][s] for s in whole) + sum(w[f"x{d}"][extraction.PATH + s] for s in inner)
+            for k, v in enumerate(plain[t]):
+                g = g + v * w[f"x{d}"][2 * extraction.PATH + k]
+            for k, v in enumerate(h):
+                g = g + v * w[f"h{d}"][k]
+            for k in range(size):
+                i, f, o, z = squash(g[k]), squash(g[size + k]), squash(g[2 * size + k]), math.tanh(g[3 * size + k])
+                c[k] = f * c[k] + i * z
+                h[k] = o * math.tanh(c[k])
+            states[d][t] = list(h)
+    return [squash(sum(a * b for a, b in zip(states["f"][t] + states["b"][t], w["out"][:-1])) + w["out"][-1]) for t in range(len(page))]
+
+
+def test_labels_of_batches_equal_plain_loops(labeller):
+    r = random.Random(31)
+    pages = [extraction.labelled(extraction.sample_page(r))[0] for _ in range(6)]
+    pages += [[], extraction.blocks("no element at all"), extraction.blocks("<ul class='nav Main-Menu'><li>a<li>b</ul><p>" + "A long text. " * 50)]
+    assert len({len(p) for p in pages}) > 4
+    for cells in (1, 64, 16_384):
+        for page, got in zip(pages, labeller.label(pages, cells)):
+            assert np.allclose(got, block_by_block(labeller, page), atol=1e-4)
+
+
+def test_pages_of_deep_elements_take_time_in_proportion(labeller):
+    """Unclosed, unmatched and scoped elements by tens of thousands; a step for every pair of them would take hours."""
+    n = 40_000
+    deep = extraction.blocks("<div class=x>t" * n)
+    assert len(deep) == n and deep[-1].node.depth == n and deep[0].path == (("div", "x"),) and len(labeller.label([deep[:2000]])[0]) == 2000
+    assert len(extraction.blocks("<svg>t" * n)) == 1 and len(extraction.blocks("<b>" * n + "t</q>" * n)) == 1
+    assert len(extraction.blocks("<li><ul>" + "<div>" * n + "<li>t</li>" * n)) == n
+    assert len(extraction.blocks("<p><button>" + "<div>" * n + "t")) == 1
+
+
 def test_held_out_blocks(labeller):
     r = random.Random(77)
     wrong = total = 0

@@ -51,24 +51,67 @@ NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def slot(token: str, size: int) -> int:
+    return zlib.crc32(token.encode()) % size
+
+
+@lru_cache(maxsize=20_000)
+def own_slots(tag: str, named: str) -> tuple[int, ...]:
+    return tuple(slot(t, PATH) for t in [f"t:{tag}"] + [f"n:{p.lower()}" for p in PARTS.findall(named)])
+
+
+class Node:
+    """An open block element, linked to the one around it; its slots are the parent's and its own, as bits."""
+
+    __slots__ = ("parent", "tag", "named", "depth", "own", "whole")
+
+    def __init__(self, parent: Node | None, tag: str, named: str):
+        self.parent, self.tag, self.named = parent, tag, named
+        self.depth, self.own = (parent.depth + 1 if parent else 1), 0
+        for at in own_slots(tag, named):
+            self.own |= 1 << at
+        self.whole = self.own | (parent.whole if parent else 0)
+
+    def outward(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+
 @dataclass
 class Block:
-    path: tuple[tuple[str, str], ...]
+    node: Node | None
     text: str
     linked: float
 
+    @property
+    def path(self) -> tuple[tuple[str, str], ...]:
+        """Block elements around the text with their names, outermost first."""
+        return tuple((n.tag, n.named) for n in self.node.outward())[::-1] if self.node else ()
+
+    @property
+    def slots(self) -> tuple[int, int]:
+        """Slots of everything on the path, and those of the innermost two elements, as bits."""
+        if self.node is None:
+            return 0, 0
+        return self.node.whole, self.node.own | (self.node.parent.own if self.node.parent else 0)
+
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order: text between block elements, references decoded, white space as one space.
 
     Unclosed elements are closed as HTML closes them, end tags without a start are skipped, a tag or a comment
     that the end of the page cuts off is no text. Scripts, styles and other hidden text are left out; what stands in
-    math, object or canvas is text, as is what follows a drawing, noscript or template without an end.
+    math, object or canvas is text, as is what follows a drawing, noscript or template without an end. Time and
+    memory are in proportion to the page, however deep its elements lie in each other. A null page has no block.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Node | None]] = []  # open elements, each with the innermost block element up to it
+    places: dict[str, list[int]] = {}  # where on the stack the elements of a name stand
+    endless: set[str] = set()  # names that no end tag of the rest of the page closes
     parts: list[str] = []
-    links, in_link, at, page = 0, 0, 0, page or ""
+    links, at, page = 0, 0, page or ""
 
     def flush() -> None:
         nonlocal links
@@ -76,7 +119,7 @@ def blocks(page: str | None) -> list[Block]:
             return
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(x for x in stack if x[0] in BLOCKS), text, min(1.0, links / len(text))))
+            out.append(Block(stack[-1][1] if stack else None, text, min(1.0, links / len(text))))
         parts.clear()
         links = 0
 
@@ -86,17 +129,21 @@ def blocks(page: str | None) -> list[Block]:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if in_link:
+        if places.get("a"):
             links += len(text)
 
+    def last(names: Set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
     def leave(names: Set[str], scope: Set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                flush()
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+        k = last(names)
+        if k > last(scope):
+            flush()
+            close(k)
 
     while True:
         found = TAG.search(page, at)
@@ -113,23 +160,23 @@ def blocks(page: str | None) -> list[Block]:
         name, closing, attributes = name.lower(), bool(found[1] or found[4]), found[3] if found[2] else found[6]
         if not closing and name in HIDDEN_TEXT:
             if not (attributes or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 if end is not None:
                     at = page.find(">", end.end() - 1) + 1 or len(page)
                 elif name in RAW_TEXT:
                     break
+                else:
+                    endless.add(name)
             continue
         if name in EMPTY and name not in BLOCKS:
             parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(x[0] in BLOCKS for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            in_link = sum(x[0] == "a" for x in stack)
+            k = last({name})
+            if k >= 0:
+                if any(x[0] in BLOCKS for x in stack[k:]):
+                    flush()
+                close(k)
             continue
         if name in BLOCKS:
             if name not in KEEPS_PARAGRAPH:
@@ -137,32 +184,22 @@ def blocks(page: str | None) -> list[Block]:
             if name in CLOSED_BY:
                 leave(CLOSED_BY[name], SCOPE[name])
             flush()
-            in_link = sum(x[0] == "a" for x in stack)
         if name in EMPTY:
             continue
-        named = " ".join(m.strip("\"'") for m in NAMES.findall(attributes or "")) if attributes else ""
-        stack.append((name, named))
-        in_link += name == "a"
+        around = stack[-1][1] if stack else None
+        if name in BLOCKS:
+            named = " ".join(m.strip("\"'") for m in NAMES.findall(attributes or "")) if attributes else ""
+            around = Node(around, name, named)
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, around))
     flush()
     return out
 
 
-def slot(token: str, size: int) -> int:
-    return zlib.crc32(token.encode()) % size
-
-
-@lru_cache(maxsize=20_000)
-def path_slots(path: tuple[tuple[str, str], ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Slots of everything on the path, and those of the innermost two elements."""
-    whole: list[int] = []
-    inner: list[int] = []
-    for depth, (tag, named) in enumerate(reversed(path)):
-        tokens = [f"t:{tag}"] + [f"n:{p.lower()}" for p in PARTS.findall(named)]
-        where = [slot(t, PATH) for t in tokens]
-        whole += where
-        if depth < 2:
-            inner += where
-    return tuple(set(whole)), tuple(set(inner))
+def ordered_slots(block: Block) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The slots of ``Block.slots`` one by one, innermost elements first."""
+    around = [own_slots(n.tag, n.named) for n in block.node.outward()] if block.node else []
+    return tuple({at for own in around for at in own}), tuple({at for own in around[:2] for at in own})
 
 
 #: A number per byte; the sum over a word's bytes is its hash.
@@ -185,26 +222,28 @@ def plain_vectors(page: Sequence[Block]) -> np.ndarray:
         digits = sum(map(text.count, "0123456789"))
         more.append((
             math.log1p(n) / 5, b.linked, min(2.0, 5 * stops / n), float(text[-1] in ".!?:\"\u201d"), float("\u00a9" in text),
-            digits / len(text), min(1.0, len(b.path) / 10), min(1.0, k / max(len(page) - 1, 1)),
+            digits / len(text), min(1.0, (b.node.depth if b.node else 0) / 10), min(1.0, k / max(len(page) - 1, 1)),
         ))
     return np.column_stack([np.sqrt(counts / sizes[:, None]), np.array(more)]).astype("float32")
 
 
-def path_vectors(paths: Sequence[tuple], forget: random.Random | None = None) -> np.ndarray:
-    """One row per path. With ``forget``, names on the path are dropped now and then, for training."""
-    x = np.zeros((len(paths), 2 * PATH), "float32")
-    for k, path in enumerate(paths):
-        whole, inner = path_slots(path)
-        if forget is not None:
-            whole, inner = (tuple(s for s in part if forget.random() > 0.08) for part in (whole, inner))
-        x[k, list(whole)] = 1.0
-        x[k, [PATH + s for s in inner]] = 1.0
-    return x
+def path_vectors(paths: Sequence[tuple[int, int]]) -> np.ndarray:
+    """One row per path, given as ``Block.slots``."""
+    octets = b"".join(part.to_bytes(PATH // 8, "little") for path in paths for part in path)
+    bits = np.frombuffer(octets, "uint8").reshape(len(paths), PATH // 4)
+    return np.unpackbits(bits, axis=1, bitorder="little").astype("float32")
 
 
 def vectors(page: Sequence[Block], forget: random.Random | None = None) -> np.ndarray:
-    """One row per block: path, words, proportions."""
-    return np.concatenate([path_vectors([b.path for b in page], forget), plain_vectors(page)], axis=1)
+    """One row per block: path, words, proportions. With ``forget``, names on the path are dropped now and then, for training."""
+    x = path_vectors([b.slots for b in page])
+    if forget is not None:
+        x[:] = 0.0
+        for k, b in enumerate(page):
+            whole, inner = (tuple(s for s in part if forget.random() > 0.08) for part in ordered_slots(b))
+            x[k, list(whole)] = 1.0
+            x[k, [PATH + s for s in inner]] = 1.0
+    return np.concatenate([x, plain_vectors(page)], axis=1)
 
 
 class Labeller:
@@ -226,31 +265,34 @@ class Labeller:
     def sigmoid(v: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(v, -30, 30)))
 
-    def run(self, gates: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction from the inputs' share in the gates of padded pages (time, page, gate)."""
-        gates = gates + self.weights[f"c{d}"]
+    def run(self, gates: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """States of one direction from the inputs' share in the gates of padded pages (time, page, gate).
+
+        ``keep``: with what every step held, as the gradient needs it.
+        """
         h = c = np.zeros((gates.shape[1], HIDDEN), "float32")
         states, kept = np.empty((*gates.shape[:2], HIDDEN), "float32"), []
         for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
-            g = gates[t] + h @ self.weights[f"h{d}"]
+            g = gates[t] + self.weights[f"c{d}"] + h @ self.weights[f"h{d}"]
             s = self.sigmoid(g[:, : 3 * HIDDEN])
             i, f, o, z = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
             m = mask[t][:, None]
             new = f * c + i * z
             squashed = np.tanh(new)
-            kept.append((t, h, c, i, f, o, z, squashed, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, z, squashed, m))
             h, c = m * (o * squashed) + (1 - m) * h, m * new + (1 - m) * c
             states[t] = h
         return states, kept
 
-    def logits(self, gates: dict[str, np.ndarray], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+    def logits(self, gates: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, dict]:
         """Padding (mask 0) leaves the state of either direction as it is."""
-        (forth, kf), (back, kb) = self.run(gates["f"], mask, "f"), self.run(gates["b"], mask, "b")
+        (forth, kf), (back, kb) = self.run(gates["f"], mask, "f", keep), self.run(gates["b"], mask, "b", keep)
         states = np.concatenate([forth, back], axis=2)
         return states @ self.weights["out"][:-1] + self.weights["out"][-1], states, {"f": kf, "b": kb}
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        z, states, kept = self.logits({d: x @ self.weights[f"x{d}"] for d in ("f", "b")}, mask)
+        z, states, kept = self.logits({d: x @ self.weights[f"x{d}"] for d in ("f", "b")}, mask, keep=True)
         p = self.sigmoid(z)
         total = mask.sum()
         dz = (p - y) * mask / total
@@ -276,11 +318,15 @@ class Labeller:
     def label(self, pages: Sequence[Sequence[Block]], cells: int = 16_384) -> list[np.ndarray]:
         """Probability of main text for every block, pages of like length side by side.
 
-        Many blocks share a path, so each path meets the weights once.
+        Many blocks share a path, so each path meets the weights once. Pages without blocks give no probabilities.
         """
-        paths = {p: k for k, p in enumerate(dict.fromkeys(b.path for page in pages for b in page))}
-        of_path = path_vectors(list(paths))
-        shared = {d: of_path @ self.weights[f"x{d}"][: 2 * PATH] for d in ("f", "b")}
+        paths = {p: k for k, p in enumerate(dict.fromkeys(b.slots for page in pages for b in page))}
+        if not paths:
+            return [np.zeros(0)] * len(pages)
+        every = list(paths)
+        slabs = [path_vectors(every[k : k + 4096]) for k in range(0, len(every), 4096)]
+        shared = {d: np.concatenate([x @ self.weights[f"x{d}"][: 2 * PATH] for x in slabs]) for d in ("f", "b")}
+        del slabs
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         while order:
@@ -289,7 +335,7 @@ class Labeller:
             x, mask = padded([plain_vectors(pages[k]) for k in some])
             which = np.zeros(mask.shape, "int64")
             for column, k in enumerate(some):
-                which[: len(pages[k]), column] = [paths[b.path] for b in pages[k]]
+                which[: len(pages[k]), column] = [paths[b.slots] for b in pages[k]]
             gates = {d: x @ self.weights[f"x{d}"][2 * PATH :] + shared[d][which] for d in ("f", "b")}
             p = self.sigmoid(self.logits(gates, mask)[0])
             for column, k in enumerate(some):
