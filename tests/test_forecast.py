@@ -169,6 +169,42 @@ def test_global_model_learns_a_shared_pattern(spark):
     assert f.count() == 80 and ape < 0.05
 
 
+def global_panel(spark):
+    cycle = np.tile([1.0, 1.2, 0.9, 1.05], 8)
+    series = {str(k): list((100 + k) * cycle * np.exp(0.01 * np.arange(32))) for k in range(20)}
+    series |= {"young": [None] * 23 + list(5.0 * cycle[:9]), "gone": list(7.0 * cycle[:20]) + [None] * 12, "zero": list(3.0 * cycle[:25]) + [0.0] + list(cycle[:6])}
+    return panel(spark, series).cache()
+
+
+def test_boosted_models_at_every_origin(spark):
+    """A model per origin; what cannot be forecast is named; no value after an origin is used."""
+    p, origins = global_panel(spark), ["1999-12-31", "2001-12-31"]
+    models = M.fit_at_origins(p, "unique_id", origins, max_iter=30, least_rows=5)
+    assert list(models) == origins and all(1 <= m.getNumTrees <= 30 for m in models.values())
+    rows = M.forecast_at(models, p, "unique_id", origins).collect()
+    got = {(r.unique_id, str(r.origin), r.h): r for r in rows}
+    assert len(got) == len(rows) and {k[0] for k in got} == {r.unique_id for r in p.select("unique_id").distinct().collect()}
+    assert got["young", origins[0], 0].error == "no value at the origin" == got["gone", origins[1], 0].error
+    assert got["young", origins[1], 0].error == "needs 8 changes, has 4" and got["zero", origins[1], 0].error.startswith("needs 8 changes, has ")
+    actual = {(r.unique_id, r.q): r.y for r in p.collect()}
+    assert all(r.pred == pytest.approx(actual[r.unique_id, r.q], rel=0.06) for r in rows if r.h > 0 and r.unique_id.isdigit())
+    changed = p.withColumn("y", F.when(F.col("ds") > F.lit(origins[0]).cast("date"), F.col("y") * 3).otherwise(F.col("y")))
+    again = M.forecast_at(M.fit_at_origins(changed, "unique_id", origins[:1], max_iter=30, least_rows=5), changed, "unique_id").collect()
+    first = {(i, h): r.pred for (i, o, h), r in got.items() if o == origins[0] and h}
+    assert {(r.unique_id, r.h): r.pred for r in again if r.h} == pytest.approx(first) and len(first) == 22 * 4
+
+
+def test_origins_without_rows_get_no_model(spark):
+    p = global_panel(spark)
+    models = M.fit_at_origins(p, "unique_id", ["1994-12-31", "2001-12-31"], max_iter=3, least_rows=5)
+    assert list(models) == ["2001-12-31"]
+    rows = M.forecast_at(models, p, "unique_id", ["1994-12-31", "2001-12-31"]).filter("origin = '1994-12-31'").collect()
+    assert len(rows) == 23 and {r.h for r in rows} == {0} and all(r.error for r in rows)
+    assert M.forecast_at({}, p, "unique_id", ["2001-12-31"]).count() == 23
+    errors = B.global_errors(models, p, "unique_id", ["1994-12-31", "2001-12-31"])
+    assert errors.columns == B.backtest_errors(p, "unique_id", ["2001-12-31"]).columns and errors.count() == 80
+
+
 def test_exog_never_flows_from_test_to_train(spark):
     rows = [("a", i, v, i < 4) for i, v in enumerate([None, 2.0, None, 4.0, None, 8.0, None])]
     df = spark.createDataFrame(rows, "s string, q int, x double, train boolean")

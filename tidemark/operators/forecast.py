@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import quarter_end_of_index, quarter_index
-from tidemark.operators.models import FITTED, fit_rolling
+from tidemark.operators.models import FITTED, fit_rolling, forecast_at
 
 BASELINES = ("Naive", "SeasonalNaive", "Drift", "ARDrift")
 
@@ -268,6 +268,20 @@ def fitted_errors(
     )
 
 
+def global_errors(
+    models: Mapping, panel: DataFrame, series: str, origins: Sequence[str], min_history: int = 16, horizon: int = 4, name: str = "GlobalGBT",
+) -> DataFrame:
+    """The error table of ``backtest_errors`` for one model over all series per origin; what could not be forecast is not in it."""
+    made = forecast_at(models, panel, series, origins, horizon).filter("error is null").drop("error", "q")
+    states = origin_states(panel, series, origins, min_history, horizon=horizon)
+    rows = made.join(states, [series, "origin"]).withColumn("actual", F.element_at("future", F.col("h"))).filter("actual is not null")
+    ds = quarter_end_of_index(F.col("origin_q") + F.col("h"))
+    return rows.select(
+        series, "origin", ds.alias("ds"), "h", F.lit(name).alias("model"), "actual", "pred", F.abs(F.col("actual") - F.col("pred")).alias("ae"),
+        F.col("state.scale").alias("scale"),
+    )
+
+
 def cv_arrays(panel: DataFrame, series: str, order: str = "q", folds: int = 5, min_train: int = 16) -> DataFrame:
     """One row per series with the ends of the training parts of ``cv_forecasts``, and the size of a fold as ``horizon``."""
     n, size = F.size("values"), F.floor(F.size("values") / (folds + 1)).cast("int")

@@ -7,12 +7,22 @@ all of them, all grid points and all ends of a training part.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
+
+from tidemark.functions.calendar import quarter_index
+from tidemark.session import settle
+
+if TYPE_CHECKING:
+    from pyspark.ml.regression import GBTRegressionModel
 
 SEASON = 4
 
@@ -285,40 +295,111 @@ def _vector(df: DataFrame, recent: Column, next_quarter: Column) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     named = df.withColumns(lag_vector_features(recent, next_quarter))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(named)
+    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="error").transform(named)
 
 
-def fit_global(panel: DataFrame, series: str, origin: str, max_iter: int = 20, depth: int = 5):
-    """Boosted trees on the next log change of every series, trained up to the origin only."""
-    from pyspark.ml.regression import GBTRegressor
+def _changes(recent: Column) -> Column:
+    return F.size(F.filter(recent, lambda x: x.isNotNull()))
+
+
+def training_rows(panel: DataFrame, series: str) -> DataFrame:
+    """(series, next_ds, target, features): one row per period whose eight changes and next change are known.
+
+    The rows of an origin are those with ``next_ds`` up to it, so one table serves every origin.
+    """
     from pyspark.sql import Window as W
 
     w = W.partitionBy(series).orderBy("q")
-    known = with_recent(panel.filter(F.col("ds") <= F.lit(origin).cast("date")), series)
-    rows = known.withColumn("target", F.lead("dlog").over(w)).withColumn("next_ds", F.lead("ds").over(w))
-    rows = rows.filter(F.col("target").isNotNull())
-    gbt = GBTRegressor(labelCol="target", featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                       stepSize=0.1, subsamplingRate=0.8, seed=42)
-    return gbt.fit(_vector(rows, F.col("recent"), F.quarter("next_ds")))
-
-
-def forecast_global(model, panel: DataFrame, series: str, origin: str, horizon: int = 4) -> DataFrame:
-    """Recursive forecasts: each predicted change enters the lag array of the next step."""
-    start = with_recent(panel.filter(F.col("ds") <= F.lit(origin).cast("date")), series)
-    state = start.filter(F.col("ds") == F.lit(origin).cast("date")).select(
-        series, F.col("ds").alias("origin"), F.col("q").alias("origin_q"), "logy", "recent"
-    )
-    drop = [*FEATURES, "features", "prediction"]
+    rows = with_recent(panel, series).withColumn("target", F.lead("dlog").over(w)).withColumn("next_ds", F.lead("ds").over(w))
+    whole = rows.filter(F.col("target").isNotNull() & (_changes(F.col("recent")) == N_LAGS))
+    return _vector(whole, F.col("recent"), F.quarter("next_ds")).select(series, "next_ds", "target", "features")
+
+
+def _booster(max_iter: int, depth: int, **more):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(labelCol="target", featuresCol="features", maxIter=max_iter, maxDepth=depth, stepSize=0.1,
+                        subsamplingRate=0.8, seed=42, **more)
+
+
+def fit_global(panel: DataFrame, series: str, origin: str, max_iter: int = 20, depth: int = 5):
+    """Boosted trees on the next log change of every series, a fixed number of rounds, trained up to the origin only."""
+    return _booster(max_iter, depth).fit(training_rows(panel, series).filter(F.col("next_ds") <= F.lit(origin).cast("date")))
+
+
+def fit_at_origins(panel: DataFrame, series: str, origins: Sequence[str], max_iter: int = 400, depth: int = 5, held_quarters: int = 2,
+                   tol: float = 0.0, least_rows: int = 100, at_once: int = 4) -> dict[str, GBTRegressionModel]:
+    """A model per origin from one training table.
+
+    Targets of the last ``held_quarters`` quarters up to an origin are held back: rounds end when one gains no more
+    than ``tol`` on them, at ``max_iter`` otherwise. A leaf holds at least ``least_rows`` rows. ``at_once`` origins are fitted side by side. An origin without rows to
+    train or to hold back gets no model. Null and non-positive levels give no rows.
+    """
+    rows = settle(training_rows(panel, series))
+
+    def role(origin: str) -> Column:
+        at = F.lit(origin).cast("date")
+        return F.when(F.col("next_ds") <= at, quarter_index(F.col("next_ds")) > quarter_index(at) - held_quarters)
+
+    counts = rows.agg(*[f(role(o)).alias(f"{n}{k}") for k, o in enumerate(origins) for n, f in (("held", F.count_if), ("all", F.count))]).first()
+    usable = [o for k, o in enumerate(origins) if 0 < counts[f"held{k}"] < counts[f"all{k}"]]
+
+    def fit(origin: str):
+        part = rows.withColumn("is_held", role(origin)).filter(F.col("is_held").isNotNull())
+        return _booster(max_iter, depth, minInstancesPerNode=least_rows, validationIndicatorCol="is_held", validationTol=tol).fit(part)
+
+    with ThreadPoolExecutor(at_once) as pool:  # the driver submits; the fits are Spark jobs
+        return dict(zip(usable, pool.map(inheritable_thread_target(panel.sparkSession)(fit), usable)))
+
+
+def states_at(panel: DataFrame, series: str, origins: Sequence[str]) -> DataFrame:
+    """(series, origin, origin_q, logy, recent, error) for every series and origin; ``error`` says why one cannot be forecast."""
+    dates = [F.lit(o).cast("date") for o in origins]
+    found = F.when(F.col("ds").isin(*dates), F.struct("ds", F.struct(F.col("q").alias("origin_q"), "logy", "recent")))
+    per = with_recent(panel, series).groupBy(series).agg(F.map_from_entries(F.collect_list(found)).alias("m"))
+    each = per.select(series, "m", F.explode(F.array(*dates)).alias("origin")).select(series, "origin", F.try_element_at("m", F.col("origin")).alias("s"))
+    known = _changes(F.col("s.recent"))
+    error = F.when(F.col("s").isNull(), F.lit("no value at the origin")).when(
+        known < N_LAGS, F.concat(F.lit(f"needs {N_LAGS} changes, has "), known.cast("string")))
+    return each.select(series, "origin", "s.*", error.alias("error"))
+
+
+def forecast_at(models: Mapping[str, GBTRegressionModel], panel: DataFrame, series: str, origins: Sequence[str] | None = None, horizon: int = 4) -> DataFrame:
+    """(series, origin, h, q, pred, error): recursive forecasts, each predicted change entering the changes of the next step.
+
+    A series that cannot be forecast at an origin is one row with step 0 and ``error``, as is every series at an origin
+    without a model. The panel may be another one than the models were trained on.
+    """
+    origins = list(origins or models)
+    states = settle(states_at(panel, series, origins))
+    none = F.when(~F.col("origin").isin(*[F.lit(o).cast("date") for o in models]), F.lit("no model at the origin")) if models else F.lit("no model at the origin")
+    failed = states.withColumn("error", F.coalesce("error", none)).filter(F.col("error").isNotNull()).select(
+        series, "origin", F.lit(0).alias("h"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("double").alias("pred"), "error")
+    return reduce(DataFrame.unionByName, [
+        _recursion(model, states.filter((F.col("origin") == F.lit(origin).cast("date")) & F.col("error").isNull()), series, horizon)
+        for origin, model in models.items() if origin in origins], failed)
+
+
+def _recursion(model: GBTRegressionModel, state: DataFrame, series: str, horizon: int) -> DataFrame:
     for h in range(1, horizon + 1):
-        quarter = (F.col("origin_q") + h) % 4 + 1
-        stepped = model.transform(_vector(state, F.col("recent"), quarter))
+        stepped = model.transform(_vector(state, F.col("recent"), (F.col("origin_q") + h) % 4 + 1))
         state = (
             stepped.withColumn("logy", F.col("logy") + F.col("prediction"))
             .withColumn("recent", F.concat(F.slice("recent", 2, N_LAGS - 1), F.array("prediction")))
             .withColumn(f"p{h}", F.exp("logy"))
-            .drop(*drop)
+            .drop(*FEATURES, "features", "prediction")
         )
     steps = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"p{h}").alias("pred")) for h in range(1, horizon + 1)])
-    return state.select(series, "origin", "origin_q", F.explode(steps).alias("r")).select(
-        series, "origin", "r.h", (F.col("origin_q") + F.col("r.h")).alias("q"), "r.pred"
-    )
+    return state.select(series, "origin", "origin_q", "error", F.explode(steps).alias("r")).select(
+        series, "origin", "r.h", (F.col("origin_q") + F.col("r.h")).cast("int").alias("q"), "r.pred", "error")
+
+
+def forecast_global(model: GBTRegressionModel, panel: DataFrame, series: str, origin: str, horizon: int = 4) -> DataFrame:
+    """``forecast_at`` of one model at one origin."""
+    return forecast_at({origin: model}, panel, series, horizon=horizon)
+
+
+def gains_at(models: Mapping[str, GBTRegressionModel], spark: SparkSession) -> DataFrame:
+    """(origin, rounds, feature, gain): one row per model and feature."""
+    rows = [(o, m.getNumTrees, f, float(m.featureImportances[k])) for o, m in models.items() for k, f in enumerate(FEATURES)]
+    return spark.createDataFrame(rows, "origin string, rounds int, feature string, gain double").withColumn("origin", F.col("origin").cast("date"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import with_period_columns
+from tidemark.operators import evaluate as E
 from tidemark.operators import forecast as B
 from tidemark.operators import models as M
 from tidemark.plans import inputs as I
@@ -427,30 +428,54 @@ def tuned_backtest(spark, d):
     return e.select("unique_id", "origin", "h", F.round("pred", 2).alias("pred"), F.round("ae", 2).alias("ae"))
 
 
-def _global(spark, d, origin="1999-12-31"):
+def _global(spark, d):
     panel = settle(I.dense(spark, d))
-    return panel, M.fit_global(panel, "unique_id", origin, max_iter=8, depth=4)
+    return panel, M.fit_at_origins(panel, "unique_id", ORIGINS)
+
+
+def _with_actuals(forecasts, panel):
+    actual = panel.select("unique_id", "q", F.col("y").alias("actual"))
+    return forecasts.join(actual, ["unique_id", "q"], "left").filter("actual is not null or error is not null").select(
+        "unique_id", "origin", "h", "actual", F.round("pred", 2).alias("pred"), "error")
 
 
 @register("global_gbt_fit")
 def global_gbt_fit(spark, d):
-    _, model = _global(spark, d)
-    rows = [(f, float(model.featureImportances[i])) for i, f in enumerate(M.FEATURES)]
-    return spark.createDataFrame(rows, "feature string, gain double").select("feature", F.round("gain", 6).alias("gain"))
+    """What each origin's model uses, and how many rounds its held-back quarters allowed."""
+    return M.gains_at(_global(spark, d)[1], spark).withColumn("gain", F.round("gain", 6))
 
 
 @register("global_gbt_recursive")
 def global_gbt_recursive(spark, d):
-    panel, model = _global(spark, d)
-    f = M.forecast_global(model, panel, "unique_id", "1999-12-31")
-    actual = panel.select("unique_id", "q", F.col("y").alias("actual"))
-    return f.join(actual, ["unique_id", "q"]).select("unique_id", "h", "actual", F.round("pred", 2).alias("pred"))
+    panel, models = _global(spark, d)
+    return _with_actuals(M.forecast_at(models, panel, "unique_id", ORIGINS), panel)
+
+
+@register("global_gbt_leaderboard")
+def global_gbt_leaderboard(spark, d):
+    """The boosted model of each origin beside the baselines and the fitted models, in one error table."""
+    panel, models = _global(spark, d)
+    known = B.backtest_errors(panel, "unique_id", ORIGINS).unionByName(B.fitted_errors(panel, "unique_id", ORIGINS))
+    return E.panel_leaderboard(known.unionByName(B.global_errors(models, panel, "unique_id", ORIGINS)), "unique_id")
+
+
+@register(
+    "global_unforecast",
+    """SELECT entity, CAST(origin AS VARCHAR) AS origin, CASE WHEN k IS NULL THEN 'no value at the origin' ELSE 'needs 8 changes, has ' || k END AS error
+    FROM (SELECT e.entity, o.origin, a.k FROM (SELECT DISTINCT entity FROM gappy) e CROSS JOIN origins o LEFT JOIN (
+      SELECT entity, ds, row_number() OVER (PARTITION BY entity ORDER BY q) - 1 AS k FROM gappy) a ON a.entity = e.entity AND a.ds = o.origin)
+    WHERE k IS NULL OR k < 8""",
+    ("gappy", "origins"),
+)
+def global_unforecast(spark, d):
+    """Short series with gaps: which of them a boosted model cannot forecast at an origin, and why."""
+    return M.states_at(I.gappy(spark, d), "entity", ORIGINS).filter("error is not null").select("entity", "origin", "error")
 
 
 @register("scenario_apply_transfer")
 def scenario_apply_transfer(spark, d):
-    """The model of the supplier panel applied to the series of another panel: revenue by part type."""
-    _, model = _global(spark, d)
+    """The models of the supplier panel applied to the series of another panel: revenue by part type."""
+    _, models = _global(spark, d)
     part = I.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     from tidemark.functions.calendar import quarter_end_of_index, quarter_index
 
@@ -460,6 +485,4 @@ def scenario_apply_transfer(spark, d):
         .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("y"))
         .withColumn("ds", quarter_end_of_index(F.col("q")))
     )
-    f = M.forecast_global(model, other, "unique_id", "1999-12-31")
-    actual = other.select("unique_id", "q", F.col("y").alias("actual"))
-    return f.join(actual, ["unique_id", "q"]).select("unique_id", "h", "actual", F.round("pred", 2).alias("pred"))
+    return _with_actuals(M.forecast_at(models, other, "unique_id", ORIGINS), other)
