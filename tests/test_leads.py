@@ -253,3 +253,27 @@ def test_thresholds_equal_those_of_ranked_rows(spark):
     columns = ["s", "n", "p", "upto", "pos_upto", "pos_total", "total"]
     ranked = L.by_threshold(L.rank_scores(df, "s", "y", "id"), "s", "y").select(columns)
     assert sorted(map(tuple, L.thresholds(df, "s", "y").select(columns).collect())) == sorted(map(tuple, ranked.collect()))
+
+
+def test_profiles_codes_and_rates(spark):
+    df = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (None, 11)], "id int, day int")
+    profile = spark.createDataFrame([(1, "b", 5.0), (2, None, None), (4, "a", 1.0), (None, "z", 9.0)], "id int, seg string, bal double")
+    got = {r.id: r for r in L.with_profile(df, profile, "id", ["bal"]).collect()}
+    assert len(got) == 4 and (got[1].seg, got[1].bal_missing, got[2].bal_missing) == ("b", 0, 1)
+    assert got[3].seg is None and got[3].bal_missing == 1 and got[None].seg is None  # no profile, no id: nulls
+    with pytest.raises(Exception, match="duplicate key"):
+        L.with_profile(df, profile.unionByName(profile), "id").collect()
+    codes = {r.seg: r.code for r in L.with_codes(profile, {"seg": "code"}).collect()}
+    assert codes == {"a": 1, "b": 2, "z": 3, None: None}
+    assert L.with_codes(profile.limit(0), {"seg": "code"}).collect() == []
+    with pytest.raises(Exception, match="more than 2"):
+        L.with_codes(profile, {"seg": "code"}, most=2).collect()
+    train = spark.createDataFrame([(1.0, 1), (1.0, 0), (2.0, 1), (2.0, 1)], "s double, y int")
+    test = spark.createDataFrame([(1.0, 1), (2.0, 0), (3.0, 1), (None, 1)], "s double, y int")
+    assert {r.s: r.p for r in L.score_rates(train, test, "s", "y").collect()} == {1.0: 0.5, 2.0: 1.0, 3.0: 0.75, None: 0.75}
+
+
+def test_boosted_rounds_end_on_the_validation_period(spark):
+    df = spark.range(600).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 3 == 0).alias("v")).withColumn(
+        "label", (F.rand(3) < 0.5).cast("int")).withColumn("weight", F.lit(1.0)).cache()
+    assert L.boosted_model(df, ["a", "b"], "label", "v").getNumTrees < 20  # nothing to learn: far from 400

@@ -172,3 +172,14 @@ def test_blank_spans_by_hand(spark):
     ]
     assert P.blank_spans(df.limit(0), "e", ["x"]).collect() == []
     assert [tuple(r) for r in P.blank_spans(df.filter("e = 'b'"), "e", ["x"], calendar=(12, 13)).collect()] == [("b", "x", 13, 13, 1)]
+
+
+def test_whole_quarters():
+    from datetime import date
+
+    from tidemark.functions.calendar import whole_quarters
+
+    assert whole_quarters("1997-01-01", "1999-12-31") == (date(1997, 1, 1), date(1999, 12, 31))
+    assert whole_quarters("1997-02-15", "1999-12-30") == (date(1997, 1, 1), date(1999, 9, 30))
+    first, last = whole_quarters("1997-02-15", "1997-03-01")  # no quarter ends in between
+    assert last < first

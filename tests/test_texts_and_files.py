@@ -286,3 +286,11 @@ def test_a_document_is_read_in_order(spark):
         ("a", "casa"): (2222.0, 1, 1), ("b", "casa"): (777777.0, 1, None), ("c", "savings"): (5678.0, 1, 0), ("e", "savings"): (5678.0, 1, 0),
         (None, "casa"): (1212.0, 1, 0),
     }
+
+
+def test_histogram_by_map_equals_join(spark):
+    from tidemark.operators import profile as R
+
+    df = spark.range(500).select((F.col("id") % 3 % 2).alias("g"), F.rand(4).alias("x")).union(spark.sql("SELECT 2L, 5.0D UNION ALL SELECT 2L, 5.0D UNION ALL SELECT 1L, null"))
+    joined, mapped = (sorted(map(tuple, R.histogram_density(df, ["g"], "x", few_groups=few).collect())) for few in (False, True))
+    assert joined == mapped and sum(r[2] for r in mapped) == 502

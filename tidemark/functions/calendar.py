@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def quarter_end(ds: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(ds, "quarter"), 2))
 
 
+def whole_quarters(since: str, until: str) -> tuple[date, date]:
+    """First and last day of the quarters that end from ``since`` to ``until``; last before first where there is none."""
+    first, last = date.fromisoformat(since), date.fromisoformat(until) + timedelta(days=1)
+    return date(first.year, first.month - (first.month - 1) % 3, 1), date(last.year, last.month - (last.month - 1) % 3, 1) - timedelta(days=1)
+
+
 def quarter_end_of_index(q: Column) -> Column:
     return F.last_day(F.make_date(F.floor(q / 4).cast("int"), (F.pmod(q, F.lit(4)) * 3 + 3).cast("int"), F.lit(1)))
 

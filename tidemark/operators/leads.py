@@ -7,15 +7,16 @@ order of all customers goes through one distributed ranking.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import side_by_side
+from tidemark.functions.frames import side_by_side, with_period_columns
 from tidemark.functions.numeric import any_of, half_even_count, ratio, total_of
 from tidemark.functions.ranking import running_sums
+from tidemark.operators.guards import require_unique
 
 
 def flag_fill(df: DataFrame, flags: Sequence[str]) -> DataFrame:
@@ -88,6 +89,34 @@ def build_features(
     return labelled if first_period is None else labelled.filter(F.col(period) >= first_period)
 
 
+def with_profile(df: DataFrame, profile: DataFrame, customer: str, flag_missing: Sequence[str] = ()) -> DataFrame:
+    """Columns of a table with one row per customer, and a 0/1 column ``<c>_missing`` for each of ``flag_missing``.
+
+    Customers without a profile stay, with nulls; a customer with two profiles fails the job.
+    """
+    known = require_unique(profile.filter(F.col(customer).isNotNull()), [customer])
+    return df.join(known, customer, "left").withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flag_missing})
+
+
+def with_codes(df: DataFrame, columns: Mapping[str, str], most: int = 10_000) -> DataFrame:
+    """Numbers of categories in alphabetical order, null for null; more than ``most`` categories fail the job."""
+    for c, out in columns.items():
+        names = df.agg(F.array_sort(F.collect_set(c)).alias("n")).select(
+            F.when(F.size("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {most} categories in {c}"))))
+        df = df.withColumn(out, F.array_position(names.scalar(), F.col(c)).cast("int"))
+    return df
+
+
+def score_rates(train: DataFrame, test: DataFrame, score: str, label: str, out: str = "p") -> DataFrame:
+    """The rate of ``label`` among the training rows of each score, for the test rows; the overall rate at unseen scores.
+
+    For scores of few values (at most 10,000, checked), whose rates are read as a one-row map.
+    """
+    rates = train.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias(out))
+    base = train.agg(F.avg(F.col(label).cast("double"))).scalar()
+    return with_period_columns(test, rates, score, [out]).withColumn(out, F.coalesce(F.col(out), base))
+
+
 def reopened(targets: Sequence[str], lags: Iterable[int] = range(1, 6)) -> Column:
     """Held at some earlier lag and not now: a later add would be a re-opening."""
     lags = list(lags)
@@ -279,8 +308,8 @@ def logistic_scores(train: DataFrame, test: DataFrame, features: Sequence[str],
 
 
 def boosted_model(train_valid: DataFrame, features: Sequence[str], label: str, is_valid: str, weight: str = "weight",
-                  max_iter: int = 20, depth: int = 4):
-    """Boosted trees stopped early on the validation period."""
+                  max_iter: int = 400, depth: int = 4):
+    """Boosted trees; rounds end when one gains too little on the validation period, at ``max_iter`` otherwise."""
     from pyspark.ml.classification import GBTClassifier
 
     gbt = GBTClassifier(labelCol=label, featuresCol="raw_features", weightCol=weight, maxIter=max_iter,

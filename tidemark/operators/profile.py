@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import with_period_columns
 from tidemark.functions.numeric import ratio
 
 
@@ -54,9 +55,13 @@ def growth_pivot(df: DataFrame, growth: str = "yoy_growth") -> DataFrame:
     return out.select("year", *[F.col(str(k)).alias(f"q{k}") for k in range(1, 5)])
 
 
-def histogram_density(df: DataFrame, keys: Sequence[str], x: str, bins: int = 15) -> DataFrame:
+def histogram_density(df: DataFrame, keys: Sequence[str], x: str, bins: int = 15, few_groups: bool = False) -> DataFrame:
     """Equal-width bins between the extremes of each group with the density and the normal curve at the
-    bin centre. Bins are counted before anything is gathered."""
+    bin centre. Bins are counted before anything is gathered.
+
+    With ``few_groups`` (one key, at most 10,000 values, checked) the statistics are read as a one-row map and no row
+    of ``df`` is moved to meet them, however unevenly the rows lie on the groups.
+    """
     stats = df.groupBy(*keys).agg(
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
         F.avg(x).alias("mu"), F.stddev_pop(x).alias("sd"),
@@ -65,12 +70,13 @@ def histogram_density(df: DataFrame, keys: Sequence[str], x: str, bins: int = 15
     slot = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.floor((F.col(x) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     )
+    known = df.filter(F.col(x).isNotNull())
+    named = ("lo", "hi", "n", "mu", "sd")
     counted = (
-        df.filter(F.col(x).isNotNull())
-        .join(stats, list(keys))
+        (with_period_columns(known.select(*keys, x), stats, keys[0], named) if few_groups else known.join(stats, list(keys)))
         .withColumn("bin", slot.cast("int"))
         .groupBy(*keys, "bin")
-        .agg(F.count("*").alias("count"), *[F.max(c).alias(c) for c in ("lo", "hi", "n", "mu", "sd")])
+        .agg(F.count("*").alias("count"), *[F.max(c).alias(c) for c in named])
     )
     centre = F.col("lo") + (F.col("bin") + 0.5) * width
     z = F.try_divide(centre - F.col("mu"), F.col("sd"))

@@ -119,13 +119,19 @@ def load_series_csv(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@register("read_optional", "SELECT s_suppkey, 'Unavailable' AS status FROM supplier")
+@register(
+    "read_optional",
+    """SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'Overdrawn' ELSE 'Unavailable' END AS status, 'Unavailable' AS other FROM supplier""",
+)
 def read_optional(spark, d):
-    """An artifact that was never written reads as empty, so every supplier gets the default."""
+    """Two artifacts: one was written for some suppliers, the other never; where there is nothing, the default stands."""
     schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("status", T.StringType())])
-    gone = R.read_optional(spark, fresh_path(spark, "missing"), schema)
-    return I.table(spark, d, "supplier").select("s_suppkey").join(gone, "s_suppkey", "left").select(
-        "s_suppkey", F.coalesce("status", F.lit("Unavailable")).alias("status")
+    suppliers, there = I.table(spark, d, "supplier"), fresh_path(spark, "status")
+    suppliers.filter("s_acctbal < 0").select("s_suppkey", F.lit("Overdrawn").alias("status")).write.option("header", True).csv(there)
+    found = R.read_optional(spark, there, schema)
+    gone = R.read_optional(spark, fresh_path(spark, "missing"), schema).withColumnRenamed("status", "other")
+    return suppliers.select("s_suppkey").join(found, "s_suppkey", "left").join(gone, "s_suppkey", "left").select(
+        "s_suppkey", *[F.coalesce(c, F.lit("Unavailable")).alias(c) for c in ("status", "other")]
     )
 
 
@@ -182,8 +188,10 @@ def export_json(spark, d):
     """Leaderboard rows as documents; a NaN and an infinity come out as null."""
     bad = F.when(F.col("rank") == 1, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
     b = _board(spark, d).select(*KEY, "rank", "mape", bad.alias("ratio"), "recommended")
-    S.export_json(b, fresh_path(spark, "json"))
-    return S.json_documents(b, KEY)
+    path = S.export_json(b, fresh_path(spark, "json"))
+    # The document is what stands in the written line after its keys, so a field that was left out would be missing here.
+    body = F.concat(F.lit("{"), F.regexp_extract("value", r'("rank":.*)$', 1))
+    return spark.read.text(path).select(*[F.get_json_object("value", f"$.{k}").alias(k) for k in KEY], body.alias("document"))
 
 
 @register(

@@ -7,10 +7,12 @@ primitive path of the aggregation where a wide DECIMAL would not be. An overflow
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import day_index, quarter_end_of_index, quarter_index
+from tidemark.functions.calendar import day_index, quarter_end_of_index, quarter_index, whole_quarters
 
 EVENT_FLAGS = ("click", "error", "purchase", "signup", "view")
 TARGETS = ("purchase", "signup")
@@ -34,10 +36,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def dense(spark: SparkSession, d: str) -> DataFrame:
-    """Supplier x quarter revenue: long series without gaps."""
+def dense(spark: SparkSession, d: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Supplier x quarter revenue: long series without gaps.
+
+    Only quarters ending from ``since`` to ``until``, if both are given: a range of ship dates, which the scan takes.
+    """
+    items = table(spark, d, "lineitem")
+    if since and until:
+        first, last = whole_quarters(since, until)
+        items = items.filter((F.col("l_shipdate") >= F.lit(first)) & (F.col("l_shipdate") < F.lit(last + timedelta(days=1))))
     return (
-        table(spark, d, "lineitem")
+        items
         .groupBy(F.col("l_suppkey").cast("string").alias("unique_id"), quarter_index(F.col("l_shipdate")).alias("q"))
         .agg(money_sum(revenue(), 4).alias("y"))
         .select("unique_id", quarter_end_of_index(F.col("q")).alias("ds"), "q", "y")

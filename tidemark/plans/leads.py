@@ -59,6 +59,12 @@ def features(spark, d):
     return L.build_features(I.customer_days(spark, d), "user_id", "day", EVENT_FLAGS, TARGETS, FIRST)
 
 
+def full_features(spark, d):
+    """Features with what is known of the customer and the month of the label."""
+    return L.with_profile(features(spark, d), I.demographics(spark, d), "user_id", ["acctbal"]).withColumn(
+        "label_month", F.month("ds") % 12 + 1)
+
+
 def scored(spark, d):
     f = features(spark, d).withColumn("reopened", L.reopened(TARGETS))
     return f.join(I.demographics(spark, d), "user_id", "left").select(
@@ -110,9 +116,18 @@ def horizontal_counts(spark, d):
     return features(spark, d).select(*ID, *_COUNTS)
 
 
-@register("build_features", f"SELECT user_id, day, {', '.join((*EVENT_FLAGS, *LAG_COLS, *_COUNTS))}, added FROM feats", ("feats",))
+PROFILE = ("segment", "acctbal", "nation", "acctbal_missing", "label_month")
+
+
+@register(
+    "build_features",
+    f"""SELECT f.user_id, f.day, {', '.join(f'f.{c}' for c in (*EVENT_FLAGS, *LAG_COLS, *_COUNTS))}, d.segment, d.acctbal, d.nation,
+    CASE WHEN d.acctbal IS NULL THEN 1 ELSE 0 END AS acctbal_missing, month(f.ds) % 12 + 1 AS label_month, f.added
+    FROM feats f LEFT JOIN demo d ON d.user_id = f.user_id""",
+    ("feats", "demo"),
+)
 def build_features(spark, d):
-    return features(spark, d).select(*ID, *EVENT_FLAGS, *LAG_COLS, *_COUNTS, "added")
+    return full_features(spark, d).select(*ID, *EVENT_FLAGS, *LAG_COLS, *_COUNTS, *PROFILE, "added")
 
 
 @register(
@@ -242,10 +257,18 @@ def average_precision(spark, d):
     return _round_all(L.average_precision(L.thresholds(scored(spark, d), "score", "added")))
 
 
-@register("brier", "SELECT round(avg(pow((n_products + 1) / 7.0 - added, 2)), 8) AS brier FROM scored", ("scored",))
+@register(
+    "brier",
+    f"""SELECT round(avg(pow(coalesce(r.p, (SELECT avg(added) FROM scored WHERE day BETWEEN {TRAIN[0]} AND {TRAIN[1]})) - t.added, 2)), 8) AS brier
+    FROM (SELECT * FROM scored WHERE day = {TEST}) t
+    LEFT JOIN (SELECT score, avg(added) AS p FROM scored WHERE day BETWEEN {TRAIN[0]} AND {TRAIN[1]} GROUP BY 1) r ON r.score = t.score""",
+    ("scored",),
+)
 def brier(spark, d):
-    s = features(spark, d).withColumn("p", (F.col("n_products") + 1) / 7.0)
-    return _round_all(L.brier(s, "p", "added"))
+    """Probabilities of the rule: the rate of adds at each score in the training days, judged on the test day."""
+    s = scored(spark, d)
+    test = L.score_rates(s.filter(F.col("day").between(*TRAIN)), s.filter(F.col("day") == TEST), "score", "added")
+    return _round_all(L.brier(test, "p", "added"))
 
 
 def _metrics_sql(t: str) -> str:
@@ -271,12 +294,12 @@ def poisson_bootstrap_lift(spark, d):
 
 # Models -----------------------------------------------------------------------------------------------
 
-MODEL_FEATURES = [*EVENT_FLAGS, *LAG_COLS, *_COUNTS]
+MODEL_FEATURES = [*EVENT_FLAGS, *LAG_COLS, *_COUNTS, "acctbal", "acctbal_missing", "nation", "segment_code", "label_month"]
 
 
 def _split(spark, d):
     """Features with roles and training weights, written once: fitting reads them many times."""
-    split = L.period_split(features(spark, d), "day", TRAIN, VALID, TEST)
+    split = L.period_split(L.with_codes(full_features(spark, d), {"segment": "segment_code"}), "day", TRAIN, VALID, TEST)
     sampled = L.negative_sample(split.filter(F.col("role") == "train"), "added", ID)
     rest = split.filter(F.col("role") != "train").withColumn("weight", F.lit(1.0))
     return settle(sampled.unionByName(rest))
@@ -304,7 +327,7 @@ def logistic_baseline(spark, d):
 def _boosted(spark, d):
     data = _split(spark, d)
     fit = data.filter("role <> 'test'").withColumn("is_valid", F.col("role") == "valid")
-    return data, L.boosted_model(fit, MODEL_FEATURES, "added", "is_valid", max_iter=8, depth=3)
+    return data, L.boosted_model(fit, MODEL_FEATURES, "added", "is_valid")
 
 
 @register("gbt_lead_model")

@@ -102,8 +102,7 @@ def positive_filter(spark, d):
     ("dense",),
 )
 def period_range_filter(spark, d):
-    lo, hi = (F.lit(x).cast("date") for x in ("1997-01-01", "1999-12-31"))
-    return I.dense(spark, d).filter(F.col("ds").between(lo, hi)).select("unique_id", "ds", "y")
+    return I.dense(spark, d, "1997-01-01", "1999-12-31").select("unique_id", "ds", "y")
 
 
 @register("merger_event_filter", "SELECT survivor, absorbed, q FROM ev", ("ev",))

@@ -347,7 +347,7 @@ def growth_pivot(spark, d):
 )
 def histogram_density(spark, d):
     g = S.log_diff_features(I.dense(spark, d), "unique_id", "q", "y", 1, ()).withColumn("grp", F.quarter("ds"))
-    h = R.histogram_density(g.filter(F.col("dlog").isNotNull()).select("grp", "dlog"), ["grp"], "dlog")
+    h = R.histogram_density(g.filter(F.col("dlog").isNotNull()).select("grp", "dlog"), ["grp"], "dlog", few_groups=True)
     return h.select("grp", "bin", "count", *[F.round(c, 6).alias(c) for c in ("centre", "density", "normal_density")])
 
 
