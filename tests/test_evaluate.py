@@ -243,3 +243,19 @@ def test_normal_quantiles(spark):
     assert [r.theoretical for r in got] == pytest.approx(t) and [r.ordered for r in got] == pytest.approx(sorted(v))
     slope, intercept = np.polyfit(t, np.sort(v), 1)
     assert got[0].line_slope == pytest.approx(slope) and got[0].line_intercept == pytest.approx(intercept)
+
+
+def test_batched_tests_do_not_depend_on_the_batch(spark):
+    """Series of many lengths together, each alone, and none at all."""
+    rng = np.random.default_rng(4)
+    made = {k: list(np.exp(rng.normal(0, 1, k % 13 + 1 + 20 * (k % 2)))) for k in range(40)} | {90: [3.0] * 20, 91: [], 92: [0.0, -1.0] * 9}
+    df = spark.createDataFrame([(k, [float(v) for v in x]) for k, x in made.items()], "k int, values array<double>")
+    tests = (D.arch_lm, D.shapiro_wilk, D.adf_screen, D.select_differencing, lambda a: D.partial_autocorrelations(a, ["k"]))
+    for test in tests:
+        whole = sorted(test(df.coalesce(1)).drop("values").collect(), key=str)
+        apart = sorted(test(df.repartition(40, "k")).drop("values").collect(), key=str)
+        assert len(whole) == len(apart) and test(df.limit(0)).collect() == []
+        for a, b in zip(whole, apart):
+            assert all(x == y or x == pytest.approx(y, rel=1e-9, abs=1e-12) for x, y in zip(a, b))
+    constant = {r.k: r for r in D.shapiro_wilk(df).collect()}
+    assert constant[90].shapiro_w is None and constant[91].shapiro_w is None and constant[92].shapiro_w > 0

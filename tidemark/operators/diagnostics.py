@@ -1,16 +1,19 @@
 """Tests that need small linear algebra, run as vectorised functions over arrays of series.
 
 A series is first folded into one ordered array (bounded by the calendar); Spark then hands batches
-of arrays to numpy, so one worker call covers thousands of series.
+of arrays to numpy, where all series of equal length are one matrix: no step is taken per series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import chi2_tail
@@ -27,24 +30,39 @@ def series_arrays(df: DataFrame, keys: Sequence[str], order: str, x: str, out: s
     )
 
 
-def _residual_sum(design: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
-    beta, *_ = np.linalg.lstsq(design, target, rcond=None)
-    rest = target - design @ beta
-    return beta, float(rest @ rest)
+def _by_length(series: pd.Series, test: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """One row of ``width`` results per series; ``test`` sees all series of one length as a matrix (series, time)."""
+    out = np.full((len(series), width), np.nan)
+    lengths = series.map(len).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        out[at] = test(np.stack(series.iloc[at].to_list()).astype(float))
+    return out
 
 
-def _arch_stat(values: np.ndarray, lags: int) -> float | None:
-    sq = np.asarray(values, dtype=float) ** 2
-    n = len(sq) - lags
-    if len(sq) <= 2 * lags:
-        return None
-    target = sq[lags:]
-    design = np.column_stack([np.ones(n)] + [sq[lags - k : len(sq) - k] for k in range(1, lags + 1)])
-    total = float(((target - target.mean()) ** 2).sum())
-    if total <= 0:
-        return None
-    _, sse = _residual_sum(design, target)
-    return n * (1 - sse / total)
+def _least_squares(design: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, residual sums and the pseudo-inverse for a stack of regressions (series, time, column)."""
+    inverse = np.linalg.pinv(design, rcond=np.finfo(float).eps * max(design.shape[1:]))
+    beta = np.einsum("skt,st->sk", inverse, target)
+    rest = target - np.einsum("stk,sk->st", design, beta)
+    return beta, (rest**2).sum(axis=1), inverse
+
+
+def _lagged(x: np.ndarray, lags: int) -> list[np.ndarray]:
+    """The lags 1 to ``lags`` of each row, beside its values from place ``lags`` on."""
+    return [x[:, lags - k : x.shape[1] - k] for k in range(1, lags + 1)]
+
+
+def _arch_rows(values: np.ndarray, lags: int) -> np.ndarray:
+    sq = values**2
+    n = sq.shape[1] - lags
+    if sq.shape[1] <= 2 * lags:
+        return np.full((len(values), 1), np.nan)
+    target = sq[:, lags:]
+    total = ((target - target.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    _, sse, _ = _least_squares(np.stack([np.ones_like(target), *_lagged(sq, lags)], axis=2), target)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, n * (1 - sse / total), np.nan)[:, None]
 
 
 def arch_lm(arrays: DataFrame, lags: int = 4) -> DataFrame:
@@ -52,7 +70,7 @@ def arch_lm(arrays: DataFrame, lags: int = 4) -> DataFrame:
 
     @F.pandas_udf("double")
     def stat(values: pd.Series) -> pd.Series:
-        return pd.Series([_arch_stat(v, lags) for v in values], dtype="float64")
+        return pd.Series(_by_length(values, lambda x: _arch_rows(x, lags), 1)[:, 0])
 
     lm = stat("values")
     return (
@@ -77,14 +95,9 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
     return sum(c * x**i for i, c in enumerate(coefficients))
 
 
-def _shapiro(values: np.ndarray) -> tuple[float | None, float | None]:
-    from statistics import NormalDist
-
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    spread = float(((x - x.mean()) ** 2).sum()) if n else 0.0
-    if n < 4 or spread <= 0:
-        return None, None
+@lru_cache(maxsize=4096)
+def _shapiro_weights(n: int) -> np.ndarray:
+    """Weights of the ordered values; they depend on the length alone."""
     normal = NormalDist()
     m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
     ssm = float(m @ m)
@@ -100,23 +113,30 @@ def _shapiro(values: np.ndarray) -> tuple[float | None, float | None]:
         phi = (ssm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
         a = m / np.sqrt(phi)
         a[[0, -1]] = -last, last
-    w = min(1.0, float(a @ x) ** 2 / spread)
-    if w >= 1.0:
-        return 1.0, 1.0
-    if n <= 11:
-        gap = -2.273 + 0.459 * n - np.log(1 - w)
-        if gap <= 0:
-            return w, 0.0
-        z = (-np.log(gap) - _poly(MU_SMALL, n)) / np.exp(_poly(SIGMA_SMALL, n))
-    else:
-        z = (np.log(1 - w) - _poly(MU_LARGE, np.log(n))) / np.exp(_poly(SIGMA_LARGE, np.log(n)))
-    return w, 1 - normal.cdf(float(z))
+    return a
+
+
+def _shapiro_rows(values: np.ndarray) -> np.ndarray:
+    """W and its p value; none for fewer than four values or equal ones."""
+    n, x = values.shape[1], np.sort(values, axis=1)
+    if n < 4:
+        return np.full((len(x), 2), np.nan)
+    spread = ((x - x.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(spread > 0, np.minimum(1.0, (x @ _shapiro_weights(n)) ** 2 / spread), np.nan)
+        if n <= 11:
+            gap = -2.273 + 0.459 * n - np.log(1 - w)
+            z = np.where(gap > 0, (-np.log(gap) - _poly(MU_SMALL, n)) / np.exp(_poly(SIGMA_SMALL, n)), np.inf)
+        else:
+            z = (np.log(1 - w) - _poly(MU_LARGE, np.log(n))) / np.exp(_poly(SIGMA_LARGE, np.log(n)))
+    p = 0.5 * np.vectorize(math.erfc, otypes=[float])(z / math.sqrt(2))
+    return np.column_stack([w, np.where(w >= 1, 1.0, np.where(np.isnan(w), np.nan, p))])
 
 
 def shapiro_wilk(arrays: DataFrame) -> DataFrame:
     @F.pandas_udf("w double, p double")
     def test(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_shapiro(v) for v in values], columns=["w", "p"], dtype="float64")
+        return pd.DataFrame(_by_length(values, _shapiro_rows, 2), columns=["w", "p"])
 
     return (
         arrays.withColumn("__t", test("values"))
@@ -132,25 +152,27 @@ CRITICAL_1 = (-3.43035, -6.5393, -16.786, -79.433)
 CRITICAL_5 = (-2.86154, -2.8903, -4.234, -40.040)
 
 
-def _adf(values: np.ndarray) -> tuple[float | None, float | None, float | None, int | None]:
-    x = np.asarray(values, dtype=float)
-    x = x[np.isfinite(x)]
-    if len(x) < 8:
-        return None, None, None, None
-    lags = int((len(x) - 1) ** (1 / 3))
-    d = np.diff(x)
-    n = len(d) - lags
+def _finite(values: Column) -> Column:
+    return F.filter(values, lambda v: F.abs(v) < float("inf"))  # a NaN is beyond every number
+
+
+def _adf_rows(x: np.ndarray) -> np.ndarray:
+    """Statistic, critical values at 1% and 5%, and the number of lags."""
+    none = np.full((len(x), 4), np.nan)
+    if x.shape[1] < 8:
+        return none
+    lags = int((x.shape[1] - 1) ** (1 / 3))
+    d = np.diff(x, axis=1)
+    n = d.shape[1] - lags
     if n <= lags + 3:
-        return None, None, None, None
-    design = np.column_stack(
-        [np.ones(n), x[lags:-1]] + [d[lags - k : len(d) - k] for k in range(1, lags + 1)]
-    )
-    target = d[lags:]
-    beta, sse = _residual_sum(design, target)
-    spread = np.linalg.pinv(design.T @ design)[1, 1] * sse / (n - design.shape[1])
-    if not spread > 0:
-        return None, None, None, None
-    return float(beta[1] / np.sqrt(spread)), _poly(CRITICAL_1, 1 / n), _poly(CRITICAL_5, 1 / n), lags
+        return none
+    target = d[:, lags:]
+    design = np.stack([np.ones_like(target), x[:, lags:-1], *_lagged(d, lags)], axis=2)
+    beta, sse, inverse = _least_squares(design, target)
+    spread = (inverse[:, 1] ** 2).sum(axis=1) * sse / (n - design.shape[2])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rows = np.column_stack([beta[:, 1] / np.sqrt(spread), np.broadcast_to([_poly(CRITICAL_1, 1 / n), _poly(CRITICAL_5, 1 / n), lags], (len(x), 3))])
+    return np.where((spread > 0)[:, None], rows, none)
 
 
 def adf_screen(arrays: DataFrame) -> DataFrame:
@@ -158,13 +180,13 @@ def adf_screen(arrays: DataFrame) -> DataFrame:
 
     @F.pandas_udf("stat double, c1 double, c5 double, lags double")
     def test(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_adf(v) for v in values], columns=["stat", "c1", "c5", "lags"], dtype="float64")
+        return pd.DataFrame(_by_length(values, _adf_rows, 4), columns=["stat", "c1", "c5", "lags"])
 
     def known(c: str):
         return F.when(~F.isnan(f"__t.{c}"), F.col(f"__t.{c}"))
 
     return (
-        arrays.withColumn("__t", test("values"))
+        arrays.withColumn("__t", test(_finite(F.col("values"))))
         .withColumn("adf_stat", known("stat"))
         .withColumn("critical_1", known("c1"))
         .withColumn("critical_5", known("c5"))
@@ -178,69 +200,67 @@ def select_differencing(arrays: DataFrame, max_d: int = 2) -> DataFrame:
     """Fewest differences of the log series that pass the unit-root screen; ``max_d`` if none does."""
 
     @F.pandas_udf("int")
-    def pick(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            x = np.asarray(v, dtype=float)
-            x = np.log(x[x > 0])
-            chosen = max_d
-            for d in range(max_d + 1):
-                stat, _, c5, _ = _adf(np.diff(x, d) if d else x)
-                if stat is not None and stat <= c5:
-                    chosen = d
-                    break
-            out.append(chosen)
-        return pd.Series(out, dtype="int32")
-
-    return arrays.withColumn("d", pick("values"))
+    def pick(logs: pd.Series) -> pd.Series:
+        def fewest(x: np.ndarray) -> np.ndarray:
+            chosen = np.full((len(x), 1), float(max_d))
+            for d in reversed(range(max_d + 1)):
+                if x.shape[1] > d:
+                    rows = _adf_rows(np.diff(x, d, axis=1))
+                    chosen[rows[:, 0] <= rows[:, 2]] = d
+            return chosen
+
+        return pd.Series(_by_length(logs, fewest, 1)[:, 0].astype("int32"))
+
+    logs = F.transform(F.filter("values", lambda v: v > 0), lambda v: F.ln(v))
+    return arrays.withColumn("d", pick(_finite(logs)))
 
 
 def partial_autocorrelations(arrays: DataFrame, keys: Sequence[str], max_lag: int = 15) -> DataFrame:
     """Yule-Walker partial autocorrelations by the Durbin-Levinson recursion."""
 
+    def coefficients(x: np.ndarray) -> np.ndarray:
+        out = np.full((len(x), max_lag), np.nan)
+        c = x - x.mean(axis=1, keepdims=True) if x.shape[1] else x
+        top, var = min(max_lag, x.shape[1] // 2 - 1), (c**2).sum(axis=1)
+        if top < 1:
+            return out
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.column_stack([(c[:, k:] * c[:, : x.shape[1] - k]).sum(axis=1) for k in range(top + 1)]) / var[:, None]
+            phi = np.zeros((len(x), 0))
+            for k in range(1, top + 1):
+                bottom = 1 - (phi * r[:, 1:k]).sum(axis=1)
+                new = np.where(np.abs(bottom) > 1e-12, (r[:, k] - (phi * r[:, 1:k][:, ::-1]).sum(axis=1)) / bottom, 0.0)
+                phi = np.column_stack([phi - new[:, None] * phi[:, ::-1], new])
+                out[:, k - 1] = new
+        out[var <= 0] = np.nan
+        return out
+
     @F.pandas_udf("array<double>")
     def recursion(values: pd.Series) -> pd.Series:
-        out = []
-        for v in values:
-            x = np.asarray(v, dtype=float)
-            c = x - x.mean()
-            top = min(max_lag, len(x) // 2 - 1)
-            var = float(c @ c)
-            if top < 1 or var <= 0:
-                out.append([])
-                continue
-            r = np.array([1.0] + [float(c[k:] @ c[:-k]) / var for k in range(1, top + 1)])
-            phi, found = np.zeros(0), []
-            for k in range(1, top + 1):
-                bottom = 1 - phi @ r[1:k]
-                new = (r[k] - phi @ r[1:k][::-1]) / bottom if abs(bottom) > 1e-12 else 0.0
-                phi = np.append(phi - new * phi[::-1], new)
-                found.append(float(new))
-            out.append(found)
-        return pd.Series(out)
+        found = _by_length(values, coefficients, max_lag)
+        known = (~np.isnan(found)).sum(axis=1)
+        return pd.Series([row[:n] for row, n in zip(found, known)])
 
     return arrays.select(*keys, F.posexplode(recursion("values")).alias("pos", "pacf")).select(
         *keys, (F.col("pos") + 1).alias("lag"), "pacf"
     )
 
 
+@lru_cache(maxsize=4096)
+def _quantiles(n: int) -> list[float]:
+    return [NormalDist().inv_cdf((i + 0.5) / n) for i in range(n)]
+
+
 def normal_quantiles(arrays: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ordered values against standard normal quantiles, with the least-squares line per series."""
 
-    @F.pandas_udf("array<struct<theoretical:double,ordered:double>>")
-    def points(values: pd.Series) -> pd.Series:
-        from statistics import NormalDist
-
-        inv = NormalDist().inv_cdf
-        out = []
-        for v in values:
-            n = len(v)
-            out.append(
-                [{"theoretical": inv((i + 0.5) / n), "ordered": float(y)} for i, y in enumerate(np.sort(v))]
-            )
-        return pd.Series(out)
+    @F.pandas_udf("array<double>")
+    def theoretical(n: pd.Series) -> pd.Series:
+        return n.map(_quantiles)
 
-    pts = arrays.select(*keys, F.posexplode(points("values")).alias("pos", "p")).select(*keys, "pos", "p.*")
+    # The quantiles depend on the length alone; the order is found in the array.
+    points = F.arrays_zip(theoretical(F.size("values")).alias("theoretical"), F.array_sort("values").alias("ordered"))
+    pts = arrays.select(*keys, F.posexplode(points).alias("pos", "p")).select(*keys, "pos", "p.*")
     line = pts.groupBy(*keys).agg(
         F.regr_slope("ordered", "theoretical").alias("line_slope"),
         F.regr_intercept("ordered", "theoretical").alias("line_intercept"),
