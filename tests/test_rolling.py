@@ -106,6 +106,18 @@ def test_regressors_end_with_the_training_part(spark):
     assert got == {(e, h): (100.0 + e - 1, None) for e in (10, 15) for h in (1, 2, 3)}
 
 
+def test_memory_follows_a_piece_of_a_batch(spark):
+    """However many equal series a batch holds, a fitter sees a piece of them, and every series keeps its own forecasts."""
+    def seen(y, horizon):
+        return np.stack([y[:, -1], np.full(len(y), float(len(y)))], axis=1)[:, :horizon], np.zeros(len(y))
+
+    n = 2 * M.AT_ONCE + 7
+    rows = spark.createDataFrame([(k, [float(k)] * (8 + k % 2), [8], 2) for k in range(n)], "k int, values array<double>, ends array<int>, horizon int")
+    got = {(r.k, r.h): r.pred for r in M.fit_rolling(rows.coalesce(1), ["k"], "Seen", M.rolled(seen)).collect()}
+    assert {k: v for (k, h), v in got.items() if h == 1} == {k: float(k) for k in range(n)}
+    assert max(v for (_, h), v in got.items() if h == 2) <= M.AT_ONCE
+
+
 def test_settings_are_chosen_on_tuning_origins_only(spark):
     series = {f"s{k}": walk(k) for k in range(5)}
     tuning, settings = ["1998-06-30", "1998-12-31"], ["SimpleSmoothing", "HoltWinters", "Theta"]
