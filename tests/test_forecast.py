@@ -205,6 +205,30 @@ def test_origins_without_rows_get_no_model(spark):
     assert errors.columns == B.backtest_errors(p, "unique_id", ["2001-12-31"]).columns and errors.count() == 80
 
 
+def test_boosting_deals_rows_into_few_tasks(spark):
+    """Each level of each tree is a job: however finely the panel is cut, its tasks follow the cores."""
+    p = global_panel(spark)
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    sc = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("boosting", "")
+        models = M.fit_at_origins(p, "unique_id", ["1999-12-31", "2001-12-31"], max_iter=2, least_rows=5)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = sc.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("boosting")]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    tasks = [s.numTasks for s in stages if s and "RandomForest" in s.name]
+    assert len(models) == 2 and tasks and max(tasks) <= M.parts_of(1000, sc.defaultParallelism)
+    assert M.parts_of(10, 12) == 6 and M.parts_of(40_000_000, 12) == 20
+
+
 def test_exog_never_flows_from_test_to_train(spark):
     rows = [("a", i, v, i < 4) for i, v in enumerate([None, 2.0, None, 4.0, None, 8.0, None])]
     df = spark.createDataFrame(rows, "s string, q int, x double, train boolean")
