@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,3 +200,14 @@ def test_targets_share_the_excess(spark):
     got = {r.source: r.target for r in source_targets(sizes).collect()}
     assert got["a"] == 20.0 and got[None] == 10.0 and sum(got.values()) == pytest.approx(1.5 * 2015)
     assert got["c"] == pytest.approx(1995) and got["b"] == pytest.approx(997.5)
+
+
+def test_workers_keep_no_vocabulary_after_a_task(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.pieces(docs).count() == 64
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._tokenizers) + len(packing._memory)])], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}

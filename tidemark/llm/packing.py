@@ -10,6 +10,7 @@ and the rank picks the sequence and the place from the plan.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 import zlib
@@ -114,6 +115,15 @@ def encoder(path: str | None):
     return encode
 
 
+def release() -> None:
+    """Forget tokenizers and words and hand what they took back to the system: a Python worker outlives its task."""
+    _memory.clear()
+    _tokenizers.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and alone keeps freed memory
+    if trim:
+        trim(0)
+
+
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
 ])
@@ -126,15 +136,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, vocabulary:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(value.as_py()) + tail
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for column, x in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES)], schema=PIECES)
+        try:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = encode(value.as_py()) + tail
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        for column, x in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES)], schema=PIECES)
+        finally:
+            del encode
+            release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
