@@ -116,9 +116,9 @@ def encoder(path: str | None):
 
 
 def release() -> None:
-    """Forget tokenizers and words and hand what they took back to the system: a Python worker outlives its task."""
-    _memory.clear()
-    _tokenizers.clear()
+    """Forget the words and hand what they took back to the system: a Python worker outlives its task."""
+    for known in _memory.values():
+        known.clear()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and alone keeps freed memory
     if trim:
         trim(0)
@@ -147,7 +147,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, vocabulary:
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES)], schema=PIECES)
         finally:
-            del encode
             release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
